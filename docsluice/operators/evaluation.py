@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions.names import suffix
@@ -45,18 +45,20 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 def classification_report(predictions: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per class, with accuracy, macro and weighted averages."""
     counts = _pair_counts(predictions)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    none = F.lit(0).cast("long")
+
+    def side(label: str, hits: Column, support: Column, predicted: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("class"),
+            hits.alias("hits"),
+            support.alias("support"),
+            predicted.alias("predicted"),
+        )
+
     sides = counts.select(
         F.explode(
-            F.array(
-                F.struct(
-                    F.col("label").alias("class"),
-                    hit.alias("hits"),
-                    F.col("n").alias("support"),
-                    F.lit(0).cast("long").alias("predicted"),
-                ),
-                F.struct(F.col("prediction"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("n")),
-            )
+            F.array(side("label", hit, F.col("n"), none), side("prediction", none, none, F.col("n")))
         ).alias("side")
     ).select("side.*")
     totals = sides.groupBy("class").agg(*[F.sum(name).alias(name) for name in ("hits", "support", "predicted")])
@@ -81,18 +83,16 @@ def classification_report(predictions: DataFrame) -> DataFrame:
             for name in scores
         ],
     )
+    def line(title: str, prefix: str) -> Column:
+        values = [F.col(prefix.format(name)).alias(name) for name in scores]
+        return F.struct(F.lit(title).alias("class"), *values, F.col("support"))
+
     lines = overall.select(
         F.explode(
             F.array(
-                F.struct(
-                    F.lit("accuracy").alias("class"),
-                    *[F.col("accuracy").alias(name) for name in scores],
-                    F.col("support"),
-                ),
-                *[
-                    F.struct(F.lit(f"{kind} avg"), *[F.col(f"{kind}_{name}") for name in scores], F.col("support"))
-                    for kind in ("macro", "weighted")
-                ],
+                line("accuracy", "accuracy"),
+                line("macro avg", "macro_{}"),
+                line("weighted avg", "weighted_{}"),
             )
         ).alias("line")
     ).select("line.*")

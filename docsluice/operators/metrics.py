@@ -102,8 +102,8 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("total").alias("kind"), F.lit("all").alias("name")),
-                F.struct(F.lit("type"), F.coalesce(F.col("type"), F.lit("unknown"))),
-                F.struct(F.lit("category"), category),
+                F.struct(F.lit("type").alias("kind"), F.coalesce(F.col("type"), F.lit("unknown")).alias("name")),
+                F.struct(F.lit("category").alias("kind"), category.alias("name")),
             )
         ).alias("key")
     )
