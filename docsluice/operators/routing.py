@@ -15,7 +15,7 @@ decided directly.
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ UNTRAINED_CONFIDENCE = 0.6
 
 NEVER, ALWAYS = -1, 2**62
 
+SUMMARY_COLUMNS = ["hour_s", "chunk", "start_total", "shift", "gap_from", "gap_to"]
+
 DECISION_SCHEMA = (
     "doc_id long, hour_s long, earlier long, earlier_llm long, threshold double, decision string, "
     "threshold_after double"
@@ -101,23 +103,22 @@ def route_under_budget(rows: DataFrame, config: RoutingConfig) -> DataFrame:
     )
     sizes = slim.groupBy("hour_s").agg(F.count("*").alias("_n"))
     hot = sizes.filter(F.col("_n") > config.rows_per_fold).select("hour_s")
+    zero = F.lit(0).cast("long")
+    start = {"chunk": zero, "start_total": zero, "start_llm": zero}
     if hot.isEmpty():
-        return _decide(slim.withColumns(_start_columns()), ["hour_s"], ["ts_s", "doc_id"], config)
-    usual = slim.join(hot, "hour_s", "left_anti").withColumns(_start_columns())
-    direct = _decide(usual, ["hour_s"], ["ts_s", "doc_id"], config)
+        return _decide(slim.withColumns(start), ["ts_s", "doc_id"], config)
+    usual = slim.join(hot, "hour_s", "left_anti").withColumns(start)
+    direct = _decide(usual, ["ts_s", "doc_id"], config)
     return direct.unionByName(_route_in_chunks(slim.join(hot, "hour_s", "left_semi"), config))
 
 
-def _start_columns() -> dict[str, Column]:
-    zero = F.lit(0).cast("long")
-    return {"start_total": zero, "start_llm": zero}
-
+def _in_runs(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Each run, an hour or one chunk of it, in one partition and in order; a partition holds many runs."""
+    return rows.repartition("hour_s", "chunk").sortWithinPartitions("hour_s", "chunk", *order)
 
-def _decide(rows: DataFrame, group: list[str], order: list[str], config: RoutingConfig) -> DataFrame:
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        return decide_rows(pdf.sort_values(order), config)
 
-    return rows.groupBy(*group).applyInPandas(decide, DECISION_SCHEMA)
+def _decide(rows: DataFrame, order: list[str], config: RoutingConfig) -> DataFrame:
+    return _in_runs(rows, order).mapInPandas(lambda batches: decide_batches(batches, config), DECISION_SCHEMA)
 
 
 def _route_in_chunks(rows: DataFrame, config: RoutingConfig) -> DataFrame:
@@ -128,16 +129,9 @@ def _route_in_chunks(rows: DataFrame, config: RoutingConfig) -> DataFrame:
         .agg(F.count("*").alias("_n"))
         .select("hour_s", "chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("start_total"))
     )
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        return summarize_rows(pdf.sort_values("chunk_row"), config)
-
-    summaries = (
-        chunks.join(starts, ["hour_s", "chunk"])
-        .groupBy("hour_s", "chunk")
-        .applyInPandas(
-            summarize, "hour_s long, chunk long, start_total long, shift long, gap_from array<long>, gap_to array<long>"
-        )
+    summaries = _in_runs(chunks.join(starts, ["hour_s", "chunk"]), ["chunk_row"]).mapInPandas(
+        lambda batches: summarize_batches(batches, config),
+        "hour_s long, chunk long, start_total long, shift long, gap_from array<long>, gap_to array<long>",
     )
     # One small record per chunk, read in order and never held together.
     entries = (
@@ -145,10 +139,10 @@ def _route_in_chunks(rows: DataFrame, config: RoutingConfig) -> DataFrame:
         .sortWithinPartitions("hour_s", "chunk")
         .mapInPandas(chain_summaries, "hour_s long, chunk long, start_total long, start_llm long")
     )
-    return _decide(chunks.join(entries, ["hour_s", "chunk"]), ["hour_s", "chunk"], ["chunk_row"], config)
+    return _decide(chunks.join(entries, ["hour_s", "chunk"]), ["chunk_row"], config)
 
 
-# ---- inside a task: numbers of one bounded chunk ----
+# ---- inside a task: one Arrow batch at a time ----
 
 
 def _threshold_table(config: RoutingConfig) -> np.ndarray:
@@ -191,67 +185,96 @@ def _cuts(pdf: pd.DataFrame, total: np.ndarray, config: RoutingConfig) -> np.nda
     return np.where(forced == "LLM", ALWAYS, np.where(forced == "ML", NEVER, cut))
 
 
-def decide_rows(pdf: pd.DataFrame, config: RoutingConfig) -> pd.DataFrame:
-    """Decisions of one ordered run of an hour, from the counters in `start_total` and `start_llm`."""
-    total = int(pdf["start_total"].iloc[0]) + np.arange(len(pdf), dtype=np.int64)
-    k = int(pdf["start_llm"].iloc[0])
-    before = np.empty(len(pdf), dtype=np.int64)
-    for row, cut in enumerate(_cuts(pdf, total, config).tolist()):
-        before[row] = k
-        if k <= cut:
-            k += 1
-    after = np.append(before[1:], k)
-    loaded = (pdf["load"].to_numpy() > 0.8).astype(int)
-    return pd.DataFrame(
-        {
-            "doc_id": pdf["doc_id"].to_numpy(),
-            "hour_s": pdf["hour_s"].to_numpy(),
-            "earlier": total,
-            "earlier_llm": before,
-            "threshold": _thresholds(total, before, loaded, config),
-            "decision": np.where(after > before, "LLM", "ML"),
-            "threshold_after": _thresholds(total + 1, after, loaded, config),
-        }
-    )
+def _places(pdf: pd.DataFrame, last: tuple[int, int] | None, following: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs start in the batch, and the number of earlier rows of the hour for each row.
+
+    `last` is the run the previous batch ended in, `following` the place of its next row.
+    """
+    hours, chunks = pdf["hour_s"].to_numpy(), pdf["chunk"].to_numpy()
+    fresh = np.empty(len(pdf), dtype=bool)
+    fresh[0] = last != (hours[0], chunks[0])
+    fresh[1:] = (hours[1:] != hours[:-1]) | (chunks[1:] != chunks[:-1])
+    position = np.arange(len(pdf), dtype=np.int64)
+    run = np.cumsum(fresh) - 1
+    starts = np.append(np.flatnonzero(fresh), 0)
+    inside = pdf["start_total"].to_numpy()[starts[run]] + position - starts[run]
+    return fresh, np.where(run < 0, following + position, inside)
+
+
+def decide_batches(batches: Iterable[pd.DataFrame], config: RoutingConfig) -> Iterator[pd.DataFrame]:
+    """Decisions of ordered runs; each run begins with its counters in `start_total` and `start_llm`."""
+    last, following, k = None, 0, 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        fresh, total = _places(pdf, last, following)
+        cuts = _cuts(pdf, total, config)
+        before = np.empty(len(pdf), dtype=np.int64)
+        starts = np.where(fresh, pdf["start_llm"].to_numpy(), NEVER).tolist()
+        for row, (cut, start) in enumerate(zip(cuts.tolist(), starts)):
+            if start >= 0:
+                k = start
+            before[row] = k
+            if k <= cut:
+                k += 1
+        costly = before <= cuts
+        loaded = (pdf["load"].to_numpy() > 0.8).astype(int)
+        yield pd.DataFrame(
+            {
+                "doc_id": pdf["doc_id"].to_numpy(),
+                "hour_s": pdf["hour_s"].to_numpy(),
+                "earlier": total,
+                "earlier_llm": before,
+                "threshold": _thresholds(total, before, loaded, config),
+                "decision": np.where(costly, "LLM", "ML"),
+                "threshold_after": _thresholds(total + 1, before + costly, loaded, config),
+            }
+        )
+        last = (pdf["hour_s"].iloc[-1], pdf["chunk"].iloc[-1])
+        following = int(total[-1]) + 1
 
 
-def summarize_rows(pdf: pd.DataFrame, config: RoutingConfig) -> pd.DataFrame:
-    """The step function of one chunk: k becomes k + shift - (number of gaps below k).
+def summarize_batches(batches: Iterable[pd.DataFrame], config: RoutingConfig) -> Iterator[pd.DataFrame]:
+    """The step function of each chunk: k becomes k + shift - (number of gaps below k).
 
     A row with cut c makes k = c and k = c + 1 meet; in terms of the k at the
     start of the chunk it closes one gap between neighbours. Only starts from 0
     to the number of earlier rows can occur, so other gaps are not kept.
     """
-    start = int(pdf["start_total"].iloc[0])
-    total = start + np.arange(len(pdf), dtype=np.int64)
-    shift = 0
+    last, following, start, shift = None, 0, 0, 0
     gaps: list[int] = []
-    for cut in _cuts(pdf, total, config).tolist():
-        if cut < 0:
+    for pdf in batches:
+        if not len(pdf):
             continue
-        if cut < ALWAYS:
-            gap = _open_gap(gaps, cut - shift)
-            if gap < 0:
-                # Every start is already past the cut.
+        fresh, total = _places(pdf, last, following)
+        done = []
+        for row, (cut, begins) in enumerate(zip(_cuts(pdf, total, config).tolist(), fresh.tolist())):
+            if begins:
+                if last is not None:
+                    done.append((*last, start, shift, *_as_runs(gaps)))
+                last = (pdf["hour_s"].iloc[row], pdf["chunk"].iloc[row])
+                start, shift, gaps = int(total[row]), 0, []
+            if cut < 0:
                 continue
-            if gap < start:
-                insort(gaps, gap)
-        shift += 1
-    runs = np.array(gaps, dtype=np.int64)
-    breaks = np.flatnonzero(np.diff(runs) > 1)
-    first = runs[np.append(0, breaks + 1)] if len(runs) else runs
-    last = runs[np.append(breaks, len(runs) - 1)] if len(runs) else runs
-    head = pdf.iloc[0]
-    return pd.DataFrame(
-        {
-            "hour_s": [head["hour_s"]],
-            "chunk": [head["chunk"]],
-            "start_total": [start],
-            "shift": [shift],
-            "gap_from": [first.tolist()],
-            "gap_to": [last.tolist()],
-        }
-    )
+            if cut < ALWAYS:
+                gap = _open_gap(gaps, cut - shift)
+                if gap < 0:
+                    # Every start is already past the cut.
+                    continue
+                if gap < start:
+                    insort(gaps, gap)
+            shift += 1
+        following = int(total[-1]) + 1
+        yield pd.DataFrame(done, columns=SUMMARY_COLUMNS)
+    if last is not None:
+        yield pd.DataFrame([(*last, start, shift, *_as_runs(gaps))], columns=SUMMARY_COLUMNS)
+
+
+def _as_runs(gaps: list[int]) -> tuple[list[int], list[int]]:
+    """First and last number of each unbroken run."""
+    firsts = [gap for place, gap in enumerate(gaps) if place == 0 or gap != gaps[place - 1] + 1]
+    lasts = [gap for place, gap in enumerate(gaps) if place == len(gaps) - 1 or gap != gaps[place + 1] - 1]
+    return firsts, lasts
 
 
 def _open_gap(gaps: list[int], index: int) -> int:

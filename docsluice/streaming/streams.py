@@ -15,7 +15,7 @@ from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
 from docsluice.operators.feedback import BUFFER_SIZE, FIRST_UPDATE, UPDATE_STEP, threshold_update
 from docsluice.operators.ordering import newest
-from docsluice.operators.routing import DECISION_SCHEMA, decide_rows, hour_of
+from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,7 +49,7 @@ class HourBudget(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(["ts_s", "doc_id"])
         total, llm = self.counters.get() if self.counters.exists() else (0, 0)
-        decided = decide_rows(arrived.assign(start_total=total, start_llm=llm), self.config)
+        decided = next(decide_batches([arrived.assign(chunk=0, start_total=total, start_llm=llm)], self.config))
         costly = int((decided["decision"] == "LLM").sum())
         self.counters.update((int(total) + len(decided), int(llm) + costly))
         yield decided
