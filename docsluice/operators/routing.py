@@ -34,7 +34,7 @@ UNTRAINED_CONFIDENCE = 0.6
 
 NEVER, ALWAYS = -1, 2**62
 
-SUMMARY_COLUMNS = ["hour_s", "chunk", "start_total", "shift", "gap_from", "gap_to"]
+SUMMARY_COLUMNS = ["hour_s", "chunk", "start_total", "hour_llm", "shift", "gap_from", "gap_to"]
 
 DECISION_SCHEMA = (
     "doc_id long, hour_s long, earlier long, earlier_llm long, threshold double, decision string, "
@@ -88,10 +88,11 @@ def with_routing_answers(gated: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def route_under_budget(rows: DataFrame, config: RoutingConfig) -> DataFrame:
+def route_under_budget(rows: DataFrame, config: RoutingConfig, counters: DataFrame | None = None) -> DataFrame:
     """Decisions for rows (doc_id, ts_s, predicted, load, forced), in order of (ts_s, doc_id) within each hour.
 
-    `forced` is null, or a decision that is kept and still charged.
+    `forced` is null, or a decision that is kept and still charged. `counters`
+    (hour_s, total, llm) tells what the hours have seen before these rows.
     """
     slim = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -101,13 +102,17 @@ def route_under_budget(rows: DataFrame, config: RoutingConfig) -> DataFrame:
         F.col("forced").cast("string").alias("forced"),
         hour_of(F.col("ts_s").cast("long")).alias("hour_s"),
     )
+    zero = F.lit(0).cast("long")
+    if counters is None:
+        slim = slim.withColumns({"start_total": zero, "start_llm": zero})
+    else:
+        known = counters.select("hour_s", F.col("total").alias("start_total"), F.col("llm").alias("start_llm"))
+        slim = slim.join(known, "hour_s", "left").fillna(0, ["start_total", "start_llm"])
     sizes = slim.groupBy("hour_s").agg(F.count("*").alias("_n"))
     hot = sizes.filter(F.col("_n") > config.rows_per_fold).select("hour_s")
-    zero = F.lit(0).cast("long")
-    start = {"chunk": zero, "start_total": zero, "start_llm": zero}
     if hot.isEmpty():
-        return _decide(slim.withColumns(start), ["ts_s", "doc_id"], config)
-    usual = slim.join(hot, "hour_s", "left_anti").withColumns(start)
+        return _decide(slim.withColumn("chunk", zero), ["ts_s", "doc_id"], config)
+    usual = slim.join(hot, "hour_s", "left_anti").withColumn("chunk", zero)
     direct = _decide(usual, ["ts_s", "doc_id"], config)
     return direct.unionByName(_route_in_chunks(slim.join(hot, "hour_s", "left_semi"), config))
 
@@ -126,12 +131,17 @@ def _route_in_chunks(rows: DataFrame, config: RoutingConfig) -> DataFrame:
     earlier = Window.partitionBy("hour_s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         chunks.groupBy("hour_s", "chunk")
-        .agg(F.count("*").alias("_n"))
-        .select("hour_s", "chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("start_total"))
+        .agg(F.count("*").alias("_n"), F.first("start_total").alias("_total"))
+        .select(
+            "hour_s",
+            "chunk",
+            (F.col("_total") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("start_total"),
+        )
     )
-    summaries = _in_runs(chunks.join(starts, ["hour_s", "chunk"]), ["chunk_row"]).mapInPandas(
+    placed = chunks.drop("start_total").join(starts, ["hour_s", "chunk"])
+    summaries = _in_runs(placed, ["chunk_row"]).mapInPandas(
         lambda batches: summarize_batches(batches, config),
-        "hour_s long, chunk long, start_total long, shift long, gap_from array<long>, gap_to array<long>",
+        "hour_s long, chunk long, start_total long, hour_llm long, shift long, gap_from array<long>, gap_to array<long>",
     )
     # One small record per chunk, read in order and never held together.
     entries = (
@@ -139,7 +149,8 @@ def _route_in_chunks(rows: DataFrame, config: RoutingConfig) -> DataFrame:
         .sortWithinPartitions("hour_s", "chunk")
         .mapInPandas(chain_summaries, "hour_s long, chunk long, start_total long, start_llm long")
     )
-    return _decide(chunks.join(entries, ["hour_s", "chunk"]), ["chunk_row"], config)
+    known = chunks.drop("start_total", "start_llm").join(entries, ["hour_s", "chunk"])
+    return _decide(known, ["chunk_row"], config)
 
 
 # ---- inside a task: one Arrow batch at a time ----
@@ -241,7 +252,7 @@ def summarize_batches(batches: Iterable[pd.DataFrame], config: RoutingConfig) ->
     start of the chunk it closes one gap between neighbours. Only starts from 0
     to the number of earlier rows can occur, so other gaps are not kept.
     """
-    last, following, start, shift = None, 0, 0, 0
+    last, following, start, hour_llm, shift = None, 0, 0, 0, 0
     gaps: list[int] = []
     for pdf in batches:
         if not len(pdf):
@@ -251,9 +262,10 @@ def summarize_batches(batches: Iterable[pd.DataFrame], config: RoutingConfig) ->
         for row, (cut, begins) in enumerate(zip(_cuts(pdf, total, config).tolist(), fresh.tolist())):
             if begins:
                 if last is not None:
-                    done.append((*last, start, shift, *_as_runs(gaps)))
+                    done.append((*last, start, hour_llm, shift, *_as_runs(gaps)))
                 last = (pdf["hour_s"].iloc[row], pdf["chunk"].iloc[row])
-                start, shift, gaps = int(total[row]), 0, []
+                start, hour_llm = int(total[row]), int(pdf["start_llm"].iloc[row])
+                shift, gaps = 0, []
             if cut < 0:
                 continue
             if cut < ALWAYS:
@@ -267,7 +279,7 @@ def summarize_batches(batches: Iterable[pd.DataFrame], config: RoutingConfig) ->
         following = int(total[-1]) + 1
         yield pd.DataFrame(done, columns=SUMMARY_COLUMNS)
     if last is not None:
-        yield pd.DataFrame([(*last, start, shift, *_as_runs(gaps))], columns=SUMMARY_COLUMNS)
+        yield pd.DataFrame([(*last, start, hour_llm, shift, *_as_runs(gaps))], columns=SUMMARY_COLUMNS)
 
 
 def _as_runs(gaps: list[int]) -> tuple[list[int], list[int]]:
@@ -296,7 +308,7 @@ def chain_summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts = []
         for record in batch.itertuples(index=False):
             if record.hour_s != hour:
-                hour, k = record.hour_s, 0
+                hour, k = record.hour_s, record.hour_llm
             starts.append(k)
             closed = sum(
                 min(to, k - 1) - since + 1 for since, to in zip(record.gap_from, record.gap_to) if since < k

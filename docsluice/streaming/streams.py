@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +17,7 @@ from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
 from docsluice.operators.feedback import BUFFER_SIZE, FIRST_UPDATE, UPDATE_STEP, threshold_update
 from docsluice.operators.ordering import newest
-from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of
+from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +82,17 @@ def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int = 48)
     )
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes what is available now to a parquet table and stops."""
     return (
@@ -102,7 +115,7 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def learning_sink(
-    spark: SparkSession, feedback_path: str, state_path: str, config: RoutingConfig, start: float
+    feedback_path: str, state_path: str, config: RoutingConfig, start: float
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: stores feedback and, when a batch passes an update point, a new threshold.
 
@@ -135,18 +148,49 @@ def passes_update_point(earlier: int, now: int) -> bool:
 
 
 def _stored_threshold(spark: SparkSession, path: str, before: int, start: float) -> float:
-    from pyspark.errors import AnalysisException
+    states = _stored_before(spark, path, before)
+    if states is None:
+        return start
+    last = states.orderBy(F.col("batch").desc()).limit(1).collect()
+    return last[0].threshold if last else start
 
+
+def _stored_before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    """The rows stored by earlier micro-batches; None before the first."""
     try:
-        states = spark.read.parquet(path)
+        return spark.read.parquet(path).filter(F.col("batch") < batch)
     except AnalysisException:
-        return start
-    last = states.filter(F.col("batch") < before).orderBy(F.col("batch").desc()).limit(1).collect()
-    return last[0].threshold if last else start
+        return None
+
+
+def routing_sink(path: str, state_path: str, config: RoutingConfig) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the batch router on each micro-batch, with the counters of earlier ones.
+
+    An hour of any size is spread over tasks, as in the batch router. Every batch
+    stores the decisions and, per hour it met, the counters after it.
+    """
+    store, store_state = batch_sink(path), batch_sink(state_path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        earlier = _stored_before(session, state_path, batch_id)
+        counters = None
+        if earlier is not None:
+            latest = F.max_by(F.struct("total", "llm"), "batch").alias("latest")
+            counters = earlier.groupBy("hour_s").agg(latest).select("hour_s", "latest.*")
+        store(route_under_budget(batch, config, counters), batch_id)
+        decided = session.read.parquet(f"{path}/batch={batch_id}")
+        after = decided.groupBy("hour_s").agg(
+            (F.max("earlier") + 1).alias("total"),
+            (F.min("earlier_llm") + F.count_if(F.col("decision") == "LLM")).alias("llm"),
+        )
+        store_state(after, batch_id)
+
+    return write
 
 
 def stats_sink(
-    spark: SparkSession, history_path: str, stats_path: str, statistics: Callable[[DataFrame], DataFrame]
+    history_path: str, stats_path: str, statistics: Callable[[DataFrame], DataFrame]
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: stores history and recomputes the statistics of its newest rows."""
     store = batch_sink(history_path)
