@@ -16,6 +16,7 @@ from checks.relations import EXAMPLE_SQL, JUDGED, UNION_SQL, tail_sql
 from checks.routes import CONFIG, EVENTS, fold_sql
 from checks.views import event_rows, spark_view, sql_views
 from docsluice.config import RoutingConfig
+from docsluice.functions.names import suffix
 from docsluice.operators import feedback, metrics, results
 from docsluice.operators.features import with_features
 from docsluice.plans import learning
@@ -25,36 +26,35 @@ from docsluice.streaming import streams
 
 
 def text_files(spark, folder):
-    """A folder per document with one text file in it."""
+    """Text files of a hundred documents each, in a folder of their own."""
     path = fresh_path(spark, "texts")
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    documents.write.partitionBy("doc_id").text(path)
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.expr("doc_id div 100 AS part"))
+    in_files = documents.repartition("part").sortWithinPartitions("part", "doc_id")
+    in_files.select("part", "text").write.partitionBy("part").text(path)
     return path
 
 
-def document_of(path):
-    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("long")
+def part_of(path):
+    return F.regexp_extract(path, r"part=(\d+)/", 1).cast("long").alias("part")
 
 
-@check(
-    "scan_files",
-    "SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS file_size, 'txt' AS file_extension FROM documents",
-)
-def scan_files(spark, folder):
-    from docsluice.functions.names import suffix
+PARTS = "WITH parts AS (SELECT doc_id // 100 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1)"
+
 
+@check("scan_files", PARTS + " SELECT part, CAST(strlen(body) + 1 AS BIGINT) AS file_size, 'txt' AS file_extension FROM parts")
+def scan_files(spark, folder):
     found = files.scan_files(spark, [f"{text_files(spark, folder)}/*"])
     return found.select(
-        document_of("path").alias("doc_id"),
+        part_of("path"),
         F.col("length").alias("file_size"),
         F.regexp_replace(suffix(F.col("path")), r"\.", "").alias("file_extension"),
     )
 
 
-@check("scan_text", "SELECT doc_id, trim(text, E' \\n\\t\\r') AS content FROM documents")
+@check("scan_text", PARTS + " SELECT part, trim(body, E' \\n\\t\\r') AS content FROM parts")
 def scan_text(spark, folder):
     found = files.extract_documents(files.scan_files(spark, [f"{text_files(spark, folder)}/*"]))
-    return found.select(document_of("path").alias("doc_id"), "content")
+    return found.select(part_of("path"), "content")
 
 
 def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +187,7 @@ def append_feedback(spark, folder):
     + f""", examples AS (SELECT {EXAMPLE_SQL} FROM ml_results m JOIN llm_results l USING (doc_id))
     SELECT routing_decision, ml_confidence, llm_confidence, ml_correct, llm_correct, actual_category, cost_ml, cost_llm,
       coalesce(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')), 0) * CAST(length(trim(content, E' \\n\\t\\r')) >= 10 AS BIGINT) AS word_count
-    FROM examples JOIN doc_meta USING (doc_id)""",
+    FROM examples JOIN (SELECT doc_id, content FROM doc_meta) USING (doc_id)""",
 )
 def load_examples(spark, folder):
     path = fresh_path(spark, "examples")

@@ -84,13 +84,16 @@ def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int = 48)
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB."""
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    """Stateful queries started inside keep their state in RocksDB and run only when there is data."""
+    settings = {STATE_STORE: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -31,7 +31,7 @@ def main() -> int:
             found = [f"{type(error).__name__}: {str(error)[:1500]}"]
         failed += bool(found)
         mark = "FAIL" if found else ("ok  " if name in oracles else "rows")
-        print(f"{mark} {name} {time.time() - start:.1f}s", *[f"\n     {line[:700]}" for line in found[:2]], flush=True)
+        print(f"\n{mark} {name} {time.time() - start:.1f}s", *[f"\n     {line[:700]}" for line in found[:2]], flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 
