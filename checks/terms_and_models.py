@@ -11,7 +11,7 @@ from docsluice.operators import bayes, learners, terms
 from docsluice.operators.confidence import predict_confidence, train_confidence
 from docsluice.operators.features import with_features
 from docsluice.plans import learning
-from docsluice.session import fresh_path
+from docsluice.session import fresh_path, reliable
 
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "und", "les", "et")
 CONFIG = TermConfig(stop_words=STOP_WORDS)
@@ -90,7 +90,10 @@ def tfidf(spark, folder):
 def naive_bayes(spark, folder):
     rows = with_terms(spark, folder)
     vocabulary = terms.fit_vocabulary(rows, CONFIG)
-    vectors = terms.term_pipeline(vocabulary, "count").transform(rows).select("doc_id", "label", "term_vector")
+    # Narrow next to the texts, and needed for training and for scoring.
+    vectors = reliable(
+        terms.term_pipeline(vocabulary, "count").transform(rows).select("doc_id", "label", "term_vector")
+    )
     return rounded(bayes.score_bayes(vectors, *bayes.fit_bayes(vectors, vocabulary)), "confidence")
 
 

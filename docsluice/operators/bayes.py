@@ -6,11 +6,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsluice.session import reliable
+
 MAX_CLASSES = 1000
 
+# Stands among the term numbers for the document itself.
+DOCUMENT = -1
+
 
 def _occurring(vectors: DataFrame, *keep: str) -> DataFrame:
-    """Rows (keep..., index, weight) of the non-zero entries; a document without any gives one row of nulls."""
+    """Rows (keep..., index, weight) of the non-zero entries, and one per document with the index -1."""
     entries = F.filter(
         F.transform(
             vector_to_array("term_vector"),
@@ -18,46 +23,55 @@ def _occurring(vectors: DataFrame, *keep: str) -> DataFrame:
         ),
         lambda entry: entry["weight"] != 0,
     )
-    return vectors.select(*keep, F.explode_outer(entries).alias("_entry")).select(*keep, "_entry.*")
+    document = F.array(F.struct(F.lit(DOCUMENT).alias("index"), F.lit(1.0).alias("weight")))
+    return vectors.select(*keep, F.explode(F.concat(document, entries)).alias("_entry")).select(*keep, "_entry.*")
 
 
 def fit_bayes(
     vectors: DataFrame, vocabulary: DataFrame, label: str = "label", alpha: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
-    """Relations of the model: (label, place, log_prior) and (index, log_likelihoods by place)."""
-    weights = _occurring(vectors, label)
+    """Relations of the model: (label, place, log_prior) and (index, log_likelihoods by place).
+
+    One pass over the vectors; what it leaves has a row per class and term.
+    """
+    sums = reliable(
+        _occurring(vectors, label).groupBy(F.col(label).alias("label"), "index").agg(F.sum("weight").alias("weight"))
+    )
+    is_document = F.col("index") == DOCUMENT
     classes = (
-        vectors.groupBy(label)
-        .agg(F.count("*").alias("_documents"))
-        .join(weights.groupBy(label).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_weight")), label)
-        .orderBy(label)
+        sums.groupBy("label")
+        .agg(
+            F.sum(F.when(is_document, F.col("weight"))).alias("documents"),
+            F.coalesce(F.sum(F.when(~is_document, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        )
+        .orderBy("label")
         .limit(MAX_CLASSES + 1)
         .collect()
     )
     if not 0 < len(classes) <= MAX_CLASSES:
         raise ValueError(f"between 1 and {MAX_CLASSES} classes are possible")
-    spark = vectors.sparkSession
-    documents = sum(row["_documents"] for row in classes)
-    priors = spark.createDataFrame(
-        [(row[label], place, row["_documents"] / documents) for place, row in enumerate(classes)],
+    documents = sum(row.documents for row in classes)
+    priors = vectors.sparkSession.createDataFrame(
+        [(row.label, place, row.documents / documents) for place, row in enumerate(classes)],
         "label string, place int, share double",
     ).select("label", "place", F.log("share").alias("log_prior"))
 
     size = vocabulary.count()
-    sums = weights.groupBy("index").agg(
-        *[
-            F.sum(F.when(F.col(label) == row[label], F.col("weight")).otherwise(0.0)).alias(f"_class_{place}")
-            for place, row in enumerate(classes)
-        ]
+    per_term = (
+        sums.filter(~is_document)
+        .groupBy("index")
+        .agg(
+            *[
+                F.sum(F.when(F.col("label") == row.label, F.col("weight")).otherwise(0.0)).alias(f"_class_{place}")
+                for place, row in enumerate(classes)
+            ]
+        )
     )
-    likelihoods = vocabulary.select("index").join(sums, "index", "left").select(
+    likelihoods = vocabulary.select("index").join(per_term, "index", "left").select(
         "index",
         F.array(
             *[
-                F.log(
-                    (F.coalesce(F.col(f"_class_{place}"), F.lit(0.0)) + alpha)
-                    / F.lit(row["_weight"] + alpha * size)
-                )
+                F.log((F.coalesce(F.col(f"_class_{place}"), F.lit(0.0)) + alpha) / F.lit(row.weight + alpha * size))
                 for place, row in enumerate(classes)
             ]
         ).alias("log_likelihoods"),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.config import TermConfig
+from docsluice.session import reliable
 
 # Fixed value: a token is a run of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -55,7 +56,7 @@ def term_frequency(df: DataFrame, key: str = "doc_id") -> DataFrame:
 def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
     """Rows (term, tf, df, documents) for terms in enough and not too many documents."""
     # In a sorted array the first of equal terms marks the document, so no shuffle by document is needed.
-    in_order = df.select(F.array_sort("terms").alias("_terms"))
+    in_order = df.select(F.sort_array("terms").alias("_terms"))
     marked = in_order.select(
         F.explode(
             F.transform(
@@ -80,12 +81,16 @@ def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> Data
 
 
 def fit_vocabulary(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
-    """Rows (index, term, tf, df, idf): the most frequent terms, numbered in alphabetical order."""
+    """Rows (index, term, tf, df, idf): the most frequent terms, numbered in alphabetical order.
+
+    Computed once and kept, at most `max_features` rows, because every later step needs it.
+    """
     idf = F.log((1 + F.col("documents")) / (1 + F.col("df"))) + 1
     top = document_frequency(df, config).orderBy(F.col("tf").desc(), "term").limit(config.max_features)
-    return top.select(
+    numbered = top.select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("index"), "term", "tf", "df", idf.alias("idf")
     )
+    return reliable(numbered)
 
 
 def term_pipeline(vocabulary: DataFrame, weighting: str = "tfidf", output: str = "term_vector") -> PipelineModel:

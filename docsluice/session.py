@@ -43,3 +43,12 @@ def reliable(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The frame on all cores: tables that come in fewer pieces than there are cores are shuffled by key.
+
+    A large table has more pieces than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
