@@ -232,7 +232,7 @@ def load_history(spark, folder):
 @check(
     "learn_from_feedback",
     JUDGED.replace("FROM judged)", "FROM (SELECT * FROM judged ORDER BY ts_s DESC, doc_id DESC LIMIT 5000))")
-    + """ SELECT rows, judged, correct, ml_mistakes, llm_mistakes, TRUE AS retrained,
+    + """ SELECT rows, judged, correct, ml_mistakes, llm_mistakes, rows >= 200 AS retrained,
       round(CASE WHEN rows >= 10 AND correct / judged < 0.7 THEN greatest(0.1, least(0.9, CAST(0.75 AS DOUBLE) + 0.1 *
         CASE WHEN ml_mistakes > llm_mistakes THEN CASE WHEN mistake_confidence < 0.8 THEN 0.05 ELSE 0.02 END
           WHEN llm_mistakes > ml_mistakes THEN -0.03 ELSE 0 END)) ELSE CAST(0.75 AS DOUBLE) END, 6) AS threshold FROM evidence""",

@@ -17,8 +17,9 @@ def hundredths(factor: int) -> str:
     return f"CAST((doc_id * {factor}) % 100 AS DOUBLE) / 100"
 
 
-LABEL = pick("(doc_id * 7) % 16")
-OTHER = pick("(doc_id * 7 + 1) % 16")
+# Columns of the table under the views.
+LABEL, OTHER = "label_name", "other_name"
+BASE = {LABEL: pick("(doc_id * 7) % 16"), OTHER: pick("(doc_id * 7 + 1) % 16")}
 ML_CATEGORY = f"CASE WHEN doc_id % 5 = 0 THEN {OTHER} ELSE {LABEL} END"
 LLM_CATEGORY = f"CASE WHEN doc_id % 7 = 0 THEN {OTHER} ELSE {LABEL} END"
 CENTS = "lpad(CAST((doc_id * 61) % 100 AS STRING), 2, '0')"
@@ -154,17 +155,19 @@ def spark_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet").filter(condition)
     if name == "doc_meta":
         documents = spread(documents, "doc_id")
-    return documents.selectExpr(*[f"{rule} AS {column}" for column, rule in columns.items()])
+    based = documents.selectExpr("*", *[f"{rule} AS {column}" for column, rule in BASE.items()])
+    return based.selectExpr(*[f"{rule} AS {column}" for column, rule in columns.items()])
 
 
 def sql_views(*names: str) -> str:
     """`WITH RECURSIVE name AS (...), ...` for DuckDB, to be followed by more views or a SELECT."""
+    base = ", ".join(f"{rule} AS {column}" for column, rule in BASE.items())
     parts = []
     for name in names:
         columns, condition = VIEWS[name]
         chosen = ", ".join(f"{rule} AS {column}" for column, rule in columns.items())
-        parts.append(f"{name} AS (SELECT {chosen} FROM documents WHERE {condition})")
-    return "WITH RECURSIVE " + ",\n".join(parts)
+        parts.append(f"{name} AS (SELECT {chosen} FROM labelled_documents WHERE {condition})")
+    return f"WITH RECURSIVE labelled_documents AS (SELECT *, {base} FROM documents),\n" + ",\n".join(parts)
 
 
 # One row per event: the request stream of the router.

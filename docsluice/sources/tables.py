@@ -82,7 +82,7 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 def import_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Rows (content_hash, ...) from files that hold one JSON object keyed by content hash."""
     shape = T.MapType(T.StringType(), GROUND_TRUTH_TYPE)
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     rows = files.select(F.explode(F.from_json("value", shape)).alias("content_hash", "row"))
     filled = rows.select("content_hash", "row.*").fillna({"confidence_score": 1.0, "source": "unknown"})
     return filled.filter(F.col("true_category").isNotNull())
