@@ -328,7 +328,7 @@ def stream_feedback(spark, folder):
     stored, state = fresh_path(spark, "stored"), fresh_path(spark, "state")
     sink = streams.learning_sink(stored, state, RoutingConfig(), 0.75)
     finished(streams.run_batches(feedback_stream(spark, folder), sink, fresh_path(spark, "learning-log")))
-    count = spark.read.parquet(stored).agg(F.count("*").alias("stored"))
+    count = spark.read.parquet(f"{stored}/rows").agg(F.count("*").alias("stored"))
     learned = spark.read.parquet(state).orderBy(F.col("batch").desc()).limit(1)
     return learned.select("rows", "judged", "correct", "threshold", F.lit(count.first().stored).alias("stored"))
 
@@ -346,8 +346,9 @@ def stream_stats(spark, folder):
     source, stored, stats = (fresh_path(spark, name) for name in ("arriving", "stored", "stats"))
     history = spark_view(spark, folder, "history")
     history.write.parquet(source)
-    sink = streams.stats_sink(stored, stats, metrics.history_stats)
+    sink = streams.stats_sink(stored, stats, metrics.recent_history_stats, 100)
     arriving = spark.readStream.schema(history.schema).parquet(source)
     finished(streams.run_batches(arriving, sink, fresh_path(spark, "stats-log")))
     newest = spark.read.parquet(stats).orderBy(F.col("batch").desc()).limit(1).drop("batch")
+    newest = newest.withColumnRenamed("total", "total_classifications")
     return rounded(newest, "avg_processing_time_ms", "routing_accuracy_estimate")

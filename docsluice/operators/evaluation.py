@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions.names import suffix
+from docsluice.session import bounded
 
 
 def model_accuracy(predictions: DataFrame) -> DataFrame:
@@ -118,4 +119,4 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
     codes = df.agg(F.array_sort(F.collect_set(label)).alias("labels")).select(
         F.posexplode("labels").alias("label_encoded", label)
     )
-    return df.join(codes.withColumn("label_encoded", F.col("label_encoded").cast("long")), label, "left")
+    return df.join(bounded(codes.withColumn("label_encoded", F.col("label_encoded").cast("long"))), label, "left")

@@ -62,14 +62,19 @@ def routing_stats(routes: DataFrame, recent: int = 1000) -> DataFrame:
     return _side_by_side(tail, routes.agg(F.count("*").alias("total_decisions")))
 
 
-def history_stats(history: DataFrame, recent: int = 100) -> DataFrame:
-    """Time and estimated routing accuracy of the newest classifications."""
-    tail = newest(history, recent).agg(
+def recent_history_stats(tail: DataFrame) -> DataFrame:
+    """Time and estimated routing accuracy: a high confidence counts as a good route."""
+    return tail.agg(
         F.coalesce(F.avg("total_time_ms"), F.lit(0.0)).alias("avg_processing_time_ms"),
         F.coalesce(F.avg((F.col("actual_confidence") > 0.8).cast("double")), F.lit(0.0)).alias(
             "routing_accuracy_estimate"
         ),
     )
+
+
+def history_stats(history: DataFrame, recent: int = 100) -> DataFrame:
+    """Statistics of the newest classifications, and the number of all."""
+    tail = recent_history_stats(newest(history, recent))
     return _side_by_side(tail, history.agg(F.count("*").alias("total_classifications")))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from docsluice.config import LLM_COST_MILLS, ML_COST_MILLS, RoutingConfig
 from docsluice.functions.answers import parse_routing_answer
 from docsluice.operators.ordering import in_chunks
+from docsluice.session import bounded
 
 # Changes of the threshold and its range.
 CHEAP_HOUR, COSTLY_HOUR, HIGH_LOAD, HIGH_RATIO = 0.05, -0.1, -0.1, -0.15
@@ -107,9 +108,9 @@ def route_under_budget(rows: DataFrame, config: RoutingConfig, counters: DataFra
         slim = slim.withColumns({"start_total": zero, "start_llm": zero})
     else:
         known = counters.select("hour_s", F.col("total").alias("start_total"), F.col("llm").alias("start_llm"))
-        slim = slim.join(known, "hour_s", "left").fillna(0, ["start_total", "start_llm"])
+        slim = slim.join(bounded(known), "hour_s", "left").fillna(0, ["start_total", "start_llm"])
     sizes = slim.groupBy("hour_s").agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > config.rows_per_fold).select("hour_s")
+    hot = bounded(sizes.filter(F.col("_n") > config.rows_per_fold).select("hour_s"))
     if hot.isEmpty():
         return _decide(slim.withColumn("chunk", zero), ["ts_s", "doc_id"], config)
     usual = slim.join(hot, "hour_s", "left_anti").withColumn("chunk", zero)

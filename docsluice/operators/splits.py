@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.operators.ordering import running_totals
+from docsluice.session import bounded
 
 
 def _shuffled_key(key: str, seed: int):
@@ -50,7 +51,7 @@ def stratified_split(
         .select(label, F.struct("_hash", key).alias("_cut"))
     )
     split = F.when(F.struct("_hash", key) <= F.col("_cut"), "test").otherwise("train")
-    return rows.join(cuts, label, "left").withColumn("split", split).select(*df.columns, "split")
+    return rows.join(bounded(cuts), label, "left").withColumn("split", split).select(*df.columns, "split")
 
 
 def hash_split(df: DataFrame, key: str = "doc_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -67,8 +67,11 @@ def forecast_with(model: ConfidenceModel | None) -> Forecast:
 def decide_routes(
     docs: DataFrame, config: RoutingConfig, forecast: Forecast = forecast_with(None), ask: Asker | None = None
 ) -> DataFrame:
-    """Rows (doc_id, decision, predicted, threshold, threshold_after); `ask` settles the grey zone."""
-    forecasted = forecast(with_features(docs))
+    """Rows (doc_id, hour_s, decision, predicted, threshold, threshold_after, error); `ask` settles the grey zone.
+
+    `error` marks documents without text; they are routed and charged like others.
+    """
+    forecasted = forecast(with_features(check_documents(docs)))
     features = {name: F.col("features")[name] for name in FEATURE_NAMES}
     gate = F.lit(False) if ask is None else needs_reasoning(F.col("features"), F.col("predicted"), F.col("load"))
     gated = forecasted.withColumn("gate", gate)
@@ -76,15 +79,15 @@ def decide_routes(
         F.col("gate"), routing_prompt(F.col("content"), features, F.col("predicted"))
     )
     # One pass over the texts; what follows reads these narrow rows.
-    rows = reliable(gated.select("doc_id", "ts_s", "load", "predicted", "gate", prompt.alias("prompt")))
+    rows = reliable(gated.select("doc_id", "ts_s", "load", "predicted", "gate", "error", prompt.alias("prompt")))
     if ask is None:
         settled = rows.select("*", F.lit(None).cast("string").alias("forced"), F.col("predicted").alias("confidence"))
     else:
         answers = reliable(ask(rows.filter("gate").select("doc_id", "prompt")))
         settled = with_routing_answers(rows.drop("prompt"), answers)
     routes = route_under_budget(settled, config)
-    return routes.join(settled.select("doc_id", F.col("confidence").alias("predicted")), "doc_id").select(
-        "doc_id", "hour_s", "decision", "predicted", "threshold", "threshold_after"
+    return routes.join(settled.select("doc_id", F.col("confidence").alias("predicted"), "error"), "doc_id").select(
+        "doc_id", "hour_s", "decision", "predicted", "threshold", "threshold_after", "error"
     )
 
 
@@ -138,13 +141,12 @@ def hybrid_classify(
     cheap one's result is used.
     """
     routes = reliable(decide_routes(docs, config, forecast, ask_route))
-    texts = check_documents(docs)
-    states = texts.select("doc_id", "error")
-    cheap = ml(texts.filter("error IS NULL").drop("error")).select(
+    texts = check_documents(docs).filter("error IS NULL").drop("error")
+    cheap = ml(texts).select(
         "doc_id", F.col("category").alias("_ml_category"), F.col("confidence").alias("_ml_confidence")
     )
     # The sample is cut before the join, so that no whole text is moved.
-    samples = texts.filter("error IS NULL").select(
+    samples = texts.select(
         "doc_id",
         sample_document(F.col("content"), MAX_CHARS).alias("content"),
         "sender_email",
@@ -159,9 +161,7 @@ def hybrid_classify(
         F.col("category").alias("_llm_category"),
         F.col("confidence").alias("_llm_confidence"),
     )
-    joined = (
-        routes.join(states, "doc_id").join(cheap, "doc_id", "left").join(costly, "doc_id", "left")
-    )
+    joined = routes.join(cheap, "doc_id", "left").join(costly, "doc_id", "left")
     answered = F.coalesce(F.col("_answered"), F.lit(False))
     used = F.when(F.col("error").isNull(), F.when(answered, "LLM").otherwise("ML"))
     results = joined.withColumns(

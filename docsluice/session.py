@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -45,6 +46,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A summary for a join, computed once; broadcast only if it has proved to be small."""
+    kept = reliable(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """The frame on all cores: tables that come in fewer pieces than there are cores are shuffled by key.
 

@@ -16,7 +16,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
 from docsluice.operators.feedback import BUFFER_SIZE, FIRST_UPDATE, UPDATE_STEP, threshold_update
-from docsluice.operators.ordering import newest
 from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -117,6 +116,37 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _arrivals(spark: SparkSession, path: str, batch_id: int, wanted: int) -> tuple[int, int, int]:
+    """From the sizes of the micro-batches: the first one needed for the newest `wanted` rows, rows before, rows now."""
+    sizes = spark.read.parquet(path).filter((F.col("batch") <= batch_id) & (F.col("n") > 0))
+    totals = sizes.agg(
+        F.coalesce(F.sum(F.when(F.col("batch") < batch_id, F.col("n"))), F.lit(0)).alias("before"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("now"),
+    ).first()
+    first, missing = batch_id, wanted
+    # Each of them holds a row at least, hence no more than `wanted` are looked at.
+    for row in sizes.orderBy(F.col("batch").desc()).limit(wanted).collect():
+        first, missing = row.batch, missing - row.n
+        if missing <= 0:
+            break
+    return first, totals.before, totals.now
+
+
+def _keep(batch: DataFrame, batch_id: int, path: str) -> SparkSession:
+    """Stores a micro-batch and its size."""
+    session = batch.sparkSession
+    batch_sink(f"{path}/rows")(batch, batch_id)
+    stored = session.read.parquet(f"{path}/rows/batch={batch_id}")
+    batch_sink(f"{path}/sizes")(stored.agg(F.count("*").alias("n")), batch_id)
+    return session
+
+
+def _recent(spark: SparkSession, path: str, first: int, batch_id: int, n: int, ts: str) -> DataFrame:
+    """The newest n rows; only the folders of the batches that hold them are read."""
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("batch").between(first, batch_id))
+    return rows.orderBy(F.col("batch").desc(), F.col(ts).desc(), F.col("doc_id").desc()).limit(n)
+
+
 def learning_sink(
     feedback_path: str, state_path: str, config: RoutingConfig, start: float
 ) -> Callable[[DataFrame, int], None]:
@@ -125,18 +155,29 @@ def learning_sink(
     The threshold of a batch is a function of the stored batches up to it, so a
     repeated batch gives the same row again.
     """
-    store = batch_sink(feedback_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        store(batch, batch_id)
-        stored = session.read.parquet(feedback_path).filter(F.col("batch") <= batch_id)
-        counts = stored.agg(F.count("*").alias("all"), F.count_if(F.col("batch") < batch_id).alias("earlier")).first()
-        if not passes_update_point(counts.earlier, counts["all"]):
+        session = _keep(batch, batch_id, feedback_path)
+        first, before, now = _arrivals(session, f"{feedback_path}/sizes", batch_id, BUFFER_SIZE)
+        if not passes_update_point(before, now):
             return
         current = _stored_threshold(session, state_path, batch_id, start)
-        update = threshold_update(newest(stored, BUFFER_SIZE, "timestamp"), current, config)
-        update.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        recent = _recent(session, feedback_path, first, batch_id, BUFFER_SIZE, "timestamp")
+        batch_sink(state_path)(threshold_update(recent, current, config), batch_id)
+
+    return write
+
+
+def stats_sink(
+    history_path: str, stats_path: str, statistics: Callable[[DataFrame], DataFrame], recent: int, ts: str = "ts_s"
+) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: stores history, and the statistics of its newest rows with the number of all."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = _keep(batch, batch_id, history_path)
+        first, _, now = _arrivals(session, f"{history_path}/sizes", batch_id, recent)
+        tail = _recent(session, history_path, first, batch_id, recent, ts)
+        batch_sink(stats_path)(statistics(tail).withColumn("total", F.lit(now)), batch_id)
 
     return write
 
@@ -192,21 +233,6 @@ def routing_sink(path: str, state_path: str, config: RoutingConfig) -> Callable[
     return write
 
 
-def stats_sink(
-    history_path: str, stats_path: str, statistics: Callable[[DataFrame], DataFrame]
-) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: stores history and recomputes the statistics of its newest rows."""
-    store = batch_sink(history_path)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        store(batch, batch_id)
-        stored = session.read.parquet(history_path).filter(F.col("batch") <= batch_id)
-        statistics(stored).write.mode("overwrite").parquet(f"{stats_path}/batch={batch_id}")
-
-    return write
-
-
 def run_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.foreachBatch(sink)
