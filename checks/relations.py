@@ -101,13 +101,14 @@ def comparative_feedback(spark, folder):
     sql_views("doc_meta")
     + """, versions AS (SELECT doc_id, content, CASE WHEN doc_id % 3 = 0 THEN upper(label) ELSE label END AS true_category, 'manual' AS source, ts_s
         FROM doc_meta JOIN labels USING (doc_id)
-      UNION ALL SELECT doc_id, content, lower(label), 'user_correction', 1704067200 + doc_id * 420 + 1 FROM doc_meta WHERE doc_id % 5 = 0),
+      UNION ALL SELECT doc_id, content, lower(label), 'user_correction', 1704067200 + doc_id * 420 + 1 FROM doc_meta JOIN labels USING (doc_id) WHERE quality = 0),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY sha256(content) ORDER BY ts_s DESC, doc_id DESC) AS place FROM versions)
     SELECT doc_id, sha256(content) AS content_hash, CASE WHEN length(content) > 200 THEN concat(left(content, 200), '...') ELSE content END AS content,
       true_category, CAST(1 AS DOUBLE) AS confidence_score, source, ts_s FROM ranked WHERE place = 1""",
 )
 def upsert_ground_truth(spark, folder):
-    later = spark_view(spark, folder, "doc_meta").filter("doc_id % 5 = 0").select(
+    doubtful = table(spark, folder, "labels").filter("quality = 0").select("doc_id")
+    later = spark_view(spark, folder, "doc_meta").join(doubtful, "doc_id").select(
         "doc_id",
         "content",
         F.lower("label").alias("true_category"),

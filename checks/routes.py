@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.expressions import DOC_FEATURES, PARSED, ROUTE_ANSWER, ROUTE_CONFIDENCE, prompt_sql, sample_sql
 from checks.registry import check, rounded
-from checks.views import EVENT_ROWS, LLM_ANSWERED, event_rows, spark_view, sql_views
+from checks.views import EVENT_ROWS, event_rows, spark_view, sql_views
 from docsluice.config import CallConfig, RoutingConfig
 from docsluice.operators.model_call import call_model
 from docsluice.operators.features import with_features
@@ -140,13 +140,12 @@ def route_budgeted_chunks(spark, folder):
 def stored_answers(spark, folder):
     """The costly model of the checks: answers from a table, with failures."""
     answers = spark_view(spark, folder, "llm_answers")
-    failed = ~F.expr(LLM_ANSWERED)
 
     def ask(prompts):
         return prompts.select("doc_id").join(answers, "doc_id").select(
             "doc_id",
-            F.when(~failed, F.col("response")).alias("response"),
-            F.when(failed, "call failed").alias("call_error"),
+            F.when(F.col("call_error").isNull(), F.col("response")).alias("response"),
+            "call_error",
         )
 
     return ask
@@ -156,10 +155,11 @@ def stored_answers(spark, folder):
     "llm_classify",
     sql_views("llm_answers")
     + PARSED
-    + f""" SELECT doc_id, CASE WHEN {LLM_ANSWERED} THEN CASE WHEN lower(category) IN ({', '.join(f"'{name}'" for name in CATEGORIES)})
+    + f""" SELECT doc_id, CASE WHEN call_error IS NULL THEN CASE WHEN lower(category) IN ({', '.join(f"'{name}'" for name in CATEGORIES)})
         THEN lower(category) ELSE 'letter' END ELSE 'letter' END AS category,
-      round(CASE WHEN {LLM_ANSWERED} THEN greatest(0.0, least(1.0, confidence)) ELSE 0.0 END, 6) AS confidence,
-      CASE WHEN {LLM_ANSWERED} THEN reasoning ELSE 'Classification failed: call failed' END AS reasoning FROM parsed""",
+      round(CASE WHEN call_error IS NULL THEN greatest(0.0, least(1.0, confidence)) ELSE 0.0 END, 6) AS confidence,
+      CASE WHEN call_error IS NULL THEN reasoning ELSE 'Classification failed: call failed' END AS reasoning
+    FROM parsed JOIN llm_answers USING (doc_id)""",
 )
 def llm_alone(spark, folder):
     return rounded(llm_classify(spark_view(spark, folder, "doc_meta"), stored_answers(spark, folder)), "confidence")
@@ -172,7 +172,7 @@ HYBRID = (
     + fold_sql("settled")
     + PARSED
     + f""", answered AS (SELECT doc_id, CASE WHEN lower(category) IN ({KNOWN}) THEN lower(category) ELSE 'letter' END AS category,
-      greatest(0.0, least(1.0, confidence)) AS confidence FROM parsed WHERE {LLM_ANSWERED}),
+      greatest(0.0, least(1.0, confidence)) AS confidence FROM parsed JOIN llm_answers USING (doc_id) WHERE call_error IS NULL),
   picked AS (SELECT r.doc_id, r.decision, s.confidence AS predicted, r.threshold, r.threshold_after,
       CASE WHEN trim(d.content, E' \\n\\t\\r') = '' THEN 'Empty document content' END AS error,
       r.decision = 'LLM' AND a.doc_id IS NOT NULL AS costly, a.category AS llm_category, a.confidence AS llm_confidence,

@@ -57,7 +57,7 @@ ML_RESULTS = {
     "ts_s": "1704067200 + doc_id * 420",
 }
 
-# Rows with doc_id % 11 = 0 are missing: their calls failed.
+# The calls for documents of one source failed, so they have no result.
 LLM_RESULTS = {
     "doc_id": "doc_id",
     "category": LLM_CATEGORY,
@@ -68,10 +68,11 @@ LLM_RESULTS = {
     "original_length": "n_chars",
     "sample_length": "least(n_chars, 2000)",
 }
-LLM_ANSWERED = "doc_id % 11 <> 0"
+LLM_ANSWERED = "source <> 'src3'"
 
 LLM_ANSWERS = {
     "doc_id": "doc_id",
+    "call_error": f"CASE WHEN {LLM_ANSWERED} THEN NULL ELSE 'call failed' END",
     "response": (
         "CASE doc_id % 8 "
         f"WHEN 0 THEN concat('{{\"category\": \"', {LABEL}, '\", \"confidence\": 0.', {CENTS}, ', \"reasoning\": \"clear\"}}') "
