@@ -269,7 +269,7 @@ def stream_usage(spark, folder):
     """All hours the watermark has passed when the stream ends."""
     out = fresh_path(spark, "usage")
     routes = event_stream(spark, folder).select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)) AS ts"),
         F.when(F.col("event_id") * 37 % 100 < 35, "LLM").otherwise("ML").alias("decision"),
     )
     finished(streams.to_table(streams.stream_usage(routes), out, fresh_path(spark, "usage-log")))

@@ -147,16 +147,21 @@ def feature_importance(spark, folder):
     return learners.feature_importance(trained.models["Random Forest"], trained.feature_names, spark)
 
 
-@check("model_roundtrip")
+@check("model_roundtrip", "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS different FROM documents")
 def model_roundtrip(spark, folder):
-    """Documents on which the models read back predict what the trained ones did."""
+    """The models read back predict for every document what the trained ones do."""
     trained = quick_forest(spark, folder)
     path = fresh_path(spark, "models")
     learners.save_models(path, trained.assembly, trained.models, trained.labels, trained.best, spark)
     assembly, models, labels, best = learners.load_models(path, spark)
     docs = spark_view(spark, folder, "doc_meta")
-    again = learning.ml_predict(docs, assembly, best, models[best], labels, CONFIG)
-    return again.select("doc_id", "category", "confidence")
+    before = learning.ml_predict(
+        docs, trained.assembly, trained.best, trained.models[trained.best], trained.labels, CONFIG
+    )
+    after = learning.ml_predict(docs, assembly, best, models[best], labels, CONFIG)
+    pairs = before.join(after.select("doc_id", F.struct("category", "confidence").alias("after")), "doc_id", "left")
+    different = ~F.struct("category", "confidence").eqNullSafe(F.col("after"))
+    return pairs.agg(F.count("*").alias("documents"), F.count_if(different).alias("different"))
 
 
 def examples(spark, folder):

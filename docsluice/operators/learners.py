@@ -53,13 +53,18 @@ def fit_assembly(prepared: DataFrame, config: TermConfig = TermConfig()) -> tupl
     return PipelineModel([terms, numbers]), NAME_COLUMNS + [f"tfidf {term}" for term in known]
 
 
-def estimators(trees: int = 100, iterations: int = 1000, boosting: int = 100, seed: int = 42) -> dict:
+def estimators(
+    trees: int = 100, iterations: int = 1000, boosting: int = 100, seed: int = 42, parallel: int = 4
+) -> dict:
+    """The learners by name; `parallel` of the one-against-rest models are fitted at a time."""
     columns = {"featuresCol": "features", "labelCol": "label_encoded"}
     return {
         "Random Forest": RandomForestClassifier(numTrees=trees, seed=seed, **columns),
-        "Gradient Boosting": OneVsRest(classifier=GBTClassifier(maxIter=boosting, seed=seed, **columns), **columns),
+        "Gradient Boosting": OneVsRest(
+            classifier=GBTClassifier(maxIter=boosting, seed=seed, **columns), parallelism=parallel, **columns
+        ),
         "Logistic Regression": LogisticRegression(maxIter=iterations, **columns),
-        "SVM": OneVsRest(classifier=LinearSVC(maxIter=iterations, **columns), **columns),
+        "SVM": OneVsRest(classifier=LinearSVC(maxIter=iterations, **columns), parallelism=parallel, **columns),
         "Naive Bayes": NaiveBayes(modelType="multinomial", **columns),
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -13,6 +14,7 @@ from tests.compare import connect, differences
 def main() -> int:
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("TRY_ZONE", "UTC"))
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
     queries, oracles = driver.queries(), driver.oracle_sql()
