@@ -207,11 +207,14 @@ def _stored_before(spark: SparkSession, path: str, batch: int) -> DataFrame | No
         return None
 
 
-def routing_sink(path: str, state_path: str, config: RoutingConfig) -> Callable[[DataFrame, int], None]:
+def routing_sink(
+    path: str, state_path: str, config: RoutingConfig, keep_hours: int = 48
+) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the batch router on each micro-batch, with the counters of earlier ones.
 
     An hour of any size is spread over tasks, as in the batch router. Every batch
-    stores the decisions and, per hour it met, the counters after it.
+    stores the decisions and the counters of the newest `keep_hours` hours, so
+    that the next one reads a small table of one folder.
     """
     store, store_state = batch_sink(path), batch_sink(state_path)
 
@@ -220,15 +223,23 @@ def routing_sink(path: str, state_path: str, config: RoutingConfig) -> Callable[
         earlier = _stored_before(session, state_path, batch_id)
         counters = None
         if earlier is not None:
-            latest = F.max_by(F.struct("total", "llm"), "batch").alias("latest")
-            counters = earlier.groupBy("hour_s").agg(latest).select("hour_s", "latest.*")
+            last = earlier.agg(F.max("batch").alias("batch")).first().batch
+            if last is not None:
+                counters = earlier.filter(F.col("batch") == last).select("hour_s", "total", "llm")
         store(route_under_budget(batch, config, counters), batch_id)
         decided = session.read.parquet(f"{path}/batch={batch_id}")
         after = decided.groupBy("hour_s").agg(
             (F.max("earlier") + 1).alias("total"),
             (F.min("earlier_llm") + F.count_if(F.col("decision") == "LLM")).alias("llm"),
         )
-        store_state(after, batch_id)
+        if counters is not None:
+            # Counters only grow, so the larger ones are the later ones.
+            after = after.unionByName(counters).groupBy("hour_s").agg(
+                F.max("total").alias("total"), F.max("llm").alias("llm")
+            )
+        latest = after.agg(F.max("hour_s").alias("hour_s")).first().hour_s
+        oldest = (latest or 0) - keep_hours * 3600
+        store_state(after.filter(F.col("hour_s") > oldest).coalesce(1), batch_id)
 
     return write
 
