@@ -64,12 +64,7 @@ def ordered_split(
     df: DataFrame, order: list[str], train_share: float = 0.8, rows_per_chunk: int = 200_000
 ) -> DataFrame:
     """Adds `split`: the first floor(train_share * rows) rows of the order are `train`."""
+    cut = int(df.count() * train_share)
     ranked = running_totals(df, [], order, {"_earlier": F.lit(1)}, rows_per_chunk)
-    total = df.agg(F.count("*").alias("_total"))
-    cut = total.select(F.floor(F.col("_total") * F.lit(train_share)).alias("_cut"), F.lit(0).alias("_one"))
-    return (
-        ranked.withColumn("_one", F.lit(0))
-        .join(F.broadcast(cut), "_one")
-        .withColumn("split", F.when(F.col("_earlier") < F.col("_cut"), "train").otherwise("validation"))
-        .select(*df.columns, "split")
-    )
+    split = F.when(F.col("_earlier") < cut, "train").otherwise("validation")
+    return ranked.withColumn("split", split).select(*df.columns, "split")

@@ -70,14 +70,11 @@ def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> Data
     counts = marked.groupBy("_entry.term").agg(
         F.count("*").alias("tf"), F.count_if("_entry.first").alias("df")
     )
-    total = df.agg(F.count("*").alias("documents"), F.lit(0).alias("_one"))
-    return (
-        counts.filter(F.col("df") >= config.min_df)
-        .withColumn("_one", F.lit(0))
-        .join(F.broadcast(total), "_one")
-        .filter(F.col("df") <= F.col("documents") * F.lit(config.max_df))
-        .select("term", "tf", "df", "documents")
-    )
+    # Counting rows reads no text.
+    documents = df.count()
+    return counts.filter(
+        (F.col("df") >= config.min_df) & (F.col("df") <= F.lit(documents * config.max_df))
+    ).select("term", "tf", "df", F.lit(documents).cast("long").alias("documents"))
 
 
 def fit_vocabulary(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
