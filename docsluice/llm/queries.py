@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsluice.llm import langid
+from docsluice.llm.chat import against_other_replies, preference_pairs
 from docsluice.llm.exact_dedup import exact_dedup
 from docsluice.llm.mixing import mix_sources
+from docsluice.llm.simhash import CLOSE, near_duplicates
 from docsluice.llm.topk import top_k, usable
+from docsluice.llm.urls import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,20 +36,33 @@ def _query(name: str, sql: str | None = None):
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@_query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page; the text model comes from all labelled documents."""
+    model = langid.train(_table(spark, folder, "documents"))
+    pages = _table(spark, folder, "pages").select(
+        F.col("page_id").alias("id"),
+        F.col("html").alias("text"),
+        langid.declared_language(F.col("html")).alias("declared"),
+        langid.host_levels(F.col("url")).alias("place"),
+    )
+    return langid.identify(pages, model, html=True).withColumnRenamed("id", "page_id")
+
+
 @_query(
     "op2_top_k",
     """
     WITH usable AS (
-      SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
       FROM embeddings
-      WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      WHERE len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
     scored AS (
       SELECT q.vec_id AS query_id, c.vec_id,
-        CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+        CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
       FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
     SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
-    QUALIFY row_number() OVER w <= 5
     WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 5
     """,
 )
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +86,26 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_table(spark, folder, "documents"))
 
 
+@_query("op5_simhash_dedup")
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint of 3-word shingles and its component."""
+    return near_duplicates(_table(spark, folder, "documents"), scheme=CLOSE)
+
+
+RULES = [
+    Rule("net/", "block"),
+    Rule("example.net/en/", "allow"),
+    Rule("example.com/de/", "block"),
+    Rule("org/fr/", "allow"),
+]
+
+
+@_query("op6_url_filter")
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page address judged by the rules, else by the trees."""
+    return judge_urls(_table(spark, folder, "pages"), RULES)
+
+
 @_query(
     "op7_mix_sources",
     r"""
@@ -115,3 +152,44 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     own = chosen.select("doc_id", "size", "taken", F.col("pattern")[0].alias("own"))
     named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     return own.join(sources.withColumn("own", named), "own").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(
+    "op10_preference_pairs",
+    r"""
+    WITH own AS (
+      SELECT DISTINCT conv_id AS pair_id, coalesce(turn, -9223372036854775808) AS turn,
+        coalesce(role, 'user') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+    ends AS (SELECT pair_id, max(turn) AS ends_at FROM own WHERE role = 'assistant' GROUP BY pair_id),
+    replies AS (
+      SELECT pair_id, ends_at, min(text) AS reply FROM own JOIN ends USING (pair_id)
+      WHERE role = 'assistant' AND turn = ends_at GROUP BY ALL),
+    sides AS (
+      SELECT pair_id, turn, role, text, TRUE AS c, FALSE AS r FROM own JOIN ends USING (pair_id) WHERE turn <= ends_at
+      UNION ALL
+      SELECT pair_id, turn, role, text, FALSE, TRUE FROM own JOIN ends USING (pair_id) WHERE turn < ends_at
+      UNION ALL
+      SELECT l.pair_id, l.ends_at, 'assistant', o.reply, FALSE, TRUE
+      FROM ends l JOIN replies o ON o.pair_id = xor(l.pair_id, 1)),
+    lines AS (SELECT pair_id, turn, role, text, bool_or(c) AS c, bool_or(r) AS r FROM sides GROUP BY ALL),
+    parting AS (SELECT pair_id, min(turn) AS parts_at FROM lines WHERE c <> r GROUP BY pair_id),
+    placed AS (
+      SELECT lines.*, coalesce(turn < parts_at, TRUE) AS shared FROM lines LEFT JOIN parting USING (pair_id)),
+    parts AS (
+      SELECT *, 'prompt' AS part FROM placed WHERE shared
+      UNION ALL SELECT *, 'chosen' FROM placed WHERE NOT shared AND c
+      UNION ALL SELECT *, 'rejected' FROM placed WHERE NOT shared AND r),
+    rendered AS (
+      SELECT *, '<|im_start|>' || role || chr(10) AS opening,
+        '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+      FROM parts)
+    SELECT pair_id, part, turn, role, rendered,
+      CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(opening) ELSE length(rendered) END AS masked_chars,
+      CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) - length(opening) ELSE 0 END AS trained_chars
+    FROM rendered
+    """,
+)
+def op10_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation that has a reply, paired with itself under another conversation's reply."""
+    return preference_pairs(*against_other_replies(_table(spark, folder, "conversations")))

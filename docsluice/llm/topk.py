@@ -92,10 +92,12 @@ def top_k(
         pairs = kept(pairs, "topk-pairs")
         if pairs.isEmpty():
             break
+        # The two sides need columns of their own.
+        other = pairs.withColumnsRenamed({"part": "to", "block": "at"})
         met = (
             pairs.join(asked, "part")
             .groupBy("part", "block")
-            .cogroup(pairs.select(F.col("part").alias("to"), "block").join(blocks, "block").groupBy("to", "block"))
+            .cogroup(other.join(blocks, F.col("at") == F.col("block")).groupBy("to", "at"))
             .applyInArrow(_meet(turn, k), FOUND)
         )
         in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
