@@ -11,7 +11,9 @@ from docsluice.llm import langid
 from docsluice.llm.chat import against_other_replies, preference_pairs
 from docsluice.llm.exact_dedup import exact_dedup
 from docsluice.llm.mixing import mix_sources
+from docsluice.llm.packing import pack
 from docsluice.llm.simhash import CLOSE, near_duplicates
+from docsluice.llm.suffix_dedup import remove_repeats
 from docsluice.llm.topk import top_k, usable
 from docsluice.llm.urls import Rule, judge_urls
 
@@ -72,6 +74,15 @@ def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(whole, F.col("vec_id") % 50 == 0, k=5)
 
 
+@_query("op3_pack")
+def op3_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, every sequence in the proportions of the sources."""
+    pieces = pack(_table(spark, folder, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"
+    )
+
+
 @_query(
     "op4_exact_dedup",
     f"""
@@ -154,6 +165,13 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(sources.withColumn("own", named), "own").select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op8_remove_repeats")
+def op8_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 200 bytes that start anywhere else as well."""
+    found = remove_repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.to_json("spans").alias("removed"))
+
+
 @_query(
     "op10_preference_pairs",
     r"""
