@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsluice.llm import langid
 from docsluice.llm.chat import against_other_replies, preference_pairs
 from docsluice.llm.exact_dedup import exact_dedup
+from docsluice.llm.lm import score_texts
 from docsluice.llm.mixing import mix_sources
 from docsluice.llm.packing import pack
 from docsluice.llm.simhash import CLOSE, near_duplicates
@@ -172,6 +173,12 @@ def op8_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.to_json("spans").alias("removed"))
 
 
+@_query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by the word counts and by the model of the documents that are not held out."""
+    return score_texts(_table(spark, folder, "documents"))
+
+
 @_query(
     "op10_preference_pairs",
     r"""
