@@ -21,18 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, binary_rows, kept
 
-LEAF = "id long, digest binary, n_bytes long, run int, place long"
-RECORD = f"{LEAF}, group_size long, at int"
+RECORD = "id long, digest binary, n_bytes long, run int, place long, group_size long, at int"
+LEAF = "id long, tag long, digest binary, n_bytes long, run int, place long"
 RADIX = 4
 
 
 def exact_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", runs: int | None = None
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: str = "largest",
+    runs: int | None = None,
+    tag: Column | None = None,
 ) -> DataFrame:
     """One row per input row: key, keep_id, group_size, kept, text_sha256.
 
@@ -41,6 +46,7 @@ def exact_dedup(
     null key loses against any other; of rows that share the key as well exactly one
     stays. Other columns are not read. An empty table gives no rows.
     `runs` is the least number of runs; by default the number of shuffle partitions.
+    `tag`, a number the caller tells rows by, is handed through as `tag` if given.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep must be 'largest' or 'smallest'")
@@ -49,10 +55,14 @@ def exact_dedup(
     while count < (runs or int(spark.conf.get("spark.sql.shuffle.partitions"))):
         rounds, count = rounds + 1, count * RADIX
     leaves = kept(
-        docs.select(F.col(key).cast("long").alias("id"), as_bytes(text).alias("text")).mapInArrow(_digests, LEAF),
+        docs.select(
+            F.col(key).cast("long").alias("id"),
+            (F.lit(None) if tag is None else tag).cast("long").alias("tag"),
+            as_bytes(text).alias("text"),
+        ).mapInArrow(_digests, LEAF),
         "dedup-leaves",
     )
-    records = leaves.withColumn("group_size", F.lit(1).cast("long")).withColumn("at", F.col("run") % count)
+    records = leaves.drop("tag").withColumn("group_size", F.lit(1).cast("long")).withColumn("at", F.col("run") % count)
     id_order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     for number in range(rounds):
         step = RADIX**number
@@ -79,6 +89,7 @@ def exact_dedup(
         "group_size",
         stays.alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([] if tag is None else ["tag"]),
     )
 
 
@@ -90,6 +101,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch.column("id"),
+                "tag": batch.column("tag"),
                 "digest": pa.array(digests, pa.binary()),
                 "n_bytes": pa.array([len(text) for text in texts], pa.int64()),
                 "run": pa.array(np.full(len(texts), run, np.int32)),

@@ -147,7 +147,7 @@ def text_posteriors(pages: DataFrame, model: TextModel, html: bool, fusion: Fusi
                 for row in range(part.num_rows):
                     totals[row] = weights[slots[starts[row] : starts[row] + counts[row]]].sum(axis=0, dtype=float)
                 totals *= fusion.sharpness
-                totals[counts <= 1] = [*[-1e9] * (width - 1), 0.0]
+                totals[counts == 0] = [*[-1e9] * (width - 1), 0.0]
                 flat = pa.array(totals.ravel())
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width)
                 columns = {name: part.column(name) for name in names}

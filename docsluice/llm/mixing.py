@@ -116,7 +116,12 @@ def _path(patterns, starts, quotas, filled, members, flow) -> list[tuple[int, in
 
 
 def mix_sources(
-    docs: DataFrame, sources: Column, size: Column | None = None, key: str = "doc_id", mix: Mix = Mix()
+    docs: DataFrame,
+    sources: Column,
+    size: Column | None = None,
+    key: str = "doc_id",
+    mix: Mix = Mix(),
+    tag: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The chosen documents and the sources.
 
@@ -126,6 +131,7 @@ def mix_sources(
     `size` is a document's number of words, by default of the column `text`.
     Documents of size 0 are taken 0 times. Repeated rows stand next to each other in
     the seeded order and are told apart by nothing else. An empty table gives no rows.
+    `tag`, a number the caller tells rows by, is handed through with the documents.
     """
     spark = docs.sparkSession
     salt = F.concat(F.lit(f"{mix.seed}-"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
@@ -133,6 +139,7 @@ def mix_sources(
     rows = kept(
         docs.select(
             F.col(key).alias("id"),
+            (F.lit(None) if tag is None else tag).cast("long").alias("tag"),
             (word_count("text") if size is None else size).alias("size"),
             F.array_sort(F.array_distinct(named)).alias("pattern"),
             F.sha2(salt, 256).alias("place"),
@@ -162,7 +169,7 @@ def mix_sources(
         [(None if none else name, size, quota) for (none, name), size, quota in zip(names, sizes, quotas)],
         "source string, source_size long, target double",
     )
-    return _select(rows, plan).select(F.col("id").alias(key), "pattern", "size", "taken"), table
+    return _select(rows, plan).select(F.col("id").alias(key), "tag", "pattern", "size", "taken"), table
 
 
 def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -184,7 +191,7 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     )
     placed = rows.withColumn("prefix", prefix).join(prefixes, ["pattern", "prefix"])
     whole = placed.filter(~F.col("cut")).withColumn("extra", F.col("left") > 0)
-    order = Window.partitionBy("pattern", "prefix").orderBy("place", "id", "size")
+    order = Window.partitionBy("pattern", "prefix").orderBy("place", "id", "size", "tag")
     cut = (
         placed.filter("cut")
         .withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

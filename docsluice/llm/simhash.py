@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, binary_rows, kept
@@ -88,37 +88,54 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return (np.bincount(places.ravel(), minlength=2048).reshape(8, 256)[:, :, None] * BYTE_BITS).sum(axis=1).ravel()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
-    """Per row: id, fp. Null counts as empty; a text without words has fingerprint 0."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE, tag: Column | None = None
+) -> DataFrame:
+    """Per row: id, tag, fp. Null counts as empty; a text without words has fingerprint 0."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x, scheme) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "fp": pa.array(found, pa.binary())})
+            columns = {"id": batch.column("id"), "tag": batch.column("tag"), "fp": pa.array(found, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(key).cast("long").alias("id"), as_bytes(text).alias("text")).mapInArrow(scan, "id long, fp binary")
+    rows = docs.select(
+        F.col(key).cast("long").alias("id"),
+        (F.lit(None) if tag is None else tag).cast("long").alias("tag"),
+        as_bytes(text).alias("text"),
+    )
+    return rows.mapInArrow(scan, "id long, tag long, fp binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE, tag: Column | None = None
+) -> DataFrame:
     """One row per input row: key, fingerprint, component_id (smallest key reachable over links).
 
     Words are separated by ASCII white space, A-Z is lower-cased, whole texts are
     read. Equal texts always share a component, empty and null ones too. A null key
     takes part and never names a component, unless all keys of it are null. Other
     columns are not read; an empty table gives no rows. The fingerprint is in hex,
-    the highest bit first.
+    the highest bit first. `tag`, a number the caller tells rows by, is handed
+    through if given, with `first_tag`, that of the row that names the component.
     """
-    rows = kept(fingerprints(docs, key, text, scheme), "simhash-rows")
-    nodes = kept(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
+    rows = kept(fingerprints(docs, key, text, scheme, tag), "simhash-rows")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    nodes = kept(rows.groupBy("fp").agg(F.min(name).alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), scheme))
     members = kept(
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
         "simhash-members",
     )
-    named = kept(members.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
-    found = kept(members.select("fp", "root").join(named, "root").select("fp", "component_id"), "simhash-found")
-    shown = F.lower(F.hex("fp"))
-    return rows.join(found, "fp").select(F.col("id").alias(key), shown.alias("fingerprint"), "component_id")
+    named = kept(members.groupBy("root").agg(F.min("first").alias("names")), "simhash-names")
+    found = kept(members.select("fp", "root").join(named, "root").select("fp", "names"), "simhash-found")
+    tags = [] if tag is None else ["tag", F.col("names.tag").alias("first_tag")]
+    return rows.join(found, "fp").select(
+        F.col("id").alias(key),
+        F.lower(F.hex("fp")).alias("fingerprint"),
+        F.col("names.id").alias("component_id"),
+        *tags,
+    )
 
 
 def links(fps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
