@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.expressions import DOC_FEATURES, PARSED, ROUTE_ANSWER, ROUTE_CONFIDENCE, prompt_sql, sample_sql
 from checks.registry import check, rounded
-from checks.views import EVENT_ROWS, event_rows, spark_view, sql_views
+from checks.views import EVENT_ROWS, event_rows, pick, spark_view, sql_views
 from docsluice.config import CallConfig, RoutingConfig
 from docsluice.operators.model_call import call_model
 from docsluice.operators.features import with_features
@@ -137,71 +137,123 @@ def route_budgeted_chunks(spark, folder):
     return route_under_budget(event_rows(spark, folder), RoutingConfig(0.6, 0.05, 0.3, rows_per_fold=6))
 
 
-def stored_answers(spark, folder):
-    """The costly model of the checks: answers from a table, with failures."""
-    answers = spark_view(spark, folder, "llm_answers")
+# The costly model of the checks reads the prompt: its hash picks the answer, and some calls fail.
+ANSWERS = {
+    0: "concat('{{\"category\": \"', {name}, '\", \"confidence\": 0.', {cents}, ', \"reasoning\": \"clear\"}}')",
+    1: "concat('Here it is: {{\"category\": \"', {name}, '\", \"confidence\": 0.', {cents}, '}} as asked.')",
+    2: "concat('Category: ', upper({name}), ', Confidence: 0.', {cents})",
+    3: "'I cannot say.'",
+    4: "concat('{{\"category\": \"contract\", \"confidence\": 1.', {cents}, '}}')",
+}
 
-    def ask(prompts):
-        return prompts.select("doc_id").join(answers, "doc_id").select(
-            "doc_id",
-            F.when(F.col("call_error").isNull(), F.col("response")).alias("response"),
-            "call_error",
-        )
 
-    return ask
+def answer_rule(number: str) -> str:
+    """The answer as SQL for both engines; `number` is an expression for a hash of the prompt below 65,536."""
+    name, cents = pick(f"{number} % 16"), f"lpad(CAST({number} % 97 AS STRING), 2, '0')"
+    cases = " ".join(f"WHEN {kind} THEN {rule.format(name=name, cents=cents)}" for kind, rule in ANSWERS.items())
+    return f"CASE {number} % 5 {cases} END"
+
+
+def reading_client(prompts):
+    """Rows (doc_id, response, call_error) from rows (doc_id, prompt); one call in sixteen fails."""
+    hashed = prompts.select("doc_id", F.conv(F.left(F.md5("prompt"), F.lit(4)), 16, 10).cast("long").alias("h"))
+    fails = F.col("h") % 16 == 7
+    return hashed.select(
+        "doc_id",
+        F.when(~fails, F.expr(answer_rule("h"))).alias("response"),
+        F.when(fails, "call failed").alias("call_error"),
+    )
+
+
+PROMPTED = (
+    sample_sql(2000)
+    + f""", hashed AS (SELECT doc_id, CAST(concat('0x', left(md5({prompt_sql()}), 4)) AS BIGINT) AS h
+    FROM sampled WHERE trim(content, E' \\n\\t\\r') <> ''),
+  llm_answers AS (SELECT doc_id, CASE WHEN h % 16 <> 7 THEN {answer_rule('h')} END AS response,
+    CASE WHEN h % 16 = 7 THEN 'call failed' END AS call_error FROM hashed)"""
+)
+KNOWN = ", ".join(f"'{name}'" for name in CATEGORIES)
+BLANK = "trim(content, E' \\n\\t\\r') = ''"
 
 
 @check(
     "llm_classify",
-    sql_views("llm_answers")
+    sql_views("doc_meta")
+    + PROMPTED
     + PARSED
-    + f""" SELECT doc_id, CASE WHEN call_error IS NULL THEN CASE WHEN lower(category) IN ({', '.join(f"'{name}'" for name in CATEGORIES)})
-        THEN lower(category) ELSE 'letter' END ELSE 'letter' END AS category,
-      round(CASE WHEN call_error IS NULL THEN greatest(0.0, least(1.0, confidence)) ELSE 0.0 END, 6) AS confidence,
-      CASE WHEN call_error IS NULL THEN reasoning ELSE 'Classification failed: call failed' END AS reasoning
-    FROM parsed JOIN llm_answers USING (doc_id)""",
+    + f""" SELECT d.doc_id, CASE WHEN NOT {BLANK} THEN CASE WHEN call_error IS NULL AND lower(category) IN ({KNOWN})
+        THEN lower(category) ELSE 'letter' END END AS category,
+      round(CASE WHEN NOT {BLANK} THEN CASE WHEN call_error IS NULL THEN greatest(0.0, least(1.0, confidence)) ELSE 0.0 END END, 6) AS confidence,
+      CASE WHEN call_error IS NULL THEN reasoning ELSE 'Classification failed: call failed' END AS reasoning,
+      CASE WHEN {BLANK} THEN 'Empty document content' END AS error
+    FROM doc_meta d LEFT JOIN parsed USING (doc_id) LEFT JOIN llm_answers USING (doc_id)""",
 )
 def llm_alone(spark, folder):
-    return rounded(llm_classify(spark_view(spark, folder, "doc_meta"), stored_answers(spark, folder)), "confidence")
+    return rounded(llm_classify(spark_view(spark, folder, "doc_meta"), reading_client), "confidence")
+
+
+# The cheap model of the checks reads the text: its number of characters and first word decide; it knows nothing to say about some texts.
+CHEAP_SQL = f"""SELECT doc_id, {pick("length(content) % 16")} AS category,
+  CAST(length(content) % 100 AS DOUBLE) / 100 AS confidence FROM doc_meta WHERE length(content) % 9 <> 4"""
+
+
+def cheap_model(docs):
+    return docs.filter(F.length("content") % 9 != 4).select(
+        "doc_id",
+        F.expr(pick("length(content) % 16")).alias("category"),
+        ((F.length("content") % 100).cast("double") / 100).alias("confidence"),
+    )
 
 
-KNOWN = ", ".join(f"'{name}'" for name in CATEGORIES)
 HYBRID = (
-    sql_views("doc_meta", "routing_answers", "ml_results", "llm_answers")
+    sql_views("doc_meta", "routing_answers")
     + ASSISTED.removeprefix(sql_views("doc_meta", "routing_answers"))
     + fold_sql("settled")
+    + PROMPTED
     + PARSED
     + f""", answered AS (SELECT doc_id, CASE WHEN lower(category) IN ({KNOWN}) THEN lower(category) ELSE 'letter' END AS category,
-      greatest(0.0, least(1.0, confidence)) AS confidence FROM parsed JOIN llm_answers USING (doc_id) WHERE call_error IS NULL),
+      greatest(0.0, least(1.0, confidence)) AS confidence, reasoning FROM parsed JOIN llm_answers USING (doc_id) WHERE call_error IS NULL),
+  cheap AS ({CHEAP_SQL}),
   picked AS (SELECT r.doc_id, r.decision, s.confidence AS predicted, r.threshold, r.threshold_after,
-      CASE WHEN trim(d.content, E' \\n\\t\\r') = '' THEN 'Empty document content' END AS error,
-      r.decision = 'LLM' AND a.doc_id IS NOT NULL AS costly, a.category AS llm_category, a.confidence AS llm_confidence,
+      CASE WHEN trim(d.content, E' \\n\\t\\r') = '' THEN 'Empty document content'
+        WHEN (r.decision = 'ML' OR a.doc_id IS NULL) AND m.doc_id IS NULL THEN 'No classifier gave a result' END AS error,
+      r.decision = 'LLM' AND a.doc_id IS NOT NULL AS costly, a.category AS llm_category, a.confidence AS llm_confidence, a.reasoning,
       m.category AS ml_category, m.confidence AS ml_confidence
-    FROM routed r JOIN settled s USING (doc_id) JOIN doc_meta d USING (doc_id) JOIN ml_results m USING (doc_id) LEFT JOIN answered a USING (doc_id))
-  SELECT doc_id, CASE WHEN error IS NULL THEN CASE WHEN costly THEN llm_category ELSE ml_category END END AS category,
+    FROM routed r JOIN settled s USING (doc_id) JOIN doc_meta d USING (doc_id) LEFT JOIN cheap m USING (doc_id) LEFT JOIN answered a USING (doc_id)),
+  hybrid AS (SELECT doc_id, CASE WHEN error IS NULL THEN CASE WHEN costly THEN llm_category ELSE ml_category END END AS category,
     round(CASE WHEN error IS NULL THEN CASE WHEN costly THEN llm_confidence ELSE ml_confidence END END, 6) AS confidence,
     CASE WHEN error IS NULL THEN CASE WHEN costly THEN 'LLM' ELSE 'ML' END END AS classifier_type,
     decision, round(predicted, 6) AS predicted, threshold, threshold_after,
-    CASE WHEN error IS NULL THEN CASE WHEN costly THEN CAST(0.01 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END END AS cost, error FROM picked"""
+    CASE WHEN error IS NULL THEN CASE WHEN costly THEN CAST(0.01 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END END AS cost,
+    CASE WHEN costly THEN reasoning END AS reasoning, error FROM picked)"""
 )
 
 
-@check("hybrid_classify", HYBRID)
-def hybrid(spark, folder):
-    docs = spark_view(spark, folder, "doc_meta")
-    ml = spark_view(spark, folder, "ml_results").select("doc_id", "category", "confidence")
+def hybrid_results(spark, folder, mode="keep"):
     routing = spark_view(spark, folder, "routing_answers")
     results = hybrid_classify(
-        docs,
-        ml=lambda rows: rows.select("doc_id").join(ml, "doc_id"),
-        ask=stored_answers(spark, folder),
+        spark_view(spark, folder, "doc_meta"),
+        ml=cheap_model,
+        ask=reading_client,
         config=CONFIG,
         forecast=lambda featured: featured.withColumn("predicted", F.col("ml_confidence")),
         ask_route=lambda prompts: prompts.select("doc_id").join(routing, "doc_id"),
+        mode=mode,
     )
     return rounded(results, "confidence", "predicted")
 
 
+@check("hybrid_classify", HYBRID + " SELECT * FROM hybrid")
+def hybrid(spark, folder):
+    return hybrid_results(spark, folder)
+
+
+@check("hybrid_both_failed", HYBRID + " SELECT doc_id, decision, error FROM hybrid WHERE error IS NOT NULL")
+def hybrid_both_failed(spark, folder):
+    """Documents without a result: blank ones, and those neither model could classify."""
+    return hybrid_results(spark, folder).filter("error IS NOT NULL").select("doc_id", "decision", "error")
+
+
 @check(
     "custom_classifier",
     sql_views("doc_meta")

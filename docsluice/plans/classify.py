@@ -1,8 +1,9 @@
 """Classification of whole document tables by the cheap model, the costly one, or both under a budget.
 
 Documents have doc_id, content, sender_email, file_extension, file_size, ts_s and load.
-Texts are read where they lie and never shuffled: only routing numbers, samples
-for the costly model and results travel.
+Texts are read where they lie and never shuffled: only routing numbers, samples of
+the documents that go to the costly model (and of a few that a filter lets through)
+and results travel.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from docsluice.config import MAX_CHARS, RoutingConfig
 from docsluice.functions.answers import parse_category_answer
 from docsluice.functions.prompts import classification_prompt, metadata_json, routing_prompt
 from docsluice.functions.results import clamp, cost, normalize_category
-from docsluice.functions.text import sample_document
 from docsluice.operators.confidence import ConfidenceModel, predict_confidence
 from docsluice.operators.features import with_features
+from docsluice.operators.prefilter import likely_among
 from docsluice.operators.results import check_documents, keep_or_drop
 from docsluice.operators.routing import needs_reasoning, route_under_budget, with_routing_answers
 from docsluice.schema import FEATURE_NAMES
@@ -33,6 +34,10 @@ Forecast = Callable[[DataFrame], DataFrame]
 
 CLASSIFIERS: dict[str, Classifier] = {}
 
+# Error of a document that no classifier gave a result for, and the opening of the reason of a failed call.
+NO_RESULT = "No classifier gave a result"
+FAILED_CALL = "Classification failed: "
+
 
 def register_classifier(name: str, classifier: Classifier) -> None:
     """Makes a classifier of one's own available by name."""
@@ -112,17 +117,22 @@ def read_answers(answers: DataFrame) -> DataFrame:
 
 
 def llm_classify(docs: DataFrame, ask: Asker, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Every document by the costly model alone: a failed call gives the default category, confidence 0 and the reason."""
-    answered = read_answers(ask(category_prompts(docs, max_chars)))
+    """Every document by the costly model alone: doc_id, category, confidence, reasoning, error.
+
+    A failed call gives the default category, confidence 0 and the reason. A document
+    without text is not sent; it has an error and no category.
+    """
+    checked = check_documents(docs)
+    answered = read_answers(ask(category_prompts(checked.filter("error IS NULL"), max_chars)))
     failed = F.col("error").isNotNull()
-    return answered.select(
+    found = answered.select(
         "doc_id",
         F.when(failed, "letter").otherwise(F.col("category")).alias("category"),
         F.when(failed, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(failed, F.concat(F.lit("Classification failed: "), "error"))
-        .otherwise(F.col("reasoning"))
-        .alias("reasoning"),
+        F.when(failed, F.concat(F.lit(FAILED_CALL), "error")).otherwise(F.col("reasoning")).alias("reasoning"),
+        F.lit(None).cast("string").alias("error"),
     )
+    return found.unionByName(checked.filter("error IS NOT NULL").select("doc_id", "error"), allowMissingColumns=True)
 
 
 def hybrid_classify(
@@ -137,59 +147,51 @@ def hybrid_classify(
     """Routes every document and returns one result row each; `mode="drop"` leaves out documents that failed.
 
     Columns: doc_id, category, confidence, classifier_type, decision, predicted,
-    threshold, threshold_after, cost, error. Where the costly model fails, the
-    cheap one's result is used.
+    threshold, threshold_after, cost, reasoning, error. Where the costly model fails, the
+    cheap one's result is used; a document that neither can classify has an error and
+    neither category nor cost. Either model sees only the documents it is needed for.
     """
     routes = reliable(decide_routes(docs, config, forecast, ask_route))
     texts = check_documents(docs).filter("error IS NULL").drop("error")
-    cheap = ml(texts).select(
-        "doc_id", F.col("category").alias("_ml_category"), F.col("confidence").alias("_ml_confidence")
-    )
-    # The sample is cut before the join, so that no whole text is moved.
-    samples = texts.select(
-        "doc_id",
-        sample_document(F.col("content"), MAX_CHARS).alias("content"),
-        "sender_email",
-        "file_extension",
-        "file_size",
-    )
-    chosen = samples.join(routes.filter("decision = 'LLM'").select("doc_id"), "doc_id", "left_semi")
+    to_llm = routes.filter("decision = 'LLM' AND error IS NULL").select("doc_id")
+    # Texts of other documents are left out before samples are cut, and prompts before they are moved.
+    prompts = category_prompts(likely_among(texts, to_llm)).join(to_llm, "doc_id", "left_semi")
     # Kept, because a call must not be made twice.
-    costly = reliable(read_answers(ask(category_prompts(chosen)))).filter("error IS NULL").select(
+    costly = reliable(read_answers(ask(prompts))).filter("error IS NULL")
+    costly = costly.select(
         "doc_id",
-        F.lit(True).alias("_answered"),
+        F.lit("LLM").alias("_costly"),
         F.col("category").alias("_llm_category"),
         F.col("confidence").alias("_llm_confidence"),
+        F.col("reasoning").alias("reasoning"),
     )
-    joined = routes.join(cheap, "doc_id", "left").join(costly, "doc_id", "left")
-    answered = F.coalesce(F.col("_answered"), F.lit(False))
-    used = F.when(F.col("error").isNull(), F.when(answered, "LLM").otherwise("ML"))
-    results = joined.withColumns(
-        {
-            "category": F.when(
-                F.col("error").isNull(),
-                normalize_category(F.when(answered, F.col("_llm_category")).otherwise(F.col("_ml_category"))),
-            ),
-            "confidence": clamp(F.when(answered, F.col("_llm_confidence")).otherwise(F.col("_ml_confidence"))),
-            "classifier_type": used,
-            "cost": F.when(F.col("error").isNull(), cost(used)),
-        }
+    routed = reliable(routes.join(costly, "doc_id", "left"))
+    to_ml = routed.filter("_costly IS NULL AND error IS NULL").select("doc_id")
+    cheap = ml(likely_among(texts, to_ml)).select(
+        "doc_id",
+        F.lit("ML").alias("_cheap"),
+        F.col("category").alias("_ml_category"),
+        F.col("confidence").alias("_ml_confidence"),
     )
-    return keep_or_drop(
-        results.select(
-            "doc_id",
-            "category",
-            "confidence",
-            "classifier_type",
-            "decision",
-            "predicted",
-            "threshold",
-            "threshold_after",
-            "cost",
-            "error",
-        ),
-        mode,
+    joined = routed.join(cheap, "doc_id", "left")
+    used = F.coalesce("_costly", "_cheap")
+    error = F.coalesce("error", F.when(used.isNull(), NO_RESULT))
+    answered = F.col("_costly").isNotNull()
+    category = normalize_category(F.when(answered, F.col("_llm_category")).otherwise(F.col("_ml_category")))
+    results = joined.select(
+        "doc_id",
+        F.when(error.isNull(), category).alias("category"),
+        clamp(F.when(answered, F.col("_llm_confidence")).otherwise(F.col("_ml_confidence"))).alias("confidence"),
+        F.when(error.isNull(), used).alias("classifier_type"),
+        "decision",
+        "predicted",
+        "threshold",
+        "threshold_after",
+        F.when(error.isNull(), cost(used)).alias("cost"),
+        "reasoning",
+        error.alias("error"),
     )
+    return keep_or_drop(results, mode)
 
 
 def classify(
@@ -204,11 +206,13 @@ def classify(
         raise ValueError("no classifier available")
     checked = check_documents(docs)
     usable = checked.filter("error IS NULL").drop("error")
-    results = ml(usable) if ask is None else llm_classify(usable, ask)
+    results = ml(usable) if ask is None else llm_classify(usable, ask).drop("error")
     found = results.select(
         "doc_id",
         normalize_category(F.col("category")).alias("category"),
         clamp(F.col("confidence")).alias("confidence"),
         F.lit("ML" if ask is None else "LLM").alias("classifier_type"),
     )
-    return checked.select("doc_id", "error").join(found, "doc_id", "left").select(*found.columns, "error")
+    joined = checked.select("doc_id", "error").join(found, "doc_id", "left")
+    error = F.coalesce("error", F.when(F.col("classifier_type").isNull(), NO_RESULT))
+    return joined.select(*found.columns, error.alias("error"))
