@@ -33,8 +33,9 @@ from docsluice.llm.anchors import windows
 from docsluice.llm.common import as_bytes, joined, kept, slices
 
 LENGTH = 200
-CROWDED = 256
 COLLECTION = 1 << 15
+# An anchor is crowded if its contexts alone are more than a collection holds.
+CROWDED = COLLECTION
 SPAN = "first int, last int"
 
 

@@ -213,7 +213,7 @@ def plain_repeats(rows: list[tuple], length: int = 200) -> list[tuple]:
     return sorted(found)
 
 
-@pytest.mark.parametrize("crowded", [256, 1])
+@pytest.mark.parametrize("crowded", [32_768, 1])
 def test_remove_repeats(spark, crowded):
     for docs in (awkward.frame(spark).filter("text IS NULL OR length(text) < 10000"), small(spark)):
         rows = texts(docs)
