@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docsluice.schema import CATEGORIES
-from docsluice.session import spread
 
 
 def pick(place: str) -> str:
@@ -154,8 +153,6 @@ VIEWS: dict[str, tuple[dict[str, str], str]] = {
 def spark_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     columns, condition = VIEWS[name]
     documents = spark.read.parquet(f"{folder}/documents.parquet").filter(condition)
-    if name == "doc_meta":
-        documents = spread(documents, "doc_id")
     based = documents.selectExpr("*", *[f"{rule} AS {column}" for column, rule in BASE.items()])
     return based.selectExpr(*[f"{rule} AS {column}" for column, rule in columns.items()])
 

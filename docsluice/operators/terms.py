@@ -14,13 +14,12 @@ from pyspark.ml.feature import (
     Normalizer,
     StopWordsRemover,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.config import TermConfig
-from docsluice.session import reliable
+from docsluice.session import bounded, reliable
 
 # Fixed value: a token is a run of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -111,11 +110,19 @@ def term_pipeline(vocabulary: DataFrame, weighting: str = "tfidf", output: str =
     return PipelineModel(stages)
 
 
+def entries(vector: Column) -> Column:
+    """The stored entries of a sparse vector as an array of (index, weight); what is not stored costs nothing."""
+    parts = F.unwrap_udt(vector)
+    return F.zip_with(
+        parts["indices"], parts["values"], lambda index, weight: F.struct(index.alias("index"), weight.alias("weight"))
+    )
+
+
 def term_weights(vectors: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows (key, term, weight) from `term_vector`."""
+    """Rows (key, term, weight) from the sparse `term_vector`."""
     return (
-        vectors.select(key, F.posexplode(vector_to_array("term_vector")).alias("index", "weight"))
+        vectors.select(key, F.inline(entries(F.col("term_vector"))))
         .filter(F.col("weight") != 0)
-        .join(F.broadcast(vocabulary.select("index", "term")), "index")
+        .join(bounded(vocabulary.select("index", "term")), "index")
         .select(key, "term", "weight")
     )

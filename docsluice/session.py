@@ -46,16 +46,16 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A summary for a join, computed once; broadcast only if it has proved to be small."""
-    kept = reliable(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The frame on all cores: tables that come in fewer pieces than there are cores are shuffled by key.
-
-    A large table has more pieces than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def bounded(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """A summary for a join, computed once; broadcast only if its stored size has proved to be small."""
+    path = fresh_path(df.sparkSession, "summary")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(kept) if stored_bytes(df.sparkSession, path) <= most_bytes else kept
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of what is stored under a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(place).getLength()
