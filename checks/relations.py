@@ -418,6 +418,30 @@ def threshold_update(spark, folder):
     return rounded(update, "accuracy", "mistake_confidence")
 
 
+# Every update point adjusts what the one before it left, on the evidence of the newest 5,000 rows up to it.
+PATH = (
+    JUDGED
+    + """, numbered AS (SELECT *, row_number() OVER (ORDER BY ts_s, doc_id) AS place FROM flags),
+  points AS (SELECT place AS arrived, least(place, 5000) AS buffered FROM numbered WHERE least(place, 5000) >= 100 AND least(place, 5000) % 50 = 0),
+  seen AS (SELECT arrived, count(*) AS rows, count(*) FILTER (known) AS judged, count(*) FILTER (known AND right_route) AS correct,
+    count(*) FILTER (ml_mistake) AS ml_mistakes, count(*) FILTER (llm_mistake) AS llm_mistakes,
+    avg(ml_confidence) FILTER (ml_mistake) AS mistake_confidence
+    FROM points JOIN numbered ON place BETWEEN arrived - 4999 AND arrived GROUP BY arrived),
+  moves AS (SELECT *, row_number() OVER (ORDER BY arrived) AS step, CASE WHEN rows >= 10 AND correct / judged < 0.7 THEN
+      CASE WHEN ml_mistakes > llm_mistakes THEN CASE WHEN mistake_confidence < 0.8 THEN 5000 ELSE 2000 END
+        WHEN llm_mistakes > ml_mistakes THEN -3000 ELSE 0 END ELSE 0 END AS move FROM seen),
+  walk AS (SELECT step, CASE WHEN move = 0 THEN 750000 ELSE greatest(100000, least(900000, 750000 + move)) END AS value FROM moves WHERE step = 1
+    UNION ALL SELECT m.step, CASE WHEN move = 0 THEN value ELSE greatest(100000, least(900000, value + move)) END FROM walk w JOIN moves m ON m.step = w.step + 1),
+  path AS (SELECT arrived, rows, judged, correct, ml_mistakes, llm_mistakes, CAST(value AS DOUBLE) / 1000000 AS threshold FROM moves JOIN walk USING (step))"""
+)
+
+
+@check("threshold_path", PATH + " SELECT * FROM path")
+def threshold_path(spark, folder):
+    path = feedback.threshold_path(judged(spark, folder), 0.75, RoutingConfig(), ["ts_s", "doc_id"], rows_per_chunk=1000)
+    return path.drop("ts_s", "doc_id")
+
+
 @check(
     "update_points",
     "WITH "
@@ -611,10 +635,4 @@ def prepare_data(spark, folder):
 )
 def route_union(spark, folder):
     routes = spark_view(spark, folder, "routes")
-    parts = [
-        rows.join(routes.filter(F.col("decision") == kind).select("doc_id"), "doc_id", "left_semi").select(
-            "doc_id", "category", "confidence", F.lit(kind).alias("classifier_type")
-        )
-        for kind, rows in zip(("ML", "LLM"), both(spark, folder))
-    ]
-    return parts[0].unionByName(parts[1])
+    return results.by_route(routes, *both(spark, folder))

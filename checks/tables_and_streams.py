@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import relations
 from checks.registry import check, rounded, table
-from checks.relations import EXAMPLE_SQL, JUDGED, UNION_SQL, tail_sql
+from checks.relations import EXAMPLE_SQL, JUDGED, PATH, UNION_SQL, tail_sql
 from checks.routes import CONFIG, EVENTS, fold_sql
 from checks.views import event_rows, spark_view, sql_views
 from docsluice.config import RoutingConfig
@@ -162,6 +162,23 @@ def feedback_file(spark, folder):
     return path
 
 
+@check(
+    "record_round_trip",
+    sql_views("doc_meta", "batch")
+    + """ SELECT d.doc_id, length(d.content) AS content_length, b.decision AS routing_decision, b.category, n.n AS read_back FROM batch b
+    JOIN doc_meta d USING (doc_id) CROSS JOIN (SELECT count(*) AS n FROM batch WHERE error IS NULL) n WHERE b.error IS NULL""",
+)
+def record_round_trip(spark, folder):
+    """History of classified documents; their feedback is appended to the log and all of it comes back with its features."""
+    batch = spark_view(spark, folder, "batch").select("doc_id", "category", "confidence", "decision", "predicted", "processing_time_ms", "error")
+    classified = batch.withColumn("classifier_type", F.col("decision"))
+    history, rows = learning.record(classified, spark_view(spark, folder, "doc_meta"))
+    path = fresh_path(spark, "recorded")
+    tables.append_feedback(feedback.feedback_log(rows), path)
+    back = tables.read_feedback(spark, path).filter("features.word_count IS NOT NULL").count()
+    return history.select("doc_id", "content_length", "routing_decision", "category", F.lit(back).cast("long").alias("read_back"))
+
+
 @check(
     "load_feedback",
     UNION_SQL + " SELECT routing_decision, round(ml_confidence, 6) AS ml_confidence, actual_category FROM log WHERE type = 'performance_feedback'",
@@ -247,6 +264,16 @@ def learn_from_feedback(spark, folder):
     )
 
 
+def in_order(spark, frame, order, parts):
+    """A stream that meets the rows in that many micro-batches, in their order."""
+    source = fresh_path(spark, "arriving")
+    bounds = frame.approxQuantile(order, [part / parts for part in range(1, parts)], 0.0)
+    place = sum((F.col(order) >= bound).cast("int") for bound in bounds)
+    for part in range(parts):
+        frame.filter(place == part).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 def event_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
@@ -300,37 +327,27 @@ def stream_route(spark, folder):
 
 @check("stream_route_batches", ROUTED)
 def stream_route_batches(spark, folder):
-    """The same with the batch router inside each micro-batch, for hours too busy for one task."""
+    """The same with the batch router inside each of four micro-batches, for hours too busy for one task."""
     out, state = fresh_path(spark, "routes"), fresh_path(spark, "counters")
     sink = streams.routing_sink(out, state, CONFIG)
-    finished(streams.run_batches(request_stream(spark, folder), sink, fresh_path(spark, "routes-log")))
+    requests = in_order(spark, event_rows(spark, folder), "ts_s", 4)
+    finished(streams.run_batches(requests, sink, fresh_path(spark, "routes-log")))
     return spark.read.parquet(out).drop("batch")
 
 
-def feedback_stream(spark, folder):
-    """Judged feedback as files a stream can pick up."""
-    source = fresh_path(spark, "arriving")
-    rows = relations.judged(spark, folder).withColumn("timestamp", F.col("ts_s").cast("double"))
-    rows.write.parquet(source)
-    return spark.readStream.schema(rows.schema).parquet(source)
-
-
 @check(
     "stream_feedback",
-    JUDGED.replace("FROM judged)", "FROM (SELECT * FROM judged ORDER BY ts_s DESC, doc_id DESC LIMIT 5000))")
-    + """ SELECT (SELECT count(*) FROM judged) AS stored, rows, judged, correct,
-      round(CASE WHEN rows >= 10 AND correct / judged < 0.7 THEN greatest(0.1, least(0.9, CAST(0.75 AS DOUBLE) + 0.1 *
-        CASE WHEN ml_mistakes > llm_mistakes THEN CASE WHEN mistake_confidence < 0.8 THEN 0.05 ELSE 0.02 END
-          WHEN llm_mistakes > ml_mistakes THEN -0.03 ELSE 0 END)) ELSE CAST(0.75 AS DOUBLE) END, 6) AS threshold FROM evidence""",
+    PATH + " SELECT (SELECT count(*) FROM judged) AS stored, path.* FROM path",
 )
 def stream_feedback(spark, folder):
-    """Feedback stored by the stream, and the threshold learned when it had arrived."""
+    """Feedback stored by a stream of three micro-batches, and the threshold at every update point on the way."""
     stored, state = fresh_path(spark, "stored"), fresh_path(spark, "state")
     sink = streams.learning_sink(stored, state, RoutingConfig(), 0.75)
-    finished(streams.run_batches(feedback_stream(spark, folder), sink, fresh_path(spark, "learning-log")))
-    count = spark.read.parquet(f"{stored}/rows").agg(F.count("*").alias("stored"))
-    learned = spark.read.parquet(state).orderBy(F.col("batch").desc()).limit(1)
-    return learned.select("rows", "judged", "correct", "threshold", F.lit(count.first().stored).alias("stored"))
+    rows = relations.judged(spark, folder).withColumn("timestamp", F.col("ts_s").cast("double"))
+    finished(streams.run_batches(in_order(spark, rows, "timestamp", 3), sink, fresh_path(spark, "learning-log")))
+    count = spark.read.parquet(f"{stored}/rows").count()
+    points = spark.read.parquet(state).filter("rows IS NOT NULL").drop("batch")
+    return points.withColumn("stored", F.lit(count).cast("long"))
 
 
 @check(
@@ -343,12 +360,10 @@ def stream_feedback(spark, folder):
 )
 def stream_stats(spark, folder):
     """Statistics of the newest classifications, recomputed with each micro-batch."""
-    source, stored, stats = (fresh_path(spark, name) for name in ("arriving", "stored", "stats"))
+    stored, stats = (fresh_path(spark, name) for name in ("stored", "stats"))
     history = spark_view(spark, folder, "history")
-    history.write.parquet(source)
     sink = streams.stats_sink(stored, stats, metrics.recent_history_stats, 100)
-    arriving = spark.readStream.schema(history.schema).parquet(source)
-    finished(streams.run_batches(arriving, sink, fresh_path(spark, "stats-log")))
+    finished(streams.run_batches(in_order(spark, history, "ts_s", 3), sink, fresh_path(spark, "stats-log")))
     newest = spark.read.parquet(stats).orderBy(F.col("batch").desc()).limit(1).drop("batch")
     newest = newest.withColumnRenamed("total", "total_classifications")
     return rounded(newest, "avg_processing_time_ms", "routing_accuracy_estimate")

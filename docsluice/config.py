@@ -19,6 +19,8 @@ class RoutingConfig:
     learning_rate: float = 0.1
     # An hour with more rows than this is folded in several chunks.
     rows_per_fold: int = 200_000
+    # The newest feedback rows that a change of the threshold or a retrained predictor rests on.
+    feedback_buffer: int = 5000
 
     def __post_init__(self) -> None:
         for name in ("base_threshold", "max_llm_ratio"):
@@ -26,8 +28,8 @@ class RoutingConfig:
                 raise ValueError(f"{name} must lie between 0 and 1")
         if self.budget_per_hour <= 0:
             raise ValueError("budget_per_hour must be positive")
-        if self.rows_per_fold < 1:
-            raise ValueError("rows_per_fold must be positive")
+        if self.rows_per_fold < 1 or self.feedback_buffer < 1:
+            raise ValueError("rows_per_fold and feedback_buffer must be positive")
 
     @property
     def budget_mills(self) -> int:

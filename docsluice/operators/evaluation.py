@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions.names import suffix
-from docsluice.session import bounded
+from docsluice.operators.ordering import running_totals
+from docsluice.session import bounded, reliable
 
 
 def model_accuracy(predictions: DataFrame) -> DataFrame:
@@ -32,12 +33,13 @@ def _pair_counts(predictions: DataFrame) -> DataFrame:
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
     """Counts for every pair of occurring classes, zeros included."""
-    counts = _pair_counts(predictions)
-    # Class names only: one short array, unfolded twice.
-    classes = counts.agg(F.array_union(F.collect_set("label"), F.collect_set("prediction")).alias("classes"))
-    pairs = classes.select(F.explode("classes").alias("label"), "classes").select(
-        "label", F.explode("classes").alias("prediction")
-    )
+    counts = reliable(_pair_counts(predictions))
+    classes = counts.select(F.explode(F.array("label", "prediction")).alias("class")).filter("class IS NOT NULL").distinct()
+    # The matrix is the feature itself: a row per pair of classes, whatever the number of predictions.
+    numbered = reliable(running_totals(classes, [], ["class"], {"number": F.lit(1)}))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(numbered.count() - 1).cast("long"))
+    wanted = numbered.select(F.col("class").alias("label"), F.explode(every).alias("number"))
+    pairs = wanted.join(numbered.withColumnRenamed("class", "prediction"), "number").drop("number")
     return pairs.join(counts, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
@@ -116,7 +118,6 @@ def top_extensions(df: DataFrame, filename: str = "filename", n: int = 8) -> Dat
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds `label_encoded`: the place of the label in the alphabet of all labels, from 0."""
-    codes = df.agg(F.array_sort(F.collect_set(label)).alias("labels")).select(
-        F.posexplode("labels").alias("label_encoded", label)
-    )
-    return df.join(bounded(codes.withColumn("label_encoded", F.col("label_encoded").cast("long"))), label, "left")
+    labels = df.select(label).filter(F.col(label).isNotNull()).distinct()
+    codes = running_totals(labels, [], [label], {"label_encoded": F.lit(1)})
+    return df.join(bounded(codes), label, "left")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
 from docsluice.operators.ordering import newest
 from docsluice.operators.routing import hour_of
@@ -79,14 +81,28 @@ def history_stats(history: DataFrame, recent: int = 100) -> DataFrame:
 
 
 def system_stats(**sections: DataFrame) -> DataFrame:
-    """One-row statistics as rows (section, metric, value)."""
-    parts = [
-        frame.select(F.explode(_entries(frame)).alias("entry")).select(
-            F.lit(section).alias("section"), "entry.metric", "entry.value"
-        )
-        for section, frame in sections.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Statistics as rows (section, metric, value).
+
+    A section is a one-row frame of numbers, such as load or settings (see `settings`),
+    or rows (kind, name, n), such as `feedback_stats`.
+    """
+    return reduce(DataFrame.unionByName, [_section(name, frame) for name, frame in sections.items()])
+
+
+def settings(spark: SparkSession, config: RoutingConfig, **more: float) -> DataFrame:
+    """The numbers of a configuration, and others such as the load, as a one-row frame."""
+    numbers = {**asdict(config), **more}
+    return spark.createDataFrame(
+        [tuple(float(value) for value in numbers.values())], ", ".join(f"{name} double" for name in numbers)
+    )
+
+
+def _section(name: str, frame: DataFrame) -> DataFrame:
+    section = F.lit(name).alias("section")
+    if frame.columns == ["kind", "name", "n"]:
+        return frame.select(section, F.concat_ws(" ", "kind", "name").alias("metric"), F.col("n").cast("double").alias("value"))
+    rows = frame.select(F.explode(_entries(frame)).alias("entry"))
+    return rows.select(section, "entry.metric", "entry.value")
 
 
 def _entries(frame: DataFrame) -> Column:

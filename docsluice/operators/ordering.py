@@ -69,7 +69,12 @@ def newest(df: DataFrame, n: int, ts: str = "ts_s", key: str = "doc_id") -> Data
 
 
 def newest_per_key(df: DataFrame, key: str, ts: str = "ts_s", tie: str = "doc_id") -> DataFrame:
-    """The newest row of each key, reduced before the shuffle so that a key with many copies stays cheap."""
-    row = F.struct(*[F.col(name) for name in df.columns])
-    kept = df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(ts, tie)).alias("_row"))
-    return kept.select("_row.*")
+    """The newest row of each key; of rows alike in key, time and tie one.
+
+    Only key, time and tie are reduced, before the shuffle, so that a key with many
+    copies stays cheap and no row is sorted by what else it holds.
+    """
+    last = df.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(ts, tie)).alias("_last"))
+    own = F.struct(F.col(ts), F.col(tie))
+    found = df.join(last, F.col(key).eqNullSafe(F.col("_key")) & own.eqNullSafe(F.col("_last")))
+    return found.select(*df.columns).dropDuplicates([key])

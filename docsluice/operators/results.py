@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from docsluice.functions.results import clamp, normalize_category, result_line
 from docsluice.functions.text import is_blank, preview
 
+# Fixed value: callers compare with it.
 EMPTY_DOCUMENT = "Empty document content"
 
+# Columns of a detailed result, in the order they are shown; what is null is left out.
+DETAILS = (
+    "path", "category", "confidence", "decision", "predicted", "processing_time_ms", "file_size",
+    "file_extension", "reasoning", "error",
+)
+
 
 def check_documents(docs: DataFrame, content: str = "content") -> DataFrame:
     """Adds `error`, set for documents without any text."""
@@ -55,9 +62,15 @@ def project_results(results: DataFrame, detailed: bool = False) -> DataFrame:
 
 
 def format_results(results: DataFrame, style: str = "text") -> DataFrame:
-    """Adds `line`: one line of text or a JSON object per result."""
+    """Adds `line`: one line of text, several lines (`detailed`) or a JSON object per result."""
+    if style not in ("text", "detailed", "json"):
+        raise ValueError("style must be text, detailed or json")
     if style == "json":
         return results.withColumn("line", F.to_json(F.struct(*results.columns)))
+    if style == "detailed":
+        shown = [name for name in DETAILS if name in results.columns]
+        lines = [F.concat(F.lit(f"{name}: "), F.col(name).cast("string")) for name in shown]
+        return results.withColumn("line", F.concat_ws("\n", *lines))
     line = result_line(*[F.col(name) for name in ("path", "category", "confidence", "decision", "error")])
     return results.withColumn("line", line)
 
@@ -100,10 +113,12 @@ def example_pairs(ml: DataFrame, llm: DataFrame) -> DataFrame:
 def comparative_feedback(ml: DataFrame, llm: DataFrame, hashes: DataFrame, truth: DataFrame) -> DataFrame:
     """Correctness of both classifiers against the ground truth of the content, null where there is none.
 
-    `hashes` has doc_id and content_hash, `truth` one row (content_hash, true_category) per content.
+    `hashes` has doc_id and content_hash, and `features`, `metadata` and `timestamp` if
+    they are to be kept; `truth` one row (content_hash, true_category) per content.
     """
+    described = [name for name in ("features", "metadata", "timestamp") if name in hashes.columns]
     known = hashes.join(truth.select("content_hash", "true_category"), "content_hash", "left")
-    pairs = _pairs(ml, llm).join(known.select("doc_id", "true_category"), "doc_id", "left")
+    pairs = _pairs(ml, llm).join(known.select("doc_id", "true_category", *described), "doc_id", "left")
     true = F.lower(F.nullif(F.col("true_category"), F.lit("")))
     return pairs.select(
         "doc_id",
@@ -117,9 +132,21 @@ def comparative_feedback(ml: DataFrame, llm: DataFrame, hashes: DataFrame, truth
         F.col("llm_time_ms").alias("processing_time_llm"),
         _known(F.col("ml_cost"), 0.001).alias("cost_ml"),
         _known(F.col("llm_cost"), 0.01).alias("cost_llm"),
+        *described,
     )
 
 
+def by_route(routes: DataFrame, ml: DataFrame, llm: DataFrame) -> DataFrame:
+    """The results of the classifier each document was sent to: doc_id, category, confidence, classifier_type."""
+    parts = [
+        rows.join(routes.filter(F.col("decision") == kind).select("doc_id"), "doc_id", "left_semi").select(
+            "doc_id", "category", "confidence", F.lit(kind).alias("classifier_type")
+        )
+        for kind, rows in (("ML", ml), ("LLM", llm))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def fall_back(wanted: DataFrame, llm: DataFrame, ml: DataFrame) -> DataFrame:
     """For each wanted doc_id the costly result, or the cheap one where that failed."""
     names = ["category", "confidence", "cost"]

@@ -31,7 +31,10 @@ def stratified_split(
     prefix that straddles it, from its few rows; rows are then compared with the
     cut where they are. No label is ever gathered in one place.
     """
-    rows = df.withColumn("_hash", _shuffled_key(key, seed)).withColumn("_prefix", F.left("_hash", F.lit(4)))
+    # A null label is a label; the struct compares like any value in joins.
+    own = F.struct(F.col(label).isNull().alias("none"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("name"))
+    rows = df.withColumn("_label", own).withColumn("_hash", _shuffled_key(key, seed))
+    rows, label = rows.withColumn("_prefix", F.left("_hash", F.lit(4))), "_label"
     counts = rows.groupBy(label, "_prefix").agg(F.count("*").alias("_n"))
     by_prefix = Window.partitionBy(label).orderBy("_prefix")
     wanted = F.round(F.sum("_n").over(Window.partitionBy(label)) * F.lit(test_share)).cast("long")

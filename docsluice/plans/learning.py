@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +12,18 @@ from docsluice.config import RoutingConfig, TermConfig
 from docsluice.operators.confidence import ConfidenceModel, train_confidence
 from docsluice.operators.evaluation import best_model, model_accuracy
 from docsluice.operators.features import with_features
-from docsluice.operators.feedback import BUFFER_SIZE, RETRAIN_FROM, threshold_update
+from docsluice.operators.feedback import (
+    RETRAIN_FROM,
+    history_rows,
+    performance_feedback,
+    threshold_update,
+)
 from docsluice.operators.learners import estimators, fit_assembly, predict, prepare, train_models
 from docsluice.operators.ordering import newest
 from docsluice.operators.results import example_pairs
 from docsluice.operators.splits import sample_n, stratified_split
 from docsluice.plans.classify import Classifier
-from docsluice.session import reliable
+from docsluice.session import exists, reliable
 
 
 def bootstrap_examples(
@@ -91,7 +96,7 @@ def learn_from_feedback(
 
     `feedback` has the columns of a routing example and doc_id; its newest rows count.
     """
-    recent = reliable(newest(feedback, BUFFER_SIZE, "timestamp"))
+    recent = reliable(newest(feedback, config.feedback_buffer, "timestamp"))
     update = threshold_update(recent, current, config)
     model = None
     if recent.count() >= RETRAIN_FROM:
@@ -105,5 +110,32 @@ def save_state(spark: SparkSession, path: str, version: int, threshold: float) -
 
 
 def load_threshold(spark: SparkSession, path: str, default: float) -> float:
+    """The newest stored threshold; the default as long as nothing has been stored."""
+    if not exists(spark, path):
+        return default
     newest_state = spark.read.parquet(path).orderBy(F.col("version").desc()).limit(1).collect()
     return newest_state[0].threshold if newest_state else default
+
+
+def learned_config(spark: SparkSession, path: str, config: RoutingConfig) -> RoutingConfig:
+    """The configuration with the threshold that was learned last, for the next run of the router."""
+    return replace(config, base_threshold=load_threshold(spark, path, config.base_threshold))
+
+
+def record(results: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History and feedback rows of classified documents.
+
+    `results` are those of `hybrid_classify`, with `processing_time_ms` if it was
+    measured; `docs` their documents. Documents with an error leave no trace.
+    """
+    metadata = F.struct(
+        F.col("sender_email"),
+        F.col("file_extension"),
+        F.col("file_size"),
+        F.col("ts_s").cast("string").alias("timestamp"),
+        F.lit(None).cast("string").alias("source_system"),
+    )
+    described = with_features(docs).select("doc_id", "ts_s", "content", "features", metadata.alias("metadata"))
+    timed = results if "processing_time_ms" in results.columns else results.withColumn("processing_time_ms", F.lit(None).cast("double"))
+    classified = timed.filter("error IS NULL").join(described, "doc_id")
+    return history_rows(classified), performance_feedback(classified)

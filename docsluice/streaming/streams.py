@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
-from docsluice.operators.feedback import BUFFER_SIZE, FIRST_UPDATE, UPDATE_STEP, threshold_update
+from docsluice.operators.confidence import train_confidence
+from docsluice.operators.feedback import FIRST_UPDATE, RETRAIN_FROM, UPDATE_STEP, threshold_path
 from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -39,7 +39,7 @@ def stream_usage(routes: DataFrame, delay: str = "10 minutes") -> DataFrame:
 class HourBudget(StatefulProcessor):
     """Keeps the counters of one hour between micro-batches."""
 
-    def __init__(self, config: RoutingConfig, keep_ms: int) -> None:
+    def __init__(self, config: RoutingConfig, keep_ms: int | None) -> None:
         self.config = config
         self.keep_ms = keep_ms
 
@@ -59,11 +59,13 @@ class HourBudget(StatefulProcessor):
         pass
 
 
-def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int = 48) -> DataFrame:
+def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int | None = None) -> DataFrame:
     """Decisions for a stream of rows (doc_id, ts_s, predicted, load, forced).
 
-    Needs the RocksDB state store. A late row meets its hour's counters as long as
-    they are kept. The source's rate limit bounds what one hour brings at a time.
+    Needs the RocksDB state store. The counters of an hour, two numbers, are kept for
+    good, or for `keep_hours` of processing time if it is certain that no row comes
+    later than that. What one hour brings in a micro-batch is handled by one task, so
+    a source without a rate limit belongs to `routing_sink`.
     """
     slim = rows.select(
         "doc_id",
@@ -74,7 +76,7 @@ def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int = 48)
         hour_of(F.col("ts_s")).alias("hour_s"),
     )
     return slim.groupBy("hour_s").transformWithStateInPandas(
-        statefulProcessor=HourBudget(config, keep_hours * 3_600_000),
+        statefulProcessor=HourBudget(config, None if keep_hours is None else keep_hours * 3_600_000),
         outputStructType=DECISION_SCHEMA,
         outputMode="Append",
         timeMode="ProcessingTime",
@@ -116,117 +118,140 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _arrivals(spark: SparkSession, path: str, batch_id: int, wanted: int) -> tuple[int, int, int]:
-    """From the sizes of the micro-batches: the first one needed for the newest `wanted` rows, rows before, rows now."""
-    sizes = spark.read.parquet(path).filter((F.col("batch") <= batch_id) & (F.col("n") > 0))
-    totals = sizes.agg(
-        F.coalesce(F.sum(F.when(F.col("batch") < batch_id, F.col("n"))), F.lit(0)).alias("before"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("now"),
-    ).first()
-    first, missing = batch_id, wanted
-    # Each of them holds a row at least, hence no more than `wanted` are looked at.
-    for row in sizes.orderBy(F.col("batch").desc()).limit(wanted).collect():
-        first, missing = row.batch, missing - row.n
-        if missing <= 0:
-            break
-    return first, totals.before, totals.now
-
-
-def _keep(batch: DataFrame, batch_id: int, path: str) -> SparkSession:
-    """Stores a micro-batch and its size."""
+def _keep(batch: DataFrame, batch_id: int, path: str, wanted: int) -> tuple[SparkSession, list[tuple[int, int]], int, int]:
+    """Stores a micro-batch; gives the batches that hold the newest `wanted` rows, rows before it and rows now.
+
+    The sizes stored with a batch name all earlier batches that are still needed and
+    the number of all rows, so that only the sizes of the batch before are read.
+    """
     session = batch.sparkSession
     batch_sink(f"{path}/rows")(batch, batch_id)
-    stored = session.read.parquet(f"{path}/rows/batch={batch_id}")
-    batch_sink(f"{path}/sizes")(stored.agg(F.count("*").alias("n")), batch_id)
-    return session
-
-
-def _recent(spark: SparkSession, path: str, first: int, batch_id: int, n: int, ts: str) -> DataFrame:
-    """The newest n rows; only the folders of the batches that hold them are read."""
-    rows = spark.read.parquet(f"{path}/rows").filter(F.col("batch").between(first, batch_id))
+    n = session.read.parquet(f"{path}/rows/batch={batch_id}").count()
+    known, before = [], 0
+    if batch_id > 0:
+        stored = session.read.parquet(f"{path}/sizes/batch={batch_id - 1}").orderBy(F.col("of").desc()).collect()
+        known, before = [(row["of"], row["n"]) for row in stored if row["n"]], max(row["total"] for row in stored)
+    needed, missing = [], wanted
+    for of, size in [(batch_id, n), *known]:
+        if missing > 0 and size:
+            needed.append((of, size))
+            missing -= size
+    # The batch itself is always named, for the total; empty batches are not.
+    listed = [(of, size, before + n) for of, size in needed] or [(batch_id, 0, before + n)]
+    sizes = session.createDataFrame(listed, "of long, n long, total long").coalesce(1)
+    batch_sink(f"{path}/sizes")(sizes, batch_id)
+    return session, needed, before, before + n
+
+
+def _recent(spark: SparkSession, path: str, needed: list[tuple[int, int]], n: int, ts: str) -> DataFrame:
+    """The newest n rows with their `batch`; only the folders that hold them are listed and read."""
+    folders = [f"{path}/rows/batch={of}" for of, _ in needed]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders)
     return rows.orderBy(F.col("batch").desc(), F.col(ts).desc(), F.col("doc_id").desc()).limit(n)
 
 
 def learning_sink(
-    feedback_path: str, state_path: str, config: RoutingConfig, start: float
+    feedback_path: str,
+    state_path: str,
+    config: RoutingConfig,
+    start: float,
+    model_path: str | None = None,
+    iterations: int = 100,
+    depth: int = 6,
 ) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: stores feedback and, when a batch passes an update point, a new threshold.
-
-    The threshold of a batch is a function of the stored batches up to it, so a
-    repeated batch gives the same row again.
+    """For foreachBatch: stores feedback, and the threshold after every update point a batch passes.
+
+    Rows of a batch count in the order of time, so batches in that order give the same
+    thresholds however they are cut. Each batch stores its points, the last of which
+    (or the threshold it found) the next one starts from; the result is a function of
+    the stored batches up to it, so a repeated batch gives the same rows again. With
+    `model_path` the confidence predictor is trained anew on the newest rows whenever
+    a point calls for it, once per batch, into a folder of the batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = _keep(batch, batch_id, feedback_path)
-        first, before, now = _arrivals(session, f"{feedback_path}/sizes", batch_id, BUFFER_SIZE)
-        if not passes_update_point(before, now):
+        # The rows before the batch that its points look back to, and the batch itself.
+        session, needed, before, now = _keep(batch, batch_id, feedback_path, config.feedback_buffer)
+        current = start
+        if batch_id > 0:
+            state = session.read.parquet(f"{state_path}/batch={batch_id - 1}")
+            current = state.orderBy(F.col("arrived").desc()).limit(1).collect()[0].threshold
+        nothing = session.createDataFrame([(before, current)], "arrived long, threshold double")
+        if not passes_update_point(before, now, config.feedback_buffer):
+            batch_sink(state_path)(nothing, batch_id)
             return
-        current = _stored_threshold(session, state_path, batch_id, start)
-        recent = _recent(session, feedback_path, first, batch_id, BUFFER_SIZE, "timestamp")
-        batch_sink(state_path)(threshold_update(recent, current, config), batch_id)
+        here = session.read.parquet(f"{feedback_path}/rows/batch={batch_id}").withColumn("batch", F.lit(batch_id))
+        rows, earlier = here, before
+        older = [(of, size) for of, size in _look_back(session, feedback_path, batch_id) if of < batch_id]
+        if older:
+            kept = _recent(session, feedback_path, older, config.feedback_buffer, "timestamp")
+            rows, earlier = here.unionByName(kept), before - min(config.feedback_buffer, sum(size for _, size in older))
+        path = threshold_path(rows, current, config, ["batch", "timestamp", "doc_id"], earlier, moved_from=before)
+        points = path.drop("batch", "timestamp", "doc_id")
+        batch_sink(state_path)(nothing.unionByName(points, allowMissingColumns=True).coalesce(1), batch_id)
+        if model_path is not None and now >= RETRAIN_FROM:
+            recent = _recent(session, feedback_path, needed, config.feedback_buffer, "timestamp")
+            model = train_confidence(recent, ["timestamp", "doc_id"], iterations, depth)
+            if model is not None:
+                model.pipeline.write().overwrite().save(f"{model_path}/batch={batch_id}")
 
     return write
 
 
+def _look_back(spark: SparkSession, path: str, batch_id: int) -> list[tuple[int, int]]:
+    """The earlier batches that held the newest rows before this one."""
+    if batch_id == 0:
+        return []
+    return [(row["of"], row["n"]) for row in spark.read.parquet(f"{path}/sizes/batch={batch_id - 1}").collect() if row["n"]]
+
+
 def stats_sink(
     history_path: str, stats_path: str, statistics: Callable[[DataFrame], DataFrame], recent: int, ts: str = "ts_s"
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: stores history, and the statistics of its newest rows with the number of all."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = _keep(batch, batch_id, history_path)
-        first, _, now = _arrivals(session, f"{history_path}/sizes", batch_id, recent)
-        tail = _recent(session, history_path, first, batch_id, recent, ts)
+        session, needed, _, now = _keep(batch, batch_id, history_path, recent)
+        if not needed:
+            return
+        tail = _recent(session, history_path, needed, recent, ts).drop("batch")
         batch_sink(stats_path)(statistics(tail).withColumn("total", F.lit(now)), batch_id)
 
     return write
 
 
-def passes_update_point(earlier: int, now: int) -> bool:
-    """Does the feedback counter meet an update point on its way from `earlier` to `now`?"""
+def passes_update_point(earlier: int, now: int, buffer: int = RoutingConfig.feedback_buffer) -> bool:
+    """Does the feedback counter meet an update point on its way from `earlier` to `now`?
+
+    Once the buffer is full every row does, if the size of the buffer is a multiple of the step.
+    """
     if now <= earlier or now < FIRST_UPDATE:
         return False
-    if now > BUFFER_SIZE:
-        return True
+    full = buffer >= FIRST_UPDATE and buffer % UPDATE_STEP == 0
+    if now > buffer:
+        return full or min(earlier, buffer) // UPDATE_STEP < buffer // UPDATE_STEP
     return now // UPDATE_STEP > max(earlier, FIRST_UPDATE - 1) // UPDATE_STEP
 
 
-def _stored_threshold(spark: SparkSession, path: str, before: int, start: float) -> float:
-    states = _stored_before(spark, path, before)
-    if states is None:
-        return start
-    last = states.orderBy(F.col("batch").desc()).limit(1).collect()
-    return last[0].threshold if last else start
-
-
-def _stored_before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """The rows stored by earlier micro-batches; None before the first."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch)
-    except AnalysisException:
-        return None
-
-
 def routing_sink(
-    path: str, state_path: str, config: RoutingConfig, keep_hours: int = 48
+    path: str, state_path: str, config: RoutingConfig, learned: Callable[[SparkSession], RoutingConfig] | None = None
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the batch router on each micro-batch, with the counters of earlier ones.
 
     An hour of any size is spread over tasks, as in the batch router. Every batch
-    stores the decisions and the counters of the newest `keep_hours` hours, so
-    that the next one reads a small table of one folder.
+    stores the decisions and the counters of all hours so far, a row per hour, so that
+    the next one reads a small table of one folder and no replay, however old its
+    rows, starts an hour's budget anew. `learned` gives the configuration of the next
+    batch, with the threshold learned so far.
     """
     store, store_state = batch_sink(path), batch_sink(state_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = _stored_before(session, state_path, batch_id)
         counters = None
-        if earlier is not None:
-            last = earlier.agg(F.max("batch").alias("batch")).first().batch
-            if last is not None:
-                counters = earlier.filter(F.col("batch") == last).select("hour_s", "total", "llm")
-        store(route_under_budget(batch, config, counters), batch_id)
+        if batch_id > 0:
+            counters = session.read.parquet(f"{state_path}/batch={batch_id - 1}")
+        store(route_under_budget(batch, config if learned is None else learned(session), counters), batch_id)
         decided = session.read.parquet(f"{path}/batch={batch_id}")
         after = decided.groupBy("hour_s").agg(
             (F.max("earlier") + 1).alias("total"),
@@ -237,9 +262,7 @@ def routing_sink(
             after = after.unionByName(counters).groupBy("hour_s").agg(
                 F.max("total").alias("total"), F.max("llm").alias("llm")
             )
-        latest = after.agg(F.max("hour_s").alias("hour_s")).first().hour_s
-        oldest = (latest or 0) - keep_hours * 3600
-        store_state(after.filter(F.col("hour_s") > oldest).coalesce(1), batch_id)
+        store_state(after.coalesce(1), batch_id)
 
     return write
 

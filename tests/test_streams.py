@@ -86,9 +86,38 @@ def test_feedback_is_learned_from_at_update_points(spark, tmp_path):
     source = arriving(spark, str(tmp_path / "in"), rows, schema, 4)
     sink = streams.learning_sink(str(tmp_path / "feedback"), str(tmp_path / "state"), RoutingConfig(), 0.75)
     finish(streams.run_batches(source, sink, str(tmp_path / "log")))
-    states = spark.read.parquet(str(tmp_path / "state")).orderBy("batch").collect()
-    # 60, 120, 180, 240 rows: the first batch passes no update point.
-    assert [(r.batch, r.rows, r.threshold) for r in states] == [(1, 120, 0.755), (2, 180, 0.76), (3, 240, 0.765)]
+    states = spark.read.parquet(str(tmp_path / "state")).filter("rows IS NOT NULL").orderBy("arrived").collect()
+    # 60, 120, 180, 240 rows: the first batch passes no update point, each of the others one.
+    assert [(r.batch, r.rows, r.threshold) for r in states] == [(1, 100, 0.755), (2, 150, 0.76), (3, 200, 0.765)]
+
+
+def test_thresholds_do_not_depend_on_the_batches(spark, tmp_path):
+    schema = (
+        "doc_id long, routing_decision string, ml_confidence double, ml_correct boolean, llm_correct boolean, timestamp double"
+    )
+    chance = random.Random(11)
+    rows = [(n, chance.choice(["ML", "LLM"]), chance.random(), chance.random() < 0.4, chance.random() < 0.6, float(n)) for n in range(420)]
+    found = []
+    for parts in (1, 4, 12):
+        folder = tmp_path / str(parts)
+        source = arriving(spark, str(folder / "in"), rows, schema, parts)
+        sink = streams.learning_sink(str(folder / "feedback"), str(folder / "state"), RoutingConfig(feedback_buffer=200), 0.75)
+        finish(streams.run_batches(source, sink, str(folder / "log")))
+        points = spark.read.parquet(str(folder / "state")).filter("rows IS NOT NULL").drop("batch")
+        found.append(sorted(map(tuple, points.collect())))
+    # Once the buffer of 200 rows is full, every row is an update point.
+    assert len(found[0]) == 3 + 220
+    assert found[0] == found[1] == found[2]
+
+
+def test_old_replays_meet_their_counters(spark, tmp_path):
+    """A backlog far older than the newest hour goes on with its hour's budget."""
+    rows = [(n, n % 3 * 3_600_000 + n * 20, 0.2, 0.0, None) for n in range(150)]
+    expected = by_loop(sorted(rows, key=lambda row: row[1]), CONFIG)
+    source = arriving(spark, str(tmp_path / "in"), rows, COLUMNS, 3)
+    sink = streams.routing_sink(str(tmp_path / "out"), str(tmp_path / "counters"), CONFIG)
+    finish(streams.run_batches(source, sink, str(tmp_path / "log")))
+    assert {r.doc_id: (r.decision, r.threshold) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
 
 
 def test_statistics_of_the_newest(spark, tmp_path):
