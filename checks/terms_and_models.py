@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import check, rounded
 from checks.views import spark_view, sql_views
 from docsluice.config import TermConfig
 from docsluice.operators import bayes, learners, terms
-from docsluice.operators.confidence import predict_confidence, train_confidence
+from docsluice.operators.confidence import load_confidence, predict_confidence, save_confidence, train_confidence
 from docsluice.operators.features import with_features
 from docsluice.plans import learning
 from docsluice.session import fresh_path, reliable
@@ -109,11 +110,30 @@ def named(spark, folder):
     )
 
 
-@check("train_models")
+GROUPED = "concat('g', CAST((doc_id * 7) % 16 % 4 AS STRING))"
+MODELS = ("Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "Naive Bayes")
+
+
+@check(
+    "train_models",
+    f"""WITH sizes AS (SELECT {GROUPED} AS label, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS test FROM documents GROUP BY 1),
+  splits AS (SELECT 'test' AS split, sum(test) AS n FROM sizes UNION ALL SELECT 'train', sum(n - test) FROM sizes)
+  SELECT model, split, CAST(n AS BIGINT) AS n, TRUE AS between_0_and_1, TRUE AS not_below_majority
+  FROM splits, (VALUES {', '.join(f"('{name}')" for name in MODELS)}) m(model)""",
+)
 def train_models(spark, folder):
-    # Languages as labels keep the number of one-against-rest models small.
-    docs = spark_view(spark, folder, "doc_meta").select("doc_id", "filename", F.col("lang").alias("label"))
-    return learning.train(docs, quick_learners(), CONFIG).accuracy
+    """All five learners on four classes that the names tell: sizes of the splits, and accuracies against the majority's share."""
+    docs = spark_view(spark, folder, "doc_meta").select("doc_id", "filename", F.expr(GROUPED).alias("label"))
+    trained = learning.train(docs, quick_learners(), CONFIG)
+    most = trained.predictions.groupBy("model", "split", "label").count().groupBy("model", "split")
+    share = most.agg((F.max("count") / F.sum("count")).alias("share"))
+    return trained.accuracy.join(share, ["model", "split"]).select(
+        "model",
+        "split",
+        "n",
+        F.col("accuracy").between(0, 1).alias("between_0_and_1"),
+        (F.col("accuracy") >= F.col("share")).alias("not_below_majority"),
+    )
 
 
 def quick_forest(spark, folder):
@@ -121,16 +141,26 @@ def quick_forest(spark, folder):
     return learning.train(named(spark, folder), only, CONFIG)
 
 
-@check("ml_predict")
+def is_known(trained):
+    return F.col("category").isin(trained.labels)
+
+
+@check(
+    "ml_predict",
+    "SELECT doc_id, TRUE AS known, TRUE AS sure, CAST(0.001 AS DOUBLE) AS cost, 'ML prediction using Random Forest' AS reasoning FROM documents",
+)
 def ml_predict(spark, folder):
+    """A known category for every document, a confidence no lower than that of an even guess, cost and reason."""
     trained = quick_forest(spark, folder)
     docs = spark_view(spark, folder, "doc_meta")
-    return learning.ml_predict(
+    found = learning.ml_predict(
         docs, trained.assembly, trained.best, trained.models[trained.best], trained.labels, CONFIG
     )
+    sure = F.col("confidence").between(1 / len(trained.labels) - 1e-9, 1)
+    return found.select("doc_id", is_known(trained).alias("known"), sure.alias("sure"), "cost", "reasoning")
 
 
-@check("predict_filenames")
+@check("predict_filenames", "SELECT page_id, TRUE AS known FROM pages")
 def predict_filenames(spark, folder):
     """Labels for file names that were not trained on: the addresses of the web pages."""
     trained = quick_forest(spark, folder)
@@ -138,13 +168,24 @@ def predict_filenames(spark, folder):
     found = learning.ml_predict(
         pages, trained.assembly, trained.best, trained.models[trained.best], trained.labels, CONFIG, text="url"
     )
-    return found.select(F.col("doc_id").alias("page_id"), "category")
+    return found.select(F.col("doc_id").alias("page_id"), is_known(trained).alias("known"))
 
 
-@check("feature_importance")
+@check(
+    "feature_importance",
+    "SELECT unnest(range(1, 21)) AS place, TRUE AS named, TRUE AS between_0_and_1, TRUE AS in_order",
+)
 def feature_importance(spark, folder):
+    """The twenty most important features: named, between 0 and 1, falling."""
     trained = quick_forest(spark, folder)
-    return learners.feature_importance(trained.models["Random Forest"], trained.feature_names, spark)
+    rows = learners.feature_importance(trained.models["Random Forest"], trained.feature_names, spark)
+    order = Window.orderBy(F.col("importance").desc(), "feature")
+    return rows.select(
+        F.row_number().over(order).cast("long").alias("place"),
+        F.col("feature").isin(trained.feature_names).alias("named"),
+        F.col("importance").between(0, 1).alias("between_0_and_1"),
+        (F.col("importance") <= F.coalesce(F.lag("importance").over(order), F.lit(1.0))).alias("in_order"),
+    )
 
 
 @check("model_roundtrip", "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS different FROM documents")
@@ -152,36 +193,55 @@ def model_roundtrip(spark, folder):
     """The models read back predict for every document what the trained ones do."""
     trained = quick_forest(spark, folder)
     path = fresh_path(spark, "models")
-    learners.save_models(path, trained.assembly, trained.models, trained.labels, trained.best, spark)
+    learners.save_models(
+        path, trained.assembly, trained.models, trained.labels, trained.best, spark, trained.feature_names, CONFIG
+    )
     assembly, models, labels, best = learners.load_models(path, spark)
+    names, config = learners.load_settings(path, spark)
+    assert (names, config) == (trained.feature_names, CONFIG)
     docs = spark_view(spark, folder, "doc_meta")
     before = learning.ml_predict(
         docs, trained.assembly, trained.best, trained.models[trained.best], trained.labels, CONFIG
     )
-    after = learning.ml_predict(docs, assembly, best, models[best], labels, CONFIG)
+    after = learning.ml_predict(docs, assembly, best, models[best], labels, config)
     pairs = before.join(after.select("doc_id", F.struct("category", "confidence").alias("after")), "doc_id", "left")
     different = ~F.struct("category", "confidence").eqNullSafe(F.col("after"))
     return pairs.agg(F.count("*").alias("documents"), F.count_if(different).alias("different"))
 
 
 def examples(spark, folder):
-    docs = spark_view(spark, folder, "doc_meta")
-    return with_features(docs).select("doc_id", "ts_s", "features", "ml_confidence")
+    """Examples whose confidence the features tell: long words make the cheap model less sure."""
+    docs = with_features(spark_view(spark, folder, "doc_meta"))
+    sure = F.greatest(F.lit(0.1), F.least(F.lit(0.9), 1.2 - F.col("features.avg_word_length") / 10))
+    return docs.select("doc_id", "ts_s", "features", sure.alias("ml_confidence"))
 
 
-@check("train_confidence")
+@check(
+    "train_confidence",
+    "SELECT count(*) AS examples, TRUE AS better_than_the_mean, TRUE AS ordered FROM documents",
+)
 def confidence_quality(spark, folder):
-    model = train_confidence(examples(spark, folder), ["ts_s", "doc_id"], iterations=5, depth=3)
+    rows = examples(spark, folder)
+    model = train_confidence(rows, ["ts_s", "doc_id"], iterations=5, depth=3)
+    variance = rows.agg(F.var_pop("ml_confidence")).first()[0]
     return spark.createDataFrame(
-        [(model.examples, model.mse, model.mae)], "examples long, mse double, mae double"
+        [(model.examples, model.mse <= variance, model.mae**2 <= model.mse)],
+        "examples long, better_than_the_mean boolean, ordered boolean",
     )
 
 
-@check("predict_confidence")
+@check("predict_confidence", "SELECT doc_id, TRUE AS in_range, TRUE AS same FROM documents")
 def confidence(spark, folder):
+    """A forecast for every document within the bounds, and the same from the predictor read back."""
     rows = examples(spark, folder)
     model = train_confidence(rows, ["ts_s", "doc_id"], iterations=5, depth=3)
-    return predict_confidence(rows, model).select("doc_id", "predicted")
+    path = fresh_path(spark, "predictor")
+    save_confidence(model, path, spark)
+    before, after = predict_confidence(rows, model), predict_confidence(rows, load_confidence(path, spark))
+    pairs = before.select("doc_id", "predicted").join(after.select("doc_id", F.col("predicted").alias("again")), "doc_id")
+    return pairs.select(
+        "doc_id", F.col("predicted").between(0.1, 0.95).alias("in_range"), F.col("predicted").eqNullSafe(F.col("again")).alias("same")
+    )
 
 
 @check(

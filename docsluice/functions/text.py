@@ -12,19 +12,30 @@ WHITESPACE = (
 )
 WHITESPACE_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# White space that is neither a blank nor a tab nor a line end.
+RARE_WHITESPACE = r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:
-    """The white-space separated words, an empty array for a blank text."""
-    return F.filter(F.split(text, f"[{WHITESPACE_CLASS}]+"), lambda word: word != "")
+    """The white-space separated words, an empty array for a blank text.
+
+    Where line ends and tabs are the only other white space, the usual case, they
+    become blanks and the text is split at blanks, which needs no character class.
+    """
+    plain = text
+    for mark in "\n\t\r":
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
+    parts = F.when(text.rlike(RARE_WHITESPACE), F.split(text, f"[{WHITESPACE_CLASS}]+")).otherwise(F.split(plain, " "))
+    return F.array_remove(parts, "")
 
 
 def normalize_ws(text: Column) -> Column:
     """The words joined by single blanks."""
-    return strip(F.regexp_replace(text, f"[{WHITESPACE_CLASS}]+", " "))
+    return F.array_join(words(text), " ")
 
 
 def occurrences(text: Column, character: str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.functions.results import clamp
@@ -66,3 +66,18 @@ def predict_confidence(df: DataFrame, model: ConfidenceModel | PipelineModel | N
 def _numbers(features: Column) -> dict[str, Column]:
     """The feature vector under names that meet no other column; what is missing counts as 0."""
     return {f"_{name}": F.coalesce(value, F.lit(0.0)) for name, value in feature_vector(features).items()}
+
+
+def save_confidence(model: ConfidenceModel, path: str, spark: SparkSession) -> None:
+    """Stores the predictor with the names of its features and its quality."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame(
+        [(VECTOR_NAMES, model.examples, model.mse, model.mae)], "names array<string>, examples long, mse double, mae double"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def load_confidence(path: str, spark: SparkSession) -> ConfidenceModel:
+    summary = spark.read.parquet(f"{path}/summary").first()
+    if summary.names != VECTOR_NAMES:
+        raise ValueError("the predictor was trained on other features")
+    return ConfidenceModel(PipelineModel.load(f"{path}/pipeline"), summary.examples, summary.mse, summary.mae)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions.names import filename_features, keyword_flags, preprocess_filename
-from docsluice.functions.text import WHITESPACE, occurrences, strip, words
+from docsluice.functions.text import WHITESPACE, WHITESPACE_CLASS, occurrences, strip, words
 from docsluice.schema import FEATURE_NAMES
 
 # Parts of a sender domain that mark it as internal.
@@ -41,14 +41,14 @@ def with_features(
             lambda size: size > 0,
         ),
     )
-    parts = parts.withColumn("_sizes", F.transform("_words", lambda word: F.length(word)))
-    word, lines, sizes = F.col("_words"), F.col("_lines"), F.col("_sizes")
+    word, lines = F.col("_words"), F.col("_lines")
 
     usable = F.length(strip(text)) >= 10
     count = F.size(word)
-    sentences = F.size(F.filter(F.split(text, r"\."), lambda piece: strip(piece) != ""))
-    letters = F.aggregate(sizes, F.lit(0).cast("long"), lambda total, size: total + size)
-    long_words = F.size(F.filter(sizes, lambda size: size > 8))
+    # A sentence begins at the first sign after a full stop that is not white space.
+    sentences = F.regexp_count(text, F.lit(f"[^.{WHITESPACE_CLASS}][^.]*"))
+    letters = F.length(F.array_join(word, ""))
+    long_words = F.size(F.filter(word, lambda part: F.length(part) > 8))
     marks = (
         occurrences(text, "\n")
         + occurrences(text, "\t")
@@ -74,10 +74,10 @@ def with_features(
         "file_extension": F.lower(F.coalesce(F.nullif(F.col(extension), F.lit("")), F.lit("txt"))),
         "sender_domain": domain,
         "is_internal": F.lower(domain).rlike(INTERNAL_DOMAIN),
-        "semantic_similarity_flag": usable & (F.size(F.array_distinct(F.slice(sizes, 1, 50))) > 10),
+        "semantic_similarity_flag": usable & (F.size(F.array_distinct(F.transform(F.slice(word, 1, 50), lambda part: F.length(part)))) > 10),
     }
     features = F.struct(*[columns[name].alias(name) for name in FEATURE_NAMES])
-    return parts.withColumn("features", features).drop("_words", "_lines", "_sizes")
+    return parts.withColumn("features", features).drop("_words", "_lines")
 
 
 def _for(usable: Column, value: Column, otherwise: float) -> Column:

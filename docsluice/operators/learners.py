@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -115,21 +118,39 @@ def feature_importance(model: Transformer, names: list[str], spark: SparkSession
     return rows.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
+SUMMARY = "names array<string>, labels array<string>, best string, features array<string>, settings string"
+
+
 def save_models(
-    folder: str, assembly: PipelineModel, models: dict[str, Transformer], labels: list[str], best: str, spark: SparkSession
+    folder: str,
+    assembly: PipelineModel,
+    models: dict[str, Transformer],
+    labels: list[str],
+    best: str,
+    spark: SparkSession,
+    feature_names: list[str] = (),
+    config: TermConfig = TermConfig(),
 ) -> None:
+    """Stores the assembly, the models, their names and labels, the names of the features and the term settings."""
     assembly.write().overwrite().save(f"{folder}/assembly")
     for name, model in models.items():
         PipelineModel([model]).write().overwrite().save(f"{folder}/models/{name.replace(' ', '_')}")
-    spark.createDataFrame([(list(models), labels, best)], "names array<string>, labels array<string>, best string").write.mode(
-        "overwrite"
-    ).json(f"{folder}/summary")
+    row = (list(models), labels, best, list(feature_names), json.dumps(asdict(config)))
+    spark.createDataFrame([row], SUMMARY).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def load_models(folder: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, Transformer], list[str], str]:
     """The assembly, the models by name, the labels and the name of the best model."""
-    summary = spark.read.schema("names array<string>, labels array<string>, best string").json(f"{folder}/summary").first()
+    summary = spark.read.schema(SUMMARY).json(f"{folder}/summary").first()
     models = {
         name: PipelineModel.load(f"{folder}/models/{name.replace(' ', '_')}").stages[0] for name in summary.names
     }
     return PipelineModel.load(f"{folder}/assembly"), models, summary.labels, summary.best
+
+
+def load_settings(folder: str, spark: SparkSession) -> tuple[list[str], TermConfig]:
+    """The names of the features and the term settings stored with the models."""
+    summary = spark.read.schema(SUMMARY).json(f"{folder}/summary").first()
+    settings = json.loads(summary.settings)
+    words = settings["stop_words"]
+    return summary.features, TermConfig(**{**settings, "stop_words": None if words is None else tuple(words)})

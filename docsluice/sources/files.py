@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docsluice.functions.names import suffix
 from docsluice.functions.text import decode_text
+from docsluice.session import found_at
 
 # The supported file types.
 SUPPORTED = ["txt", "pdf", "docx", "doc", "md"]
@@ -21,17 +23,39 @@ SUPPORTED = ["txt", "pdf", "docx", "doc", "md"]
 # Turns the bytes of one file into its text; may raise.
 Extractor = Callable[[bytes], str]
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (path, length, content, ...) of the supported files in folders, not their subfolders, or by wildcard."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{" + ",".join(SUPPORTED) + "}")
-        .option("recursiveFileLookup", "false")
-        .load(paths)
-    )
+    """Rows (path, length, content, ...) of the files that paths and wildcards name.
+
+    Of a folder, not its subfolders, the files of supported types are taken; a file
+    named by itself or by a wildcard is taken whatever its type. Paths that name
+    nothing give a warning.
+    """
+    folders, singles = [], []
+    for path in paths:
+        found = found_at(spark, path)
+        if not found:
+            warnings.warn(f"no such file or folder: {path}", stacklevel=2)
+        for place, is_folder in found:
+            (folders if is_folder else singles).append(place)
+    reader = spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "false")
+    parts = []
+    if folders:
+        kinds = "*.{" + ",".join(SUPPORTED) + "}"
+        parts.append(reader.option("pathGlobFilter", kinds).load(folders))
+    if singles:
+        whole = spark.read.format("binaryFile").schema(FILE_SCHEMA)
+        parts.append(whole.load([_literal(place) for place in dict.fromkeys(singles)]))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FILE_SCHEMA)
+
+
+def _literal(path: str) -> str:
+    """The path with the signs of wildcards taken as themselves."""
+    return "".join(f"\\{sign}" if sign in "*?[]{}\\" else sign for sign in path)
 
 
 def docx_text(data: bytes) -> str:
@@ -69,41 +93,40 @@ def extract_documents(files: DataFrame, extractors: dict[str, Extractor] | None
         F.regexp_replace(suffix(F.col("path")), r"^\.", "").alias("file_extension"),
         F.col("length").alias("file_size"),
     )
-    coded = list(dict.fromkeys([*readers, "pdf"]))
-    plain = typed.filter(~F.col("file_extension").isin(coded)).select(
+    coded = F.col("file_extension").isin(list(dict.fromkeys([*readers, "pdf"])))
+    # Every file is read once: what is text is decoded before the readers, what is not passes through them.
+    decoded = typed.select(
         "path",
-        decode_text(F.col("data")).alias("content"),
         "file_extension",
         "file_size",
-        F.lit(None).cast("string").alias("error"),
+        F.when(~coded, decode_text(F.col("data"))).alias("content"),
+        F.when(coded, F.col("data")).alias("data"),
     )
     schema = "path string, content string, file_extension string, file_size long, error string"
-    parts = [plain]
-    for kind in coded:
-        rows = typed.filter(F.col("file_extension") == kind)
-        parts.append(rows.mapInPandas(_reader(readers.get(kind)), schema))
-    return reduce(DataFrame.unionByName, parts)
+    return decoded.mapInPandas(_reader(readers), schema)
 
 
-def _reader(extractor: Extractor | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def read(data: bytes) -> tuple[str | None, str | None]:
-        if extractor is None:
+def _reader(readers: dict[str, Extractor]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read(kind: str, data: bytes | None, text: str | None) -> tuple[str | None, str | None]:
+        if data is None:
+            return text, None
+        if kind not in readers:
             return None, "no extractor for this file type"
         try:
-            return extractor(data), None
+            return readers[kind](bytes(data)), None
         except Exception as error:  # a broken file is a row with an error
             return None, f"Failed to extract content: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [read(bytes(data)) for data in batch["data"]]
+            found = [read(*row) for row in zip(batch["file_extension"], batch["data"], batch["content"])]
             yield pd.DataFrame(
                 {
                     "path": batch["path"],
-                    "content": [text for text, _ in texts],
+                    "content": [text for text, _ in found],
                     "file_extension": batch["file_extension"],
                     "file_size": batch["file_size"],
-                    "error": [error for _, error in texts],
+                    "error": [error for _, error in found],
                 }
             )
 

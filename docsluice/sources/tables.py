@@ -29,12 +29,13 @@ def append_feedback(log: DataFrame, path: str) -> None:
 def read_feedback(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The performance feedback in the log; lines that cannot be read are skipped.
 
-    `limit` counts lines of the log, whatever they hold; none or 0 means all.
+    `limit` takes the lines that were appended first, whatever they hold: appends in
+    the order of their files' times, then of file and line. None or 0 means all.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).select("value", "_metadata")
     if limit:
-        place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
-        lines = lines.orderBy(*place).limit(limit)
+        place = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", "_line"]
+        lines = lines.withColumn("_line", F.monotonically_increasing_id()).orderBy(*place).limit(limit)
     schema = T.StructType([*FEEDBACK_TYPE.fields, T.StructField(BAD_LINE, T.StringType())])
     parsed = lines.select(
         F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}).alias("row")

@@ -20,6 +20,5 @@ def test_equals_sql(spark, connection, name):
     assert differences(QUERIES[name](spark, FOLDER), connection, ORACLES[name])[:2] == []
 
 
-@pytest.mark.parametrize("name", ["ml_predict", "predict_filenames", "train_confidence", "predict_confidence"])
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_a_twin():
+    assert sorted(QUERIES.keys() - ORACLES.keys()) == [] or all(name.startswith(("op", "pipeline")) for name in QUERIES.keys() - ORACLES.keys())
