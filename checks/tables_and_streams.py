@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -131,6 +132,27 @@ def extract_documents(spark, folder):
     )
 
 
+@check(
+    "scan_explicit_files",
+    """WITH kinds AS (SELECT CASE page_id % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'TXT' WHEN 2 THEN 'csv' ELSE 'bin' END AS kind, url FROM pages)
+    SELECT lower(kind) AS file_extension, CAST(sum(length(url) + 1) AS BIGINT) AS file_size, CAST(sum(length(url) + 1) - 1 AS BIGINT) AS characters
+    FROM kinds WHERE kind <> 'csv' GROUP BY kind""",
+)
+def scan_explicit_files(spark, folder):
+    """Files named by themselves or by a wildcard are read whatever their type; in a folder only supported types are; what is missing is left out."""
+    path = fresh_path(spark, "kinds")
+    pages = table(spark, folder, "pages")
+    for place, kind in enumerate(("log", "TXT", "csv", "bin")):
+        lines = pages.filter(F.col("page_id") % 4 == place).select("url").coalesce(1)
+        lines.write.option("extension", kind).option("quote", "\u0000").csv(f"{path}/{kind}")
+    one = spark.read.format("binaryFile").load(f"{path}/bin/*.bin").select("path").first().path
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = files.scan_files(spark, [f"{path}/log/*.log", f"{path}/TXT/*.TXT", f"{path}/csv", one, f"{path}/missing/*.txt"])
+    texts = files.extract_documents(found)
+    return texts.select("file_extension", "file_size", F.length("content").cast("long").alias("characters"))
+
+
 @check("scan_labelled_csv", sql_views("doc_meta") + " SELECT filename, label FROM doc_meta")
 def scan_labelled_csv(spark, folder):
     path = fresh_path(spark, "labelled")
@@ -188,6 +210,22 @@ def load_feedback(spark, folder):
     return rounded(found.select("routing_decision", "ml_confidence", "actual_category"), "ml_confidence")
 
 
+@check(
+    "load_feedback_first",
+    sql_views("batch") + """ SELECT doc_id % 3 AS append, count(*) AS n FROM batch WHERE error IS NULL AND doc_id % 3 < 2 GROUP BY 1""",
+)
+def load_feedback_first(spark, folder):
+    """Of three appends the lines of the first two, by the number of their lines."""
+    path = fresh_path(spark, "feedback")
+    docs = with_features(spark_view(spark, folder, "doc_meta")).select("doc_id", "features")
+    rows = relations.performance_rows(spark, folder).join(docs, "doc_id").withColumn("timestamp", F.col("doc_id").cast("double"))
+    for part in range(3):
+        tables.append_feedback(feedback.feedback_log(rows.filter(F.col("doc_id") % 3 == part)), path)
+    first = rows.filter(F.col("doc_id") % 3 < 2).count()
+    found = tables.read_feedback(spark, path, limit=first)
+    return found.groupBy((F.col("timestamp").cast("long") % 3).alias("append")).agg(F.count("*").alias("n"))
+
+
 @check(
     "append_feedback",
     UNION_SQL + " SELECT type, coalesce(actual_category, correct_category) AS category, count(*) AS n FROM log GROUP BY 1, 2",
@@ -225,6 +263,22 @@ def load_examples(spark, folder):
     )
 
 
+@check(
+    "load_example_arrays",
+    sql_views("ml_results", "llm_results")
+    + f""", examples AS (SELECT {EXAMPLE_SQL} FROM ml_results m JOIN llm_results l USING (doc_id))
+    SELECT routing_decision, ml_confidence, llm_confidence, actual_category, cost_ml, cost_llm FROM examples""",
+)
+def load_example_arrays(spark, folder):
+    """Examples from files that hold one JSON array each."""
+    path = fresh_path(spark, "arrays")
+    rows = results.example_pairs(*relations.both(spark, folder))
+    parts = rows.groupBy((F.col("doc_id") % 50).alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    parts.select("part", F.to_json("rows").alias("value")).write.partitionBy("part").text(path)
+    columns = ["routing_decision", "ml_confidence", "llm_confidence", "actual_category", "cost_ml", "cost_llm"]
+    return tables.read_examples(spark, f"{path}/*", whole_file=True).select(*columns)
+
+
 @check(
     "load_ground_truth",
     sql_views("doc_meta")

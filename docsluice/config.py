@@ -45,6 +45,11 @@ class TermConfig:
     max_df: float = 0.95
     stop_words: tuple[str, ...] | None = None
 
+    def __post_init__(self) -> None:
+        # The vocabulary is handed to every task.
+        if not 1 <= self.max_features <= 1_000_000:
+            raise ValueError("max_features must lie between 1 and 1,000,000")
+
 
 @dataclass(frozen=True)
 class CallConfig:
