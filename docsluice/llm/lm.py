@@ -98,12 +98,17 @@ def count_words(texts: DataFrame, config: LmConfig) -> Corpus:
     words = texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = kept(words, "lm-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    # The end is always remembered, as the first.
-    end = F.col("word") == F.lit(END)
-    ends = words.filter(end).select("word", "n").toArrow()
-    most = words.filter(~end).orderBy(F.desc("n"), "word").limit(config.remembered - 1).toArrow()
-    order = sorted(zip(most.column("n").to_pylist(), most.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
-    order = [*zip(ends.column("n").to_pylist(), ends.column("word").to_pylist()), *order]
+    # The end is always remembered, as the first; then all words that occur so often that no more than allowed do.
+    end, room, least = F.col("word") == F.lit(END), config.remembered - 1, None
+    for row in words.filter(~end).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["n"]
+    often = words.filter(end | (F.lit(False) if least is None else F.col("n") >= least)).toArrow()
+    order = sorted(
+        zip(often.column("n").to_pylist(), often.column("word").to_pylist()), key=lambda x: (x[1] != END, -x[0], x[1])
+    )
     return Corpus(words, tokens, distinct, {word: place for place, (_, word) in enumerate(order)}, np.array([n for n, _ in order], np.int64))
 
 
