@@ -17,9 +17,10 @@ from tokenizers import Tokenizer
 
 from docsluice.llm.common import once_per_worker
 
-REMEMBERED = 200_000
-# Letters whose lower case is one letter of the same normal form, then punctuation that stays in one token group.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%()\-]*)")
+REMEMBERED = 300_000
+# Letters whose lower case is one letter of the same normal form, and marks after them that stay in one token group.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?*#%()-"
 END = "\x00"
 
 
@@ -46,29 +47,30 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [text.split() for text in texts]
-        known = self.known
-        self._learn({word for text in words for word in text if word not in known})
-        found = [b"".join([known[word] for word in text]) for text in words]
-        if len(known) > REMEMBERED:
-            known.clear()
+        self._learn(list(set().union(*words).difference(self.known)))
+        found = [b"".join(map(self.known.__getitem__, text)) for text in words]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         return found
 
-    def _learn(self, words: set[bytes]) -> None:
-        plain, pieces, marked = [], [], []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            match = PLAIN.fullmatch(text)
-            if match is None:
+    def _learn(self, words: list[bytes]) -> None:
+        plain, pieces, parts = [], [], []
+        # No word holds a line end, so all are decoded at once.
+        for word, text in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n")):
+            stem = text.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or LATIN.fullmatch(stem)):
+                plain.append(word)
+                parts.append(stem)
+                if len(stem) < len(text):
+                    parts.append(text[len(stem) :])
+                    pieces.append(2)
+                else:
+                    pieces.append(1)
+            else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 self.known[word] = np.array(ids, "<u4").tobytes()
-                continue
-            plain.append(word)
-            marked.append(match[1].lower() + END)
-            if match[2]:
-                marked.append(match[2] + END)
-            pieces.append(2 if match[2] else 1)
         if plain:
-            ids = np.array(self.plain.encode_ordinary("".join(marked)), "<u4")
+            ids = np.array(self.plain.encode_ordinary(END.join(parts).lower() + END), "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(pieces) - 1] * 4
             data, first = ids.tobytes(), 0
             for word, end in zip(plain, ends.tolist()):
