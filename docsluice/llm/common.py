@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.session import fresh_path
@@ -17,10 +18,34 @@ from docsluice.session import fresh_path
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, read by column, safe when executors are lost."""
     path = fresh_path(df.sparkSession, name)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Lists that note the tables kept from now on.
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Adds the tables that are kept inside to the list."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes kept tables that no frame needs any more and empties the list."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def as_bytes(text: str | Column) -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text
