@@ -18,6 +18,9 @@ from docsluice.operators.confidence import train_confidence
 from docsluice.operators.feedback import FIRST_UPDATE, RETRAIN_FROM, UPDATE_STEP, threshold_path
 from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
 
+# What a stored update point says besides its place and the threshold; null where a batch passed none.
+EVIDENCE = ("rows", "judged", "correct", "ml_mistakes", "llm_mistakes")
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -176,7 +179,9 @@ def learning_sink(
         if batch_id > 0:
             state = session.read.parquet(f"{state_path}/batch={batch_id - 1}")
             current = state.orderBy(F.col("arrived").desc()).limit(1).collect()[0].threshold
-        nothing = session.createDataFrame([(before, current)], "arrived long, threshold double")
+        nothing = session.createDataFrame([(before, current)], "arrived long, threshold double").select(
+            *[F.lit(None).cast("long").alias(name) for name in EVIDENCE], "arrived", "threshold"
+        )
         if not passes_update_point(before, now, config.feedback_buffer):
             batch_sink(state_path)(nothing, batch_id)
             return
@@ -188,7 +193,7 @@ def learning_sink(
             rows, earlier = here.unionByName(kept), before - min(config.feedback_buffer, sum(size for _, size in older))
         path = threshold_path(rows, current, config, ["batch", "timestamp", "doc_id"], earlier, moved_from=before)
         points = path.drop("batch", "timestamp", "doc_id")
-        batch_sink(state_path)(nothing.unionByName(points, allowMissingColumns=True).coalesce(1), batch_id)
+        batch_sink(state_path)(nothing.unionByName(points).coalesce(1), batch_id)
         if model_path is not None and now >= RETRAIN_FROM:
             recent = _recent(session, feedback_path, needed, config.feedback_buffer, "timestamp")
             model = train_confidence(recent, ["timestamp", "doc_id"], iterations, depth)
