@@ -8,7 +8,7 @@ segments differs in at most one bit. Of the ball only the segment itself and the
 values with one more bit set are entered, as the other side flips the bit too. Longer
 fingerprints (see `SIMILAR`) rest on many segments, one of which very probably agrees.
 
-An entry gives a tree that connects what it links, not all its pairs. Entries around a
+A large entry gives a tree that connects what it links, not all its pairs. Entries around a
 segment value that very many different fingerprints share are not filled; their
 members enter finer entries instead, by balls around pieces of the other segments.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, binary_rows, kept
 from docsluice.llm.components import components
+from docsluice.session import bounded
 
 SEED = 42
 ENTRY = "entry long, finer long, fp binary"
@@ -38,7 +39,9 @@ class Scheme:
     """Shingle width in words, fingerprint length in 64-bit words, link distance, index.
 
     `finer` is the width of the pieces of the other segments that crowded entries
-    (more than `crowded` fingerprints with that very segment) are refined by.
+    (more than `crowded` fingerprints with that very segment) are refined by. With
+    `similarity` a link counts only if the texts share that part of all their different
+    shingles; `reach` is then no more than the way to candidates.
     """
 
     width: int = 3
@@ -48,6 +51,7 @@ class Scheme:
     radius: int = 1
     finer: int = 16
     crowded: int = 2048
+    similarity: float | None = None
 
     def __post_init__(self) -> None:
         if 64 % self.segment or self.segment % self.finer or self.radius not in (0, 1):
@@ -56,27 +60,19 @@ class Scheme:
 
 # Three bits of 64: exact.
 CLOSE = Scheme()
-# Texts that share four fifths of their five-word shingles differ in about 78 of 512 bits, give or take 8: the distance
-# measures the similarity with an error of about 0.04.
-# At least one of 32 segments of 16 bits then agrees with a probability of 0.91 (0.975 at 0.85, 0.998 at 0.9).
-SIMILAR = Scheme(width=5, words=8, reach=80, segment=16, radius=0, finer=16)
+# Texts that share four fifths of their five-word shingles differ in about 78 of 512 bits, give or take 8, so 96 leave
+# hardly one out. At least one of 32 segments of 16 bits then agrees with a probability of 0.91 (0.975 at 0.85, 0.998 at 0.9).
+SIMILAR = Scheme(width=5, words=8, reach=96, segment=16, radius=0, finer=16, similarity=0.8)
+
+# Entries of at most so many fingerprints give all their links; beyond the second number no matrix of distances is made.
+SMALL, MATRIX = 8, 1024
 
 
 def fingerprint(text: bytes, scheme: Scheme = CLOSE) -> bytes:
     """SimHash of the word shingles of a text, highest bit first; repeats count. The last word is that of plain 64-bit hashes."""
-    words = text.lower().split()
-    if not words:
+    hashes = _shingle_hashes(text, scheme.width)
+    if not len(hashes):
         return bytes(8 * scheme.words)
-    whole, width = b" ".join(words), scheme.width
-    if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    else:
-        ends = np.cumsum([len(word) + 1 for word in words])
-        starts = [0, *ends[:-width].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array(
-            [digest(whole[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64
-        )
     counts = [_bit_counts(hashes)]
     for number in range(1, scheme.words):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * number * 0x632BE59BD9B4E019 & (2**64 - 1) | 1)
@@ -89,10 +85,16 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return (np.bincount(places.ravel(), minlength=2048).reshape(8, 256)[:, :, None] * BYTE_BITS).sum(axis=1).ravel()
 
 
-def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE, tag: Column | None = None
-) -> DataFrame:
-    """Per row: id, tag, fp. Null counts as empty; a text without words has fingerprint 0."""
+def _rows(docs: DataFrame, key: str, text: str, tag: Column | None) -> DataFrame:
+    return docs.select(
+        F.col(key).cast("long").alias("id"),
+        (F.lit(None) if tag is None else tag).cast("long").alias("tag"),
+        as_bytes(text).alias("text"),
+    )
+
+
+def fingerprints(rows: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """Per row of id, tag and text (bytes): id, tag, fp. A text without words has fingerprint 0."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +102,6 @@ def fingerprints(
             columns = {"id": batch.column("id"), "tag": batch.column("tag"), "fp": pa.array(found, pa.binary())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(
-        F.col(key).cast("long").alias("id"),
-        (F.lit(None) if tag is None else tag).cast("long").alias("tag"),
-        as_bytes(text).alias("text"),
-    )
     return rows.mapInArrow(scan, "id long, tag long, fp binary")
 
 
@@ -120,10 +117,14 @@ def near_duplicates(
     the highest bit first. `tag`, a number the caller tells rows by, is handed
     through if given, with `first_tag`, that of the row that names the component.
     """
-    rows = kept(fingerprints(docs, key, text, scheme, tag), "simhash-rows")
+    source = _rows(docs, key, text, tag)
+    rows = kept(fingerprints(source, scheme), "simhash-rows")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     nodes = kept(rows.groupBy("fp").agg(F.min(name).alias("first")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), scheme))
+    pairs = links(nodes.select("fp"), scheme)
+    if scheme.similarity is not None:
+        pairs = _verified(source, nodes, kept(pairs.distinct(), "simhash-pairs"), scheme)
+    roots = components(pairs)
     members = kept(
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
         "simhash-members",
@@ -245,34 +246,110 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _linked(fp: np.ndarray, bounds: np.ndarray, reach: int) -> Iterator[pa.RecordBatch]:
-    """Links inside the entries between neighbouring `bounds`."""
+    """Links inside the entries between neighbouring `bounds`: all of small entries, a tree of larger ones."""
     words, sizes = fp.view("<u8"), np.diff(bounds)
-    twos = bounds[:-1][sizes == 2]
-    near = _distance(words[twos], words[twos + 1]) <= reach
-    pairs = [(fp[twos[near]], fp[twos[near] + 1])]
-    for at, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
-        root, found = _tree(words[at : at + size], reach)
-        pairs.append((fp[at + root], fp[at + found]))
+    pairs = []
+    for size in range(2, SMALL + 1):
+        starts = bounds[:-1][sizes == size]
+        for i in range(size):
+            for j in range(i):
+                near = starts[_distance(words[starts + i], words[starts + j]) <= reach] if len(starts) else starts
+                pairs.append((fp[near + i], fp[near + j]))
+    for at, size in zip(bounds[:-1][sizes > SMALL], sizes[sizes > SMALL]):
+        one, other = _tree(words[at : at + size], reach)
+        pairs.append((fp[at + one], fp[at + other]))
     a, b = (np.concatenate(side) for side in zip(*pairs))
     if len(a):
         yield _batch(a=a, b=b)
 
 
 def _tree(words: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """One link to every fingerprint from the first it is connected with: a search in growing fronts.
+    """Links within reach that connect all that is connected, each fingerprint by a near link."""
+    if len(words) > MATRIX:
+        return _fronts(words, reach)
+    step = max(1, (1 << 18) // (len(words) * words.shape[1]))
+    far = np.concatenate([_distance(words[n : n + step, None], words[None]) for n in range(0, len(words), step)])
+    np.fill_diagonal(far, np.iinfo(np.int64).max)
+    members = np.flatnonzero((far <= reach).any(axis=1))
+    one, other = [], []
+    if len(members):
+        # The shortest link to what is not yet in the tree, again and again.
+        far = far[np.ix_(members, members)]
+        least, source = far[0].copy(), np.zeros(len(members), np.int64)
+        out = np.ones(len(members), bool)
+        out[0] = False
+        while out.any():
+            new = int(np.where(out, least, np.iinfo(np.int64).max).argmin())
+            if not out[new]:
+                new = int(out.argmax())
+            if least[new] <= reach:
+                one.append(members[source[new]])
+                other.append(members[new])
+            out[new] = False
+            closer = far[new] < least
+            least[closer], source[closer] = far[new][closer], new
+    return np.array(one, np.int64), np.array(other, np.int64)
+
+
+def _fronts(words: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many fingerprints: a search in growing fronts, each linked to the nearest of the front that met it.
 
     Every fingerprint is once in a front and compared with those not yet reached.
     """
-    left, roots, found = np.arange(len(words)), [], []
+    left, one, other = np.arange(len(words)), [], []
     while len(left) > 1:
-        root, front, left = left[0], left[:1], left[1:]
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
             step = max(1, (1 << 18) // (len(left) * words.shape[1]))
-            near = np.zeros(len(left), bool)
+            least, source = np.full(len(left), np.iinfo(np.int64).max), np.zeros(len(left), np.int64)
             for at in range(0, len(front), step):
-                near |= (_distance(words[front[at : at + step], None], words[left][None]) <= reach).any(axis=0)
+                differing = _distance(words[front[at : at + step], None], words[left][None])
+                nearest = differing.argmin(axis=0)
+                here = differing[nearest, np.arange(len(left))]
+                closer = here < least
+                least[closer], source[closer] = here[closer], front[at + nearest[closer]]
+            near = least <= reach
+            one.append(source[near])
+            other.append(left[near])
             front, left = left[near], left[~near]
-            roots.append(np.full(len(front), root))
-            found.append(front)
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *roots]), np.concatenate([empty, *found])
+    return np.concatenate([empty, *one]), np.concatenate([empty, *other])
+
+
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
+    ends = np.cumsum([len(word) + 1 for word in words])
+    starts = [0, *ends[:-width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
+
+
+def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links whose texts share at least `similarity` of their different shingles; texts of linked rows alone are read for it."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp")
+    ends = bounded(ends.select("fp", F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")))
+    met = source.join(ends, F.col("id").eqNullSafe(F.col("_id")) & F.col("tag").eqNullSafe(F.col("_tag")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sets = [], []
+            for fp, text in zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist()):
+                # Rows may share key and tag; the fingerprint says which is meant.
+                if fingerprint(text, scheme) == fp:
+                    fps.append(fp)
+                    sets.append(np.unique(_shingle_hashes(text, scheme.width)).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    sets = met.select("fp", "text").mapInArrow(scan, "fp binary, shingles array<long>").dropDuplicates(["fp"])
+    sets = kept(sets, "simhash-shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+        sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b"
+    )
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    share = F.try_divide(shared, F.size("of_a") + F.size("of_b") - shared)
+    return both.filter(share >= scheme.similarity).select("a", "b")
