@@ -18,13 +18,13 @@ def likely_among(rows: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataF
     out is never moved. With very many keys it leaves out little, and is still right.
     """
     slot = _slot(key)
-    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("__filter_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__filter_bits")
     )
     # The number of bitmaps and their size are fixed.
-    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(reliable(bitmaps)), "_bucket")
+    marked = rows.withColumn("__filter_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(reliable(bitmaps)), "__filter_bucket")
     place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    byte = F.conv(F.hex(F.substring("__filter_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     return marked.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
 
 
