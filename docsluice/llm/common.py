@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -9,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def once_per_worker(name: str, make: Callable[[], Any]) -> Any:
     return store[name]
 
 
+def give_back() -> None:
+    """Returns memory that is no longer used to the system: a worker outlives its tasks, and other workers need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def binary_rows(column: pa.Array, width: int) -> np.ndarray:
     """A column of equally long binaries, none null, as a matrix of bytes."""
     if not len(column):
@@ -69,9 +79,9 @@ def binary_rows(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of the batch whose binary column holds about `most` bytes, at least one row each."""
-    sizes = np.fromiter((len(x) for x in batch.column(column).to_pylist()), np.int64, batch.num_rows)
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if row > first and total + size > most:
@@ -80,6 +90,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
         total += size
     if batch.num_rows > first:
         yield batch.slice(first)
+    give_back()
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import as_bytes, binary_rows, kept
+from docsluice.llm.common import as_bytes, binary_rows, give_back, kept
 
 RECORD = "id long, digest binary, n_bytes long, run int, place long, group_size long, at int"
 LEAF = "id long, tag long, digest binary, n_bytes long, run int, place long"
@@ -109,6 +109,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
         )
         place += len(texts)
+        del texts
+        give_back()
 
 
 def _merged(records: DataFrame, id_order) -> DataFrame:

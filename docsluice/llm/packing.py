@@ -28,6 +28,8 @@ from docsluice.llm.common import as_bytes, kept, slices
 from docsluice.llm.tokens import word_encoder
 
 TOKENS = "id long, source string, part int, ahead long, n long, ids binary"
+# Between the two passes ids are kept in 16 bits; larger vocabularies are refused.
+STORED = np.dtype("<u2")
 PIECES = "id long, source string, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -107,11 +109,15 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = word_encoder(config.tokenizer), TaskContext.get().partitionId(), {}
+        if max(len(encoder.ends) - 1, config.end_id) > np.iinfo(STORED).max:
+            raise ValueError("the vocabulary has more than 65,536 ids")
         end = np.array([config.end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
                 sources, sizes = batch.column("source").to_pylist(), [len(ids) // 4 for ids in found]
+                stored = np.frombuffer(b"".join(found), "<u4").astype(STORED)
+                del found
                 ahead = []
                 for name, size in zip(sources, sizes):
                     ahead.append(seen.get(name, 0))
@@ -123,7 +129,7 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
                         "part": pa.array(np.full(len(sizes), part, np.int32)),
                         "ahead": pa.array(ahead, pa.int64()),
                         "n": pa.array(sizes, pa.int64()),
-                        "ids": pa.array(found, pa.binary()),
+                        "ids": _binaries(stored, np.array(sizes)),
                     }
                 )
 
@@ -131,6 +137,12 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
     return rows.mapInArrow(scan, TOKENS)
 
 
+def _binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The ids cut into rows of so many."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", config: PackConfig = PackConfig()
 ) -> DataFrame:
@@ -179,7 +191,7 @@ def pack(
 def _cut(schedule: Schedule):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ids", 1 << 24):
+            for batch in slices(whole, "ids", 1 << 22):
                 table = pa.Table.from_batches([batch]).sort_by([("queue", "ascending"), ("at", "ascending")])
                 batch = table.combine_chunks().to_batches()[0]
                 queue, at, n = (batch.column(name).to_numpy() for name in ("queue", "at", "n"))
@@ -215,9 +227,7 @@ def _run(schedule: Schedule, rows: pa.RecordBatch, queue: int, at: np.ndarray, n
     begins, place, size = begins[order], place[order], size[order]
     row = np.searchsorted(at, begins, "right") - 1
     sequence, offset = schedule.sequence(place)
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * 4
-    data = b"".join(rows.column("ids").to_pylist())
-    ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    ids = _binaries(np.frombuffer(b"".join(rows.column("ids").to_pylist()), STORED).astype("<u4"), size)
     taken = pa.array(row)
     return pa.RecordBatch.from_pydict(
         {

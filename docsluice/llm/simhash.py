@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import as_bytes, binary_rows, kept
+from docsluice.llm.common import as_bytes, binary_rows, give_back, kept
 from docsluice.llm.components import components
 from docsluice.session import bounded
 
@@ -101,6 +101,7 @@ def fingerprints(rows: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
             found = [fingerprint(x, scheme) for x in batch.column("text").to_pylist()]
             columns = {"id": batch.column("id"), "tag": batch.column("tag"), "fp": pa.array(found, pa.binary())}
             yield pa.RecordBatch.from_pydict(columns)
+            give_back()
 
     return rows.mapInArrow(scan, "id long, tag long, fp binary")
 
@@ -237,6 +238,7 @@ def _compare(scheme: Scheme):
             if cut:
                 yield from _linked(rows[2][:cut], np.concatenate([[0], new]), scheme.reach)
         yield from _linked(waiting[2], np.array([0, len(waiting[2])]), scheme.reach)
+        give_back()
 
     return compare
 
@@ -344,6 +346,7 @@ def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Sch
                     fps.append(fp)
                     sets.append(np.unique(_shingle_hashes(text, scheme.width)).view(np.int64))
             yield pa.RecordBatch.from_pydict({"fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            give_back()
 
     sets = met.select("fp", "text").mapInArrow(scan, "fp binary, shingles array<long>").dropDuplicates(["fp"])
     sets = kept(sets, "simhash-shingles")
