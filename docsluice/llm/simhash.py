@@ -41,7 +41,8 @@ class Scheme:
     `finer` is the width of the pieces of the other segments that crowded entries
     (more than `crowded` fingerprints with that very segment) are refined by. With
     `similarity` a link counts only if the texts share that part of all their different
-    shingles; `reach` is then no more than the way to candidates.
+    shingles; `reach` is then no more than the way to candidates. `repeats` says whether
+    a shingle counts as often as it occurs.
     """
 
     width: int = 3
@@ -52,6 +53,7 @@ class Scheme:
     finer: int = 16
     crowded: int = 2048
     similarity: float | None = None
+    repeats: bool = True
 
     def __post_init__(self) -> None:
         if 64 % self.segment or self.segment % self.finer or self.radius not in (0, 1):
@@ -62,15 +64,17 @@ class Scheme:
 CLOSE = Scheme()
 # Texts that share four fifths of their five-word shingles differ in about 78 of 512 bits, give or take 8, so 96 leave
 # hardly one out. At least one of 32 segments of 16 bits then agrees with a probability of 0.91 (0.975 at 0.85, 0.998 at 0.9).
-SIMILAR = Scheme(width=5, words=8, reach=96, segment=16, radius=0, finer=16, similarity=0.8)
+SIMILAR = Scheme(width=5, words=8, reach=96, segment=16, radius=0, finer=16, similarity=0.8, repeats=False)
 
 # Entries of at most so many fingerprints give all their links; beyond the second number no matrix of distances is made.
 SMALL, MATRIX = 8, 1024
 
 
 def fingerprint(text: bytes, scheme: Scheme = CLOSE) -> bytes:
-    """SimHash of the word shingles of a text, highest bit first; repeats count. The last word is that of plain 64-bit hashes."""
+    """SimHash of the word shingles of a text, highest bit first. The last word is that of plain 64-bit hashes."""
     hashes = _shingle_hashes(text, scheme.width)
+    if not scheme.repeats:
+        hashes = np.unique(hashes)
     if not len(hashes):
         return bytes(8 * scheme.words)
     counts = [_bit_counts(hashes)]
