@@ -55,6 +55,7 @@ class TermConfig:
 class CallConfig:
     """Retry, circuit breaker and concurrency of an external model call."""
 
+    # Names and defaults that callers rely on.
     max_attempts: int = 3
     base_delay: float = 1.0
     max_delay: float = 60.0

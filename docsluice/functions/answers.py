@@ -10,6 +10,7 @@ JSON_OBJECT = r"(?s)\{.*\}"
 CATEGORY_PAIR = r'(?i)category["\s]*:["\s]*([a-zA-Z_]+)'
 CONFIDENCE_PAIR = r'(?i)confidence["\s]*:["\s]*([0-9.]+)'
 
+# What stands for a missing category and a missing reason.
 UNKNOWN = "unknown"
 NO_REASON = "No reasoning provided"
 BAD_ANSWER = "Parsing error: not a usable answer"

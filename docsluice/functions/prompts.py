@@ -9,6 +9,7 @@ from docsluice.config import MAX_CHARS, ROUTING_CHARS
 from docsluice.functions.text import sample_document
 from docsluice.schema import CATEGORIES
 
+# Fixed value: what stands for missing metadata.
 NO_METADATA = "No metadata provided"
 
 

@@ -34,8 +34,9 @@ Forecast = Callable[[DataFrame], DataFrame]
 
 CLASSIFIERS: dict[str, Classifier] = {}
 
-# Error of a document that no classifier gave a result for, and the opening of the reason of a failed call.
+# Error of a document that no classifier gave a result for.
 NO_RESULT = "No classifier gave a result"
+# Fixed value: the opening of the reason of a failed call.
 FAILED_CALL = "Classification failed: "
 
 

@@ -85,6 +85,7 @@ def ml_predict(
         F.col("prediction").alias("category"),
         "confidence",
         F.lit(0.001).alias("cost"),
+        # Fixed value: the wording that readers of results know.
         F.lit(f"ML prediction using {name}").alias("reasoning"),
     )
 
