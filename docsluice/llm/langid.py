@@ -99,7 +99,7 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", fusio
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 data, starts = _texts(part)
                 slots, _ = _slots(data, starts)
                 for row, name in enumerate(part.column("lang").to_pylist()):
@@ -137,7 +137,7 @@ def text_posteriors(pages: DataFrame, model: TextModel, html: bool, fusion: Fusi
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 if html:
                     seen = [plain_text(x.decode("utf-8", "replace")).encode() for x in part.column("text").to_pylist()]
                     part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(seen, pa.binary()))

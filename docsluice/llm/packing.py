@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import as_bytes, kept, slices
+from docsluice.llm.common import as_bytes, give_back, kept, slices
 from docsluice.llm.tokens import word_encoder
 
 TOKENS = "id long, source string, part int, ahead long, n long, ids binary"
@@ -113,7 +113,7 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
             raise ValueError("the vocabulary has more than 65,536 ids")
         end = np.array([config.end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 21):
                 found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
                 sources, sizes = batch.column("source").to_pylist(), [len(ids) // 4 for ids in found]
                 stored = np.frombuffer(b"".join(found), "<u4").astype(STORED)
@@ -132,6 +132,8 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
                         "ids": _binaries(stored, np.array(sizes)),
                     }
                 )
+        encoder.known.clear()
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), as_bytes(text).alias("text"))
     return rows.mapInArrow(scan, TOKENS)

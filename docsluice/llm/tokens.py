@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from docsluice.llm.common import once_per_worker
 
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 # Letters whose lower case is one letter of the same normal form, and marks after them that stay in one token group.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?*#%()-"
