@@ -8,7 +8,8 @@ segments differs in at most one bit. Of the ball only the segment itself and the
 values with one more bit set are entered, as the other side flips the bit too. Longer
 fingerprints (see `SIMILAR`) rest on many segments, one of which very probably agrees.
 
-A large entry gives a tree that connects what it links, not all its pairs. Entries around a
+A large entry gives a tree that connects what it links, not all its pairs; where a link is
+verified by the texts, pairs that trees with failed links leave out follow. Entries around a
 segment value that very many different fingerprints share are not filled; their
 members enter finer entries instead, by balls around pieces of the other segments.
 """
@@ -30,6 +31,7 @@ from docsluice.session import bounded
 
 SEED = 42
 ENTRY = "entry long, finer long, fp binary"
+PAIR = "a binary, b binary"
 # Bits of each byte value, lowest first.
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -126,10 +128,10 @@ def near_duplicates(
     rows = kept(fingerprints(source, scheme), "simhash-rows")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     nodes = kept(rows.groupBy("fp").agg(F.min(name).alias("first")), "simhash-nodes")
-    pairs = links(nodes.select("fp"), scheme)
-    if scheme.similarity is not None:
-        pairs = _verified(source, nodes, kept(pairs.distinct(), "simhash-pairs"), scheme)
-    roots = components(pairs)
+    if scheme.similarity is None:
+        roots = components(links(nodes.select("fp"), scheme))
+    else:
+        roots = components(similar_links(source, nodes, scheme))
     members = kept(
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
         "simhash-members",
@@ -147,6 +149,8 @@ def near_duplicates(
 
 def links(fps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """Links (a, b) that connect the different fingerprints that meet within reach of each other."""
+    if scheme.similarity is not None:
+        return _sorted(_blocks(fps, scheme)).mapInArrow(_compare(scheme), PAIR)
     entries = fps.mapInArrow(_enter(scheme), ENTRY)
     own = fps.mapInArrow(_own(scheme), "entry long").groupBy("entry").count()
     full = own.filter(F.col("count") > scheme.crowded).select("entry")
@@ -154,8 +158,40 @@ def links(fps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     if not hot.isEmpty():
         finer = entries.join(hot, "entry", "left_semi").select("entry", "finer", "fp").mapInArrow(_refine(scheme), ENTRY)
         entries = entries.join(hot, "entry", "left_anti").select("entry", "finer", "fp").unionByName(finer)
-    met = entries.repartition("entry", "finer").sortWithinPartitions("entry", "finer", "fp")
-    return met.mapInArrow(_compare(scheme), "a binary, b binary")
+    return _sorted(entries).mapInArrow(_compare(scheme), PAIR)
+
+
+def _sorted(entries: DataFrame) -> DataFrame:
+    return entries.repartition("entry", "finer").sortWithinPartitions("entry", "finer", "fp")
+
+
+def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) of similar texts that connect all that the similar ones among the pairs that meet within reach connect.
+
+    The trees of large entries are verified first. A tree says nothing about the pairs it
+    leaves out if one of its links fails, so then every other pair that meets within
+    reach is verified too, unless its sides are connected already. Both sides of such a
+    pair are in some tree, so no other fingerprint is looked at again.
+    """
+    tried = kept(links(nodes.select("fp"), scheme).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    ends = kept(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp"), "simhash-ends")
+    sets = _shingles(source, ends, scheme)
+    held = kept(_verified(tried, sets, scheme), "simhash-held")
+    if held.count() == tried.count():
+        return held
+    rooted = ends.select("fp").join(components(held).withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = kept(rooted.select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    labels = kept(rooted.select("root").distinct().withColumn("label", F.monotonically_increasing_id()), "simhash-labels")
+    labelled = bounded(rooted.join(labels, "root").select("fp", "label"))
+    met = _sorted(_blocks(ends.select("fp"), scheme).join(labelled, "fp"))
+    apart = met.select("entry", "finer", "side", "label", "fp").mapInArrow(_apart(scheme), PAIR)
+    others = kept(apart.distinct().join(tried, ["a", "b"], "left_anti"), "simhash-others")
+    return held.unionByName(_verified(others, sets, scheme))
+
+
+def _blocks(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Entries of all fingerprints, every one whole: entry, finer, side, fp."""
+    return fps.mapInArrow(_enter(scheme), ENTRY).withColumn("side", F.lit(0))
 
 
 def _ball(values: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,25 +264,57 @@ def _refine(scheme: Scheme):
 
 
 def _compare(scheme: Scheme):
-    """Links of each entry; rows come sorted by entry, the last entry of a batch waits for the next."""
-    size = 8 * scheme.words
+    """Links of each entry."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size), np.uint8)]
-        for batch in batches:
-            columns = [batch.column("entry").to_numpy(), batch.column("finer").to_numpy(), binary_rows(batch.column("fp"), size)]
-            rows = [np.concatenate(pair) for pair in zip(waiting, columns)]
-            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            cut = new[-1] if len(new) else 0
-            waiting = [column[cut:] for column in rows]
-            if cut:
-                yield from _linked(rows[2][:cut], np.concatenate([[0], new]), scheme.reach)
-        yield from _linked(waiting[2], np.array([0, len(waiting[2])]), scheme.reach)
+        for (fp,), bounds in _entries(batches, 8 * scheme.words):
+            yield from _linked(fp, bounds, scheme.reach)
         give_back()
 
     return compare
 
 
+def _apart(scheme: Scheme):
+    """All pairs of each entry within reach whose labels differ, the smaller first."""
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (fp, side, label), bounds in _entries(batches, 8 * scheme.words, "side", "label"):
+            words, starts = fp.view("<u8"), bounds[:-1]
+            several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts) if len(label) else starts < 0
+            for at, end in zip(starts[several].tolist(), bounds[1:][several].tolist()):
+                step = max(1, (1 << 18) // ((end - at) * words.shape[1]))
+                for low in range(at, end - 1, step):
+                    high = min(low + step, end)
+                    met = _distance(words[low:high, None], words[None, at:end]) <= scheme.reach
+                    met &= label[low:high, None] != label[None, at:end]
+                    # Sides 1 and 2 meet each other only; the rows of an entry are sorted by fingerprint.
+                    met &= (side[low:high, None] + side[None, at:end]) % 3 == 0
+                    met &= np.arange(low, high)[:, None] < np.arange(at, end)
+                    one, other = np.nonzero(met)
+                    if len(one):
+                        yield _batch(a=fp[low + one], b=fp[at + other])
+        give_back()
+
+    return apart
+
+
+def _entries(batches: Iterator[pa.RecordBatch], size: int, *names: str) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Fingerprints and further columns of whole entries, and their bounds; rows come sorted, the last entry of a batch waits for the next."""
+    waiting = None
+    for batch in batches:
+        rows = [batch.column("entry").to_numpy(), batch.column("finer").to_numpy(), binary_rows(batch.column("fp"), size)]
+        rows += [batch.column(name).to_numpy() for name in names]
+        if waiting is not None:
+            rows = [np.concatenate(pair) for pair in zip(waiting, rows)]
+        new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+        cut = new[-1] if len(new) else 0
+        waiting = [column[cut:] for column in rows]
+        if cut:
+            yield [column[:cut] for column in rows[2:]], np.concatenate([[0], new])
+    if waiting is not None and len(waiting[0]):
+        yield waiting[2:], np.array([0, len(waiting[0])])
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -335,9 +403,8 @@ def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([digest(whole[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
 
 
-def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The links whose texts share at least `similarity` of their different shingles; texts of linked rows alone are read for it."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp")
+def _shingles(source: DataFrame, ends: DataFrame, scheme: Scheme) -> DataFrame:
+    """The different shingles of linked fingerprints; texts of linked rows alone are read for it."""
     ends = bounded(ends.select("fp", F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")))
     met = source.join(ends, F.col("id").eqNullSafe(F.col("_id")) & F.col("tag").eqNullSafe(F.col("_tag")))
 
@@ -353,7 +420,11 @@ def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Sch
             give_back()
 
     sets = met.select("fp", "text").mapInArrow(scan, "fp binary, shingles array<long>").dropDuplicates(["fp"])
-    sets = kept(sets, "simhash-shingles")
+    return kept(sets, "simhash-shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links whose texts share at least `similarity` of their different shingles."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b"
     )

@@ -139,6 +139,48 @@ def test_similar_texts(spark):
     assert {row["doc_id"]: row["component_id"] for row in found} == {n: n // 3 * 3 for n in range(60)}
 
 
+# 16 segments of 8 bits, so that a few dozen texts fill large entries.
+FEW_BITS = replace(simhash.SIMILAR, words=2, reach=30, segment=8, finer=8)
+
+
+def family(seed: int, copies: int) -> list[bytes]:
+    """Texts around one text, with two to seven words changed, so that about half of the pairs share four fifths."""
+    draw = np.random.default_rng(seed)
+    words = [f"w{n}" for n in draw.integers(0, 5000, 300)]
+    found = []
+    for copy in range(copies):
+        changed = list(words)
+        for at in draw.integers(0, 300, draw.integers(2, 8)):
+            changed[at] = f"new{copy}x{at}"
+        found.append(" ".join(changed).encode())
+    return found
+
+
+def similar_components(rows: list[bytes], scheme: simhash.Scheme) -> list[int]:
+    """Place of the first of each component: texts that agree in a segment, lie within reach and share enough shingles."""
+    prints = [np.frombuffer(simhash.fingerprint(text, scheme), np.uint8) for text in rows]
+    sets = [set(simhash._shingle_hashes(text, scheme.width).tolist()) for text in rows]
+    first, width = list(range(len(rows))), scheme.segment // 8
+    for a in range(len(rows)):
+        for b in range(a):
+            agree = (prints[a] == prints[b]).reshape(-1, width).all(axis=1).any()
+            if agree and np.bitwise_count(prints[a] ^ prints[b]).sum() <= scheme.reach and first[a] != first[b]:
+                if len(sets[a] & sets[b]) >= scheme.similarity * len(sets[a] | sets[b]):
+                    old, new = max(first[a], first[b]), min(first[a], first[b])
+                    first = [new if x == old else x for x in first]
+    return first
+
+
+@pytest.mark.parametrize("matrix", [1024, 8])
+def test_similar_texts_whose_trees_fail(spark, monkeypatch, matrix):
+    """A link of a tree that fails takes no other link away, neither in trees from distances nor in growing fronts."""
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    rows = [text for seed in range(4) for text in family(seed, 60)]
+    docs = spark.createDataFrame(list(enumerate(map(bytes.decode, rows))), "doc_id long, text string")
+    found = {row["doc_id"]: row["component_id"] for row in simhash.near_duplicates(docs, scheme=FEW_BITS).collect()}
+    assert [found[n] for n in range(len(rows))] == similar_components(rows, FEW_BITS)
+
+
 def test_word_encoder_equals_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder, tokenizer = WordEncoder(path), Tokenizer.from_file(path)
