@@ -12,6 +12,8 @@ A large entry gives a tree that connects what it links, not all its pairs; where
 verified by the texts, pairs that trees with failed links leave out follow. Entries around a
 segment value that very many different fingerprints share are not filled; their
 members enter finer entries instead, by balls around pieces of the other segments.
+That is exact only where balls around all pieces are; longer fingerprints keep such an
+entry, cut into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ class Scheme:
     """Shingle width in words, fingerprint length in 64-bit words, link distance, index.
 
     `finer` is the width of the pieces of the other segments that crowded entries
-    (more than `crowded` fingerprints with that very segment) are refined by. With
+    (more than `crowded` fingerprints with that very segment) are refined by; with
+    `similarity` they are cut into blocks of that size instead. With
     `similarity` a link counts only if the texts share that part of all their different
     shingles; `reach` is then no more than the way to candidates. `repeats` says whether
     a shingle counts as often as it occurs.
@@ -190,8 +193,27 @@ def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFr
 
 
 def _blocks(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Entries of all fingerprints, every one whole: entry, finer, side, fp."""
-    return fps.mapInArrow(_enter(scheme), ENTRY).withColumn("side", F.lit(0))
+    """Entries of all fingerprints: entry, finer, side, fp.
+
+    A crowded entry is cut into blocks of about `crowded` fingerprints, and every two
+    blocks, and every block with itself (side 0), are an entry of their own. So all its
+    members still meet, but never in one place.
+    """
+    entries = fps.mapInArrow(_enter(scheme), ENTRY).select("entry", "fp")
+    sizes = (entries if scheme.radius else fps.mapInArrow(_own(scheme), "entry long")).groupBy("entry").count()
+    full = sizes.filter(F.col("count") > scheme.crowded)
+    full = bounded(full.select("entry", F.ceil(F.col("count") / scheme.crowded).cast("long").alias("parts")))
+    if full.isEmpty():
+        return entries.select("entry", F.lit(-1).cast("long").alias("finer"), F.lit(0).alias("side"), "fp")
+    parts, block, other = F.col("parts"), F.col("block"), F.col("other")
+    cut = entries.join(full, "entry", "left").withColumn("block", F.pmod(F.xxhash64("fp"), parts))
+    others = F.when(parts.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+    return cut.withColumn("other", F.explode(others)).select(
+        "entry",
+        F.when(parts.isNull(), -1).otherwise(F.least(block, other) * parts + F.greatest(block, other)).alias("finer"),
+        F.when(parts.isNull() | (block == other), 0).when(block < other, 1).otherwise(2).alias("side"),
+        "fp",
+    )
 
 
 def _ball(values: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -181,6 +181,16 @@ def test_similar_texts_whose_trees_fail(spark, monkeypatch, matrix):
     assert [found[n] for n in range(len(rows))] == similar_components(rows, FEW_BITS)
 
 
+@pytest.mark.parametrize("crowded", [4, 15])
+def test_similar_texts_in_crowded_entries(spark, crowded):
+    """What one segment brings together needs no second one, however many others it brings."""
+    rows = [text for seed in range(4, 7) for text in family(seed, 40)]
+    docs = spark.createDataFrame(list(enumerate(map(bytes.decode, rows))), "doc_id long, text string")
+    scheme = replace(FEW_BITS, segment=16, finer=16, reach=40, crowded=crowded)
+    found = {row["doc_id"]: row["component_id"] for row in simhash.near_duplicates(docs, scheme=scheme).collect()}
+    assert [found[n] for n in range(len(rows))] == similar_components(rows, scheme)
+
+
 def test_word_encoder_equals_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder, tokenizer = WordEncoder(path), Tokenizer.from_file(path)
