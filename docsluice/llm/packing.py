@@ -32,6 +32,9 @@ TOKENS = "id long, source string, part int, ahead long, n long, ids binary"
 STORED = np.dtype("<u2")
 PIECES = "id long, source string, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
+# Grants that are looked at together.
+CELLS = 1 << 20
+
 
 @dataclass(frozen=True)
 class PackConfig:
@@ -79,16 +82,60 @@ class Schedule:
         due[windows <= 0] = 0
         return due
 
-    def around(self, queue: int, first: int, last: int) -> tuple[int, np.ndarray]:
-        """A window that begins at or before position `first` of a queue, and grants from there until `last` is covered."""
-        at = np.interp([first / self.weights[queue], last / self.weights[queue]], self.times, self.served) / self.window
-        low, high, step = int(at[0]) - 1, int(at[1]) + 2, 1
-        while low > 0 and self.granted(np.array([low]))[0, queue] > first:
-            low, step = low - step, step * 2
-        while high < self.windows and self.granted(np.array([high]))[0, queue] < last:
-            high, step = high + step, step * 2
-        low, high = max(low, 0), min(high, self.windows)
-        return low, self.granted(np.arange(low, high + 1))
+    def own(self, queue: int, windows: np.ndarray) -> np.ndarray:
+        """Tokens of one queue in the first so many windows."""
+        time = np.interp(windows * float(self.window), self.served, self.times)
+        due = np.minimum(np.floor(time * self.weights[queue]).astype(np.int64), self.totals[queue])
+        due[windows >= self.windows] = self.totals[queue]
+        due[windows <= 0] = 0
+        return due
+
+    def window_of(self, queue: int, places: np.ndarray) -> np.ndarray:
+        """The window that grants the token at each place of a queue."""
+        at = np.interp((places + 1) / self.weights[queue], self.times, self.served) / self.window
+        low = np.clip(np.floor(at).astype(np.int64) - 1, 0, self.windows - 1)
+        high = np.minimum(low + 3, self.windows)
+        # Rounding may shift a grant; what each window has granted decides.
+        step = 1
+        while (late := self.own(queue, low) > places).any():
+            low, step = np.where(late, np.maximum(low - step, 0), low), 2 * step
+        step = 1
+        while (early := self.own(queue, high) <= places).any():
+            high, step = np.where(early, np.minimum(high + step, self.windows), high), 2 * step
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            after = self.own(queue, middle) <= places
+            low, high = np.where(after, middle, low), np.where(after, high, np.maximum(middle, low + 1))
+        return low
+
+    def begins(self, queue: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places in [first, last) of a queue at which a window begins to grant, the first one included, and these windows.
+
+        A run of many tokens per window walks the windows, one of few the tokens, so
+        that the work is bounded by the run however many windows it spans.
+        """
+        low, high = self.window_of(queue, np.array([first, last - 1]))
+        if high - low < last - first:
+            windows = np.arange(low, high + 1)
+            own = self.own(queue, windows)
+            some = np.append(own[1:], last) > np.maximum(own, first)
+            return np.maximum(own[some], first), windows[some]
+        windows = self.window_of(queue, np.arange(first, last))
+        new = np.flatnonzero(np.diff(windows, prepend=-1))
+        return first + new, windows[new]
+
+    def starts(self, queue: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of a queue in each window (ascending) is laid, and what the queue had been granted before."""
+        places, own = np.empty(len(windows), np.int64), np.empty(len(windows), np.int64)
+        step = max(1, CELLS // len(self.totals))
+        for at in range(0, len(windows), step):
+            here = windows[at : at + step]
+            bounds = np.unique(np.concatenate([here, here + 1]))
+            granted, low = self.granted(bounds), np.searchsorted(bounds, here)
+            # Before it come the earlier windows whole, and of its own window the queues before.
+            places[at : at + step] = granted[low, queue:].sum(axis=1) + granted[low + 1, :queue].sum(axis=1)
+            own[at : at + step] = granted[low, queue]
+        return places, own
 
     def bound(self, places: np.ndarray) -> np.ndarray:
         """End of the sequence each place lies in."""
@@ -209,14 +256,11 @@ def _cut(schedule: Schedule):
 def _run(schedule: Schedule, rows: pa.RecordBatch, queue: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Pieces of rows that lie one after the other in a queue."""
     first, last = int(at[0]), int(at[-1] + n[-1])
-    low, granted = schedule.around(queue, first, last)
-    own = granted[:, queue]
-    begins = np.unique(np.concatenate([at, own[(own > first) & (own < last)]]))
-    window = np.searchsorted(own, begins, "right") - 1
-    window = np.minimum(window, len(own) - 2)
-    # Before it come the earlier windows whole, and of its own window the queues before.
-    ahead = granted[window].sum(axis=1) + (granted[window + 1, :queue] - granted[window, :queue]).sum(axis=1)
-    place = ahead + begins - own[window]
+    begins, windows = schedule.begins(queue, first, last)
+    places, own = schedule.starts(queue, windows)
+    granted, begins = begins, np.union1d(at, begins)
+    window = np.searchsorted(granted, begins, "right") - 1
+    place = places[window] + begins - own[window]
     size = np.diff(np.concatenate([begins, [last]]))
     parts = []
     while len(begins):

@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 from docsluice.llm import lm, simhash
 from docsluice.llm.exact_dedup import exact_dedup
 from docsluice.llm.mixing import Mix, min_cost_flow, mix_sources, targets
-from docsluice.llm.packing import PackConfig, pack
+from docsluice.llm.packing import STORED, PackConfig, Schedule, _run, pack
 from docsluice.llm.suffix_dedup import remove_repeats
 from docsluice.llm.tokens import WordEncoder
 from tests.llm import awkward
@@ -251,6 +252,47 @@ def test_pack_keeps_the_mixture(spark):
             assert all(abs(held[source] - 2048 * n / total) <= len(tokens) + 2 for source, n in tokens.items())
 
 
+def test_schedule_of_a_rare_source():
+    """A source of a few tokens in a large corpus looks at its own windows, not at all; places are the same either way."""
+    most = 0
+
+    class Watched(Schedule):
+        def granted(self, windows):
+            nonlocal most
+            most = max(most, len(windows))
+            return super().granted(windows)
+
+    for totals, weights, window in (
+        ([700_000, 3, 1_000, 299_000], None, 16),
+        ([5_000, 40_000, 7, 900], [3.0, 1.0, 0.5, 9.0], 64),
+        ([1, 1, 1], None, 2048),
+    ):
+        schedule = Watched(totals, weights or [n / sum(totals) for n in totals], window, 16)
+        every = Schedule.granted(schedule, np.arange(schedule.windows + 1))
+        order = [[] for _ in totals]
+        at = 0
+        for grants in np.diff(every, axis=0).tolist():
+            for queue, n in enumerate(grants):
+                order[queue] += range(at, at + n)
+                at += n
+        for queue, total in enumerate(totals):
+            for first, last in {(0, total), (total // 3, total), (total // 2, total // 2 + 1)}:
+                n = np.array([1, last - first - 1][: last - first])
+                starts = first + np.cumsum(n) - n
+                ids = pa.array([np.zeros(x, STORED).tobytes() for x in n.tolist()], pa.binary())
+                rows = pa.RecordBatch.from_pydict({"id": pa.array(starts), "source": pa.array(["s"] * len(n)), "ids": ids})
+                most = 0
+                found = _run(schedule, rows, queue, starts, n).to_pydict()
+                got = []
+                for row, start, held, sequence, offset in zip(*(found[name] for name in ("id", "start", "ids", "sequence_id", "offset"))):
+                    size = len(held) // 4
+                    late = sequence - schedule.full
+                    place = (schedule.tail[late] if late >= 0 else sequence * 16) + offset
+                    got += [(row + start + x, place + x) for x in range(size)]
+                assert got == list(zip(range(first, last), order[queue][first:last]))
+                assert most <= 2 * (last - first)
+
+
 def plain_repeats(rows: list[tuple], length: int = 200) -> list[tuple]:
     count = Counter(text[n : n + length] for _, text in rows for n in range(len(text) - length + 1))
     found = []
