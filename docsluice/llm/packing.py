@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, give_back, kept, slices
 from docsluice.llm.tokens import word_encoder
+from docsluice.session import bounded
 
 TOKENS = "id long, source string, part int, ahead long, n long, ids binary"
 # Between the two passes ids are kept in 16 bits; larger vocabularies are refused.
@@ -40,8 +41,8 @@ CELLS = 1 << 20
 class PackConfig:
     """`window` tokens get the target mixture; `weights` by source, by default as the sources come.
 
-    The `queues` - 1 largest sources have a queue each, all others share one, so that
-    the schedule is small whatever the number of sources.
+    Of more than `queues` sources the `queues` - 1 largest have a queue each and all
+    others share one, inside which the same schedule orders them (`Shared`).
     """
 
     tokenizer: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))
@@ -137,6 +138,12 @@ class Schedule:
             own[at : at + step] = granted[low, queue]
         return places, own
 
+    def place(self, queue: int, places: np.ndarray) -> np.ndarray:
+        """Where the token at each place of a queue is laid."""
+        windows, back = np.unique(self.window_of(queue, places), return_inverse=True)
+        laid, own = self.starts(queue, windows)
+        return laid[back] + places - own[back]
+
     def bound(self, places: np.ndarray) -> np.ndarray:
         """End of the sequence each place lies in."""
         tail = np.searchsorted(self.tail, places, "right").clip(0, len(self.tail) - 1)
@@ -151,6 +158,26 @@ class Schedule:
         )
 
 
+class Shared:
+    """The order of tokens in a queue that sources share: schedules in schedules, none of more than `queues` queues.
+
+    Their windows are single tokens, so any stretch of the queue has the proportions of the sources.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float], queues: int):
+        self.firsts = np.linspace(0, len(totals), min(max(queues, 2), len(totals)) + 1).astype(np.int64)
+        parts = list(zip(self.firsts.tolist(), self.firsts[1:].tolist()))
+        self.parts = [Shared(totals[a:b], weights[a:b], queues) if b - a > 1 else None for a, b in parts]
+        self.schedule = Schedule([sum(totals[a:b]) for a, b in parts], [sum(weights[a:b]) for a, b in parts], 1, 1)
+
+    def place(self, number: int, places: np.ndarray) -> np.ndarray:
+        """Place in the queue of each token of the source of that number."""
+        part = int(np.searchsorted(self.firsts, number, "right")) - 1
+        if self.parts[part] is not None:
+            places = self.parts[part].place(number - int(self.firsts[part]), places)
+        return self.schedule.place(part, places)
+
+
 def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackConfig) -> DataFrame:
     """Ids of every row with the end id: id, source, part (task), ahead (tokens of the source before it in the part), n, ids."""
 
@@ -208,36 +235,34 @@ def pack(
     tokens = kept(tokenized(docs, key, text, source, config), "pack-tokens")
     counts = kept(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "pack-counts")
     sizes = counts.groupBy("source").agg(F.sum("n").alias("size"))
-    largest = sizes.orderBy(F.desc("size"), "source").limit(config.queues - 1).select("source", "size").collect()
-    if not largest:
+    ranked = sizes.orderBy(F.desc("size"), "source").collect()
+    if not ranked:
         return spark.createDataFrame([], PIECES).withColumnRenamed("id", key).withColumn("length", F.lit(0).cast("long"))
-    places = {row["source"]: number for number, row in enumerate(largest)}
-    total = counts.agg(F.sum("n")).head()[0]
-    totals = [row["size"] for row in largest] + [total - sum(row["size"] for row in largest)]
-    weights = [float(size) / total for size in totals]
-    if config.weights:
-        least = min(config.weights.values())
-        weights = [float(config.weights.get(row["source"], least)) for row in largest] + [least]
-    if not totals[-1]:
-        totals, weights = totals[:-1], weights[:-1]
+    totals = [row["size"] for row in ranked]
+    weights = [float(size) / sum(totals) for size in totals] if not config.weights else [
+        float(config.weights.get(row["source"], min(config.weights.values()))) for row in ranked
+    ]
+    shared, own = None, len(ranked) if len(ranked) <= config.queues else config.queues - 1
+    if own < len(ranked):
+        shared = Shared(totals[own:], weights[own:], config.queues)
+        totals, weights = totals[:own] + [sum(totals[own:])], weights[:own] + [sum(weights[own:])]
     schedule = Schedule(totals, weights, config.window, config.length)
 
-    known = spark.createDataFrame(list(places.items()), "name string, queue int")
-    queued = counts.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")), "left")
-    queued = queued.withColumn("queue", F.coalesce("queue", F.lit(len(largest)))).drop("name")
-    earlier = Window.partitionBy("queue").orderBy(F.col("source").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    known = bounded(spark.createDataFrame([(row["source"], number) for number, row in enumerate(ranked)], "name string, queue int"))
+    queued = counts.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = queued.select(
         F.col("source").alias("of"), F.col("part").alias("in"), "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")
     )
     first = kept(first, "pack-first")
     joined = tokens.join(first, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
     placed = joined.select("id", "source", "queue", (F.col("first") + F.col("ahead")).alias("at"), "n", "ids")
-    pieces = placed.mapInArrow(_cut(schedule), PIECES)
+    pieces = placed.mapInArrow(_cut(schedule, shared), PIECES)
     length = (F.length("ids") / 4).cast("long")
     return pieces.select(F.col("id").alias(key), "source", "start", length.alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
 
 
-def _cut(schedule: Schedule):
+def _cut(schedule: Schedule, shared: Shared | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "ids", 1 << 22):
@@ -248,19 +273,27 @@ def _cut(schedule: Schedule):
                 new = (queue[1:] != queue[:-1]) | (at[1:] != at[:-1] + n[:-1])
                 starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(queue)]])
                 for first, last in zip(starts, starts[1:]):
-                    yield _run(schedule, batch.slice(first, last - first), int(queue[first]), at[first:last], n[first:last])
+                    yield _run(schedule, batch.slice(first, last - first), int(queue[first]), at[first:last], n[first:last], shared)
 
     return cut
 
 
-def _run(schedule: Schedule, rows: pa.RecordBatch, queue: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Pieces of rows that lie one after the other in a queue."""
+def _run(
+    schedule: Schedule, rows: pa.RecordBatch, queue: int, at: np.ndarray, n: np.ndarray, shared: Shared | None = None
+) -> pa.RecordBatch:
+    """Pieces of rows that lie one after the other in a source; the sources after those with a queue of their own share the last one."""
     first, last = int(at[0]), int(at[-1] + n[-1])
-    begins, windows = schedule.begins(queue, first, last)
-    places, own = schedule.starts(queue, windows)
-    granted, begins = begins, np.union1d(at, begins)
-    window = np.searchsorted(granted, begins, "right") - 1
-    place = places[window] + begins - own[window]
+    alone = len(schedule.totals) - (shared is not None)
+    if queue < alone:
+        begins, windows = schedule.begins(queue, first, last)
+        places, own = schedule.starts(queue, windows)
+        granted, begins = begins, np.union1d(at, begins)
+        window = np.searchsorted(granted, begins, "right") - 1
+        place = places[window] + begins - own[window]
+    else:
+        places = schedule.place(alone, shared.place(queue - alone, np.arange(first, last)))
+        begins = np.union1d(at, first + np.flatnonzero(np.diff(places, prepend=-2) != 1))
+        place = places[begins - first]
     size = np.diff(np.concatenate([begins, [last]]))
     parts = []
     while len(begins):

@@ -293,6 +293,20 @@ def test_schedule_of_a_rare_source():
                 assert most <= 2 * (last - first)
 
 
+@pytest.mark.parametrize("weights", [None, {"h0": 1.0, "h1": 3.0}])
+def test_pack_mixes_sources_that_share_a_queue(spark, weights):
+    """Every part of the result has all sources in proportion, however few queues there are."""
+    rows = [(n, "word " * 149, None, f"h{n % 40}", 0, 0, "", "", "", 0, 0) for n in range(400)]
+    pieces = pack(awkward.frame(spark, rows), config=PackConfig(queues=4, weights=weights)).collect()
+    total = sum(piece["length"] for piece in pieces)
+    held = defaultdict(Counter)
+    for piece in pieces:
+        held[piece["sequence_id"]][piece["source"]] += piece["length"]
+    shares = {f"h{n}": 3 / 42 if weights and n == 1 else 1 / (42 if weights else 40) for n in range(40)}
+    for number in range(total // 2048 // 3):
+        assert all(abs(held[number][source] - 2048 * share) <= 8 for source, share in shares.items())
+
+
 def plain_repeats(rows: list[tuple], length: int = 200) -> list[tuple]:
     count = Counter(text[n : n + length] for _, text in rows for n in range(len(text) - length + 1))
     found = []
