@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docsluice.llm import langid
 from docsluice.llm.chat import against_other_replies, preference_pairs
+from docsluice.llm.decontaminate import decontaminate, items_digest
 from docsluice.llm.exact_dedup import exact_dedup
 from docsluice.llm.lm import score_texts
 from docsluice.llm.mixing import mix_sources
@@ -218,3 +219,42 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def op10_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation that has a reply, paired with itself under another conversation's reply."""
     return preference_pairs(*against_other_replies(_table(spark, folder, "conversations")))
+
+
+@_query(
+    "op11_decontaminate",
+    r"""
+    WITH texts AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+      FROM documents),
+    items AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+      FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS string
+      FROM (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0)),
+    met AS (
+      SELECT doc_id, n, pos, item_id
+      FROM (
+        SELECT doc_id, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS string,
+          unnest(range(1, len(w) - n + 2)) AS pos
+        FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+      JOIN windows USING (n, string)),
+    hits AS (
+      SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM met) GROUP BY doc_id),
+    named AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM met) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words that stand in windows of 10 words of the benchmark."""
+    found = decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), texts=False)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
