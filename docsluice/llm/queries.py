@@ -14,6 +14,7 @@ from docsluice.llm.exact_dedup import exact_dedup
 from docsluice.llm.lm import score_texts
 from docsluice.llm.mixing import mix_sources
 from docsluice.llm.packing import pack
+from docsluice.llm.prefix_trie import ordered_turns, prefix_trie, with_borrowed_heads
 from docsluice.llm.simhash import CLOSE, near_duplicates
 from docsluice.llm.suffix_dedup import remove_repeats
 from docsluice.llm.topk import top_k, usable
@@ -37,6 +38,18 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+def crc32_sql(codes: str) -> str:
+    """The unsigned CRC-32 of a list of bytes; `crc_table`, the CTE of CRC_TABLE, stands in FROM."""
+    step = "lambda c, b: xor(crc_table.t[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(list_reduce({codes}, {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+CRC_TABLE = """
+    crc_table AS MATERIALIZED (
+      SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, i)
+        ORDER BY i) AS t
+      FROM range(0, 256) r(i))"""
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -258,3 +271,49 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+@_query(
+    "op13_prefix_trie",
+    rf"""
+    WITH {CRC_TABLE.strip()},
+    own AS (
+      SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) - 1 AS place, id, words
+      FROM (
+        SELECT conv_id AS c, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id,
+          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (
+      SELECT c, c - c % 20 AS base, {crc32_sql("[ord(x) FOR x IN string_split(CAST(c AS VARCHAR), '')]")} % 4 AS h
+      FROM (SELECT DISTINCT c FROM own), crc_table),
+    rebuilt AS (
+      SELECT convs.c, 0 AS part, place, id, words FROM convs JOIN own ON own.c = base AND place < h
+      UNION ALL SELECT convs.c, 1, place, id, words FROM convs JOIN own ON own.c = convs.c AND place >= h),
+    whole AS (
+      SELECT convs.c, coalesce(list(id ORDER BY part, place) FILTER (WHERE id IS NOT NULL), []) AS ids,
+        list(words ORDER BY part, place) AS words
+      FROM convs LEFT JOIN rebuilt ON rebuilt.c = convs.c GROUP BY convs.c),
+    prefixes AS (SELECT c, ids, words, len(ids) AS n, unnest(range(0, len(ids) + 1)) AS depth FROM whole),
+    members AS (
+      SELECT c, n, depth, array_to_string(ids[1:depth], '') AS path, array_to_string(ids[1:depth - 1], '') AS parent,
+        CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words
+      FROM prefixes),
+    nodes AS (
+      SELECT path, depth, any_value(parent) AS parent, any_value(words) AS words, min(c) AS conv_id, count(*) AS n_convs, max(n) AS longest,
+        coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '') AS ends
+      FROM members GROUP BY path, depth),
+    children AS (SELECT parent AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    subtrees AS (
+      SELECT m.path, m.depth, CAST(sum(CAST(b.longest = b.depth AS INT)) AS BIGINT) AS n_leaves,
+        CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+      FROM nodes b JOIN members m ON m.c = b.conv_id AND m.depth <= b.depth GROUP BY ALL)
+    SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+      sha256(x.ends) AS ends_sha256
+    FROM nodes x LEFT JOIN children USING (path, depth) JOIN subtrees USING (path, depth)
+      LEFT JOIN nodes p ON p.path = x.parent AND p.depth = x.depth - 1
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the conversations that were rebuilt with borrowed first turns."""
+    turns, convs = with_borrowed_heads(ordered_turns(_table(spark, folder, "conversations")))
+    return prefix_trie(turns, convs).drop("turn_id")
