@@ -16,6 +16,7 @@ from docsluice.llm.mixing import mix_sources
 from docsluice.llm.packing import pack
 from docsluice.llm.prefix_trie import ordered_turns, prefix_trie, with_borrowed_heads
 from docsluice.llm.simhash import CLOSE, near_duplicates
+from docsluice.llm.spelling import spelling_groups, word_counts
 from docsluice.llm.suffix_dedup import remove_repeats
 from docsluice.llm.topk import top_k, usable
 from docsluice.llm.urls import Rule, judge_urls
@@ -273,6 +274,47 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query(
+    "op12_spelling_groups",
+    rf"""
+    WITH RECURSIVE {CRC_TABLE.strip()},
+    runs AS (
+      SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents)
+      GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, {crc32_sql("flatten([CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END FOR x IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')])")} AS h
+      FROM runs, crc_table),
+    words AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    shorter AS (
+      SELECT word, n, unnest(range(1, length(word) + 1)) AS place,
+        unnest([left(word, i - 1) || substr(word, i + 1) FOR i IN range(1, length(word) + 1)]) AS rest
+      FROM words),
+    pairs AS (
+      SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+      UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+      UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+    near AS (SELECT word, count(*) AS n_near, min({{'n': -other_n, 'other': other}}) AS best FROM pairs GROUP BY word),
+    formed AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * w.n THEN best.other END AS form,
+        CASE WHEN -best.n >= 2 * w.n THEN -best.n END AS form_n
+      FROM words w LEFT JOIN near ON near.word = w.word),
+    paths AS (
+      SELECT word, word AS root, form AS next FROM formed
+      UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN formed f ON f.word = p.next)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM paths WHERE next IS NULL) USING (word)
+    """,
+)
+def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word of the documents with its near words' most frequent form and the root of its forms."""
+    return spelling_groups(word_counts(_table(spark, folder, "documents")))
+
+
 @_query(
     "op13_prefix_trie",
     rf"""
