@@ -297,11 +297,14 @@ def _compare(scheme: Scheme):
 
 
 def _apart(scheme: Scheme):
-    """All pairs of each entry within reach whose labels differ, the smaller first."""
+    """All pairs of each entry within reach whose labels differ, the smaller first.
+
+    Pairs that meet in several entries come from that of the first segment they share.
+    """
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (fp, side, label), bounds in _entries(batches, 8 * scheme.words, "side", "label"):
-            words, starts = fp.view("<u8"), bounds[:-1]
+        for (fp, side, label, entry), bounds in _entries(batches, 8 * scheme.words, "side", "label", "entry"):
+            words, starts, pieces = fp.view("<u8"), bounds[:-1], _pieces(fp, scheme.segment)
             several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts) if len(label) else starts < 0
             for at, end in zip(starts[several].tolist(), bounds[1:][several].tolist()):
                 step = max(1, (1 << 18) // ((end - at) * words.shape[1]))
@@ -313,6 +316,10 @@ def _apart(scheme: Scheme):
                     met &= (side[low:high, None] + side[None, at:end]) % 3 == 0
                     met &= np.arange(low, high)[:, None] < np.arange(at, end)
                     one, other = np.nonzero(met)
+                    if not scheme.radius:
+                        number = int(entry[at] >> 32)
+                        earlier = (pieces[low + one, :number] == pieces[at + other, :number]).any(axis=1)
+                        one, other = one[~earlier], other[~earlier]
                     if len(one):
                         yield _batch(a=fp[low + one], b=fp[at + other])
         give_back()
