@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -300,4 +301,36 @@ def external_call(spark, folder):
     prompts = category_prompts(spark_view(spark, folder, "doc_meta"))
     # No waiting, and a breaker that stays out of the way: both are tested on their own.
     config = CallConfig(base_delay=0.0, failure_threshold=1_000_000_000)
-    return call_model(prompts, "prompt", hashing_client, config).drop("prompt")
+    return call_model(prompts, "prompt", hashing_client, config).drop("prompt", "call_ms")
+
+
+def slow_client(timeout: float):
+    """Stands for a slow model server that never comes back on some prompts and refuses others."""
+    answer = hashing_client(timeout)
+
+    def slowly(prompt: str) -> str:
+        digest = hashlib.md5(prompt.encode()).hexdigest()
+        time.sleep(60 if digest.startswith("f0") else 0.002)
+        return answer(prompt)
+
+    return slowly
+
+
+@check(
+    "call_model_in_flight",
+    sql_views("doc_meta")
+    + sample_sql(2000)
+    + f""", prompts AS (SELECT doc_id, md5({prompt_sql()}) AS digest FROM sampled)
+    SELECT doc_id, CASE WHEN digest[1] <> '0' AND digest[1:2] <> 'f0' THEN digest END AS response,
+      CASE WHEN digest[1] = '0' THEN 'ConnectionError: refused' WHEN digest[1:2] = 'f0' THEN 'TimeoutError: no answer within 0.5 s' END AS call_error,
+      CASE WHEN digest[1] = '0' OR digest[1:2] = 'f0' THEN 2 ELSE 1 END AS attempts, TRUE AS timed FROM prompts""",
+)
+def calls_in_flight(spark, folder):
+    """Sixteen calls at a time in each of two partitions: calls that never come back are errors after the deadline."""
+    from docsluice.plans.classify import category_prompts
+
+    prompts = category_prompts(spark_view(spark, folder, "doc_meta"))
+    config = CallConfig(base_delay=0.0, failure_threshold=1_000_000_000, max_attempts=2, concurrency=2, in_flight=16, deadline=0.5)
+    called = call_model(prompts, "prompt", slow_client, config)
+    waited = F.when(F.col("call_error").startswith("TimeoutError"), F.col("call_ms") >= 1000).otherwise(F.col("call_ms") >= 0)
+    return called.select("doc_id", "response", "call_error", "attempts", waited.alias("timed"))

@@ -68,6 +68,22 @@ class CallConfig:
     timeout: float = 30.0
     # Number of partitions, hence of concurrent clients; None keeps the input's.
     concurrency: int | None = None
+    # Calls that one partition has under way at a time; they share its client, breaker and rate.
+    in_flight: int = 1
+    # Seconds after which a call that has not come back is given up; None waits as long as the client does.
+    deadline: float | None = None
+    # Calls a minute of all partitions together, shared out evenly; needs `concurrency`.
+    calls_per_minute: float | None = None
+    # Calls a partition may make at once after a quiet time.
+    burst: int = 1
+
+    def __post_init__(self) -> None:
+        if self.in_flight < 1 or self.burst < 1 or self.max_attempts < 1:
+            raise ValueError("in_flight, burst and max_attempts must be positive")
+        if self.deadline is not None and self.deadline <= 0:
+            raise ValueError("deadline must be positive")
+        if self.calls_per_minute is not None and (self.calls_per_minute <= 0 or not self.concurrency):
+            raise ValueError("calls_per_minute must be positive and needs the number of partitions in concurrency")
 
 
 MAX_CHARS = 2000

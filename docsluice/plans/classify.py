@@ -106,14 +106,19 @@ def category_prompts(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
 
 def read_answers(answers: DataFrame) -> DataFrame:
-    """Rows (doc_id, category, confidence, reasoning, error) from answers of the costly model."""
+    """Rows (doc_id, category, confidence, reasoning, error) from answers of the costly model.
+
+    With `processing_time_ms` if the answers say how long their calls took.
+    """
     parsed = answers.withColumn("answer", parse_category_answer(F.col("response")))
+    timed = [F.col("call_ms").alias("processing_time_ms")] if "call_ms" in answers.columns else []
     return parsed.select(
         "doc_id",
         normalize_category(F.col("answer.category")).alias("category"),
         clamp(F.col("answer.confidence")).alias("confidence"),
         F.col("answer.reasoning").alias("reasoning"),
         F.col("call_error").alias("error"),
+        *timed,
     )
 
 
@@ -148,7 +153,8 @@ def hybrid_classify(
     """Routes every document and returns one result row each; `mode="drop"` leaves out documents that failed.
 
     Columns: doc_id, category, confidence, classifier_type, decision, predicted,
-    threshold, threshold_after, cost, reasoning, error. Where the costly model fails, the
+    threshold, threshold_after, cost, reasoning, error, and processing_time_ms if the
+    answers or the cheap model's rows say how long they took. Where the costly model fails, the
     cheap one's result is used; a document that neither can classify has an error and
     neither category nor cost. Either model sees only the documents it is needed for.
     """
@@ -159,7 +165,9 @@ def hybrid_classify(
     prompts = category_prompts(likely_among(texts, to_llm)).join(to_llm, "doc_id", "left_semi")
     # Kept, because a call must not be made twice.
     costly = reliable(read_answers(ask(prompts))).filter("error IS NULL")
+    costly_ms = [F.col("processing_time_ms").alias("_llm_ms")] if "processing_time_ms" in costly.columns else []
     costly = costly.select(
+        *costly_ms,
         "doc_id",
         F.lit("LLM").alias("_costly"),
         F.col("category").alias("_llm_category"),
@@ -168,7 +176,10 @@ def hybrid_classify(
     )
     routed = reliable(routes.join(costly, "doc_id", "left"))
     to_ml = routed.filter("_costly IS NULL AND error IS NULL").select("doc_id")
-    cheap = ml(likely_among(texts, to_ml)).select(
+    cheap = ml(likely_among(texts, to_ml))
+    cheap_ms = [F.col("processing_time_ms").alias("_ml_ms")] if "processing_time_ms" in cheap.columns else []
+    cheap = cheap.select(
+        *cheap_ms,
         "doc_id",
         F.lit("ML").alias("_cheap"),
         F.col("category").alias("_ml_category"),
@@ -178,6 +189,8 @@ def hybrid_classify(
     used = F.coalesce("_costly", "_cheap")
     error = F.coalesce("error", F.when(used.isNull(), NO_RESULT))
     answered = F.col("_costly").isNotNull()
+    measured = [F.when(answered == (name == "_llm_ms"), F.col(name)) for name in ("_llm_ms", "_ml_ms") if name in joined.columns]
+    times = [F.coalesce(*measured).alias("processing_time_ms")] if measured else []
     category = normalize_category(F.when(answered, F.col("_llm_category")).otherwise(F.col("_ml_category")))
     results = joined.select(
         "doc_id",
@@ -191,6 +204,7 @@ def hybrid_classify(
         F.when(error.isNull(), cost(used)).alias("cost"),
         "reasoning",
         error.alias("error"),
+        *times,
     )
     return keep_or_drop(results, mode)
 
