@@ -20,9 +20,11 @@ from docsluice.config import RoutingConfig
 from docsluice.functions.names import suffix
 from docsluice.operators import feedback, metrics, results
 from docsluice.operators.features import with_features
+from docsluice.operators.routing import route_under_budget
 from docsluice.plans import learning
-from docsluice.session import fresh_path
+from docsluice.session import fresh_path, reliable
 from docsluice.sources import files, tables
+from docsluice.sources.registry import published
 from docsluice.streaming import streams
 
 
@@ -404,6 +406,48 @@ def stream_feedback(spark, folder):
     return points.withColumn("stored", F.lit(count).cast("long"))
 
 
+@check(
+    "stream_learned_route",
+    JUDGED.rstrip()
+    + """, sizes AS (SELECT count(*) AS n FROM judged)
+    SELECT batch, batch > 0 AND n * batch >= 4 * 200 AS predictor_in_use, TRUE AS same_routes, TRUE AS threshold_of_the_version
+    FROM sizes, range(0, 4) r(batch)""",
+)
+def stream_learned_route(spark, folder):
+    """Four micro-batches, each routed by what those before it taught, against the batch router with the published versions."""
+    features = with_features(spark_view(spark, folder, "doc_meta")).select("doc_id", "features")
+    truth = relations.judged(spark, folder).drop("routing_decision", "ts_s")
+    rows = relations.judged(spark, folder).select("doc_id", "ts_s", F.lit(0.1).alias("load"), F.lit(None).cast("string").alias("forced"))
+    rows = reliable(rows.join(features, "doc_id"))
+
+    def judge(batch, decided):
+        routed = batch.join(decided.select("doc_id", F.col("decision").alias("routing_decision")), "doc_id").join(truth, "doc_id")
+        return routed.select(
+            "doc_id", "routing_decision", "features", "ml_confidence", "ml_correct", "llm_correct", F.col("ts_s").cast("double").alias("timestamp")
+        )
+
+    root = fresh_path(spark, "loop")
+    sink = streams.learning_router_sink(root, RoutingConfig(), judge, iterations=3, depth=3)
+    finished(streams.run_batches(in_order(spark, rows, "ts_s", 4), sink, fresh_path(spark, "loop-log")))
+    found = None
+    for batch in range(4):
+        routed = spark.read.parquet(f"{root}/routes/batch={batch}")
+        config = learning.learned_config(spark, f"{root}/registry", RoutingConfig(), batch)
+        forecast = learning.learned_forecast(spark, f"{root}/registry", batch)(rows.join(routed.select("doc_id"), "doc_id"))
+        counters = spark.read.parquet(f"{root}/counters/batch={batch - 1}") if batch else None
+        again = route_under_budget(forecast, config, counters).select("doc_id", "decision", "threshold").exceptAll(routed.select("doc_id", "decision", "threshold"))
+        entry = published(spark, f"{root}/registry", batch)
+        points = spark.read.parquet(f"{root}/thresholds").filter(F.col("batch") < batch).agg(F.max_by("threshold", F.struct("arrived", "rows")).alias("threshold"))
+        part = again.agg(F.count("*").alias("n")).crossJoin(points).select(
+            F.lit(batch).cast("long").alias("batch"),
+            F.lit(entry is not None and entry.predictor is not None).alias("predictor_in_use"),
+            (F.col("n") == 0).alias("same_routes"),
+            (F.coalesce("threshold", F.lit(0.75)) == config.base_threshold).alias("threshold_of_the_version"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @check(
     "stream_stats",
     sql_views("history")

@@ -22,8 +22,9 @@ from docsluice.operators.learners import estimators, fit_assembly, predict, prep
 from docsluice.operators.ordering import newest
 from docsluice.operators.results import example_pairs
 from docsluice.operators.splits import sample_n, stratified_split
-from docsluice.plans.classify import Classifier
-from docsluice.session import exists, reliable
+from docsluice.plans.classify import Classifier, Forecast, forecast_with
+from docsluice.session import reliable
+from docsluice.sources.registry import Published, load_predictor, publish, published
 
 
 def bootstrap_examples(
@@ -105,22 +106,20 @@ def learn_from_feedback(
     return update, model
 
 
-def save_state(spark: SparkSession, path: str, version: int, threshold: float) -> None:
-    """Adds a version of the routing state; the router reads the newest."""
-    spark.createDataFrame([(version, threshold)], "version long, threshold double").write.mode("append").parquet(path)
+def save_state(spark: SparkSession, root: str, version: int, threshold: float, predictor: ConfidenceModel | None = None) -> Published:
+    """Publishes a version of what was learned, for the next run of the router."""
+    return publish(spark, root, version, threshold, predictor)
 
 
-def load_threshold(spark: SparkSession, path: str, default: float) -> float:
-    """The newest stored threshold; the default as long as nothing has been stored."""
-    if not exists(spark, path):
-        return default
-    newest_state = spark.read.parquet(path).orderBy(F.col("version").desc()).limit(1).collect()
-    return newest_state[0].threshold if newest_state else default
+def learned_config(spark: SparkSession, root: str, config: RoutingConfig, version: int | None = None) -> RoutingConfig:
+    """The configuration with the threshold published last, or last up to a version; unchanged if there is none."""
+    entry = published(spark, root, version)
+    return config if entry is None else replace(config, base_threshold=entry.threshold)
 
 
-def learned_config(spark: SparkSession, path: str, config: RoutingConfig) -> RoutingConfig:
-    """The configuration with the threshold that was learned last, for the next run of the router."""
-    return replace(config, base_threshold=load_threshold(spark, path, config.base_threshold))
+def learned_forecast(spark: SparkSession, root: str, version: int | None = None) -> Forecast:
+    """The forecast with the predictor published last, or last up to a version."""
+    return forecast_with(load_predictor(spark, root, published(spark, root, version)))
 
 
 def record(results: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

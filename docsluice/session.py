@@ -56,22 +56,23 @@ def bounded(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is stored at a path; any other trouble with it is an error."""
-    place, system = _place(spark, path)
+    place, system = hadoop_place(spark, path)
     return system.exists(place)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of what is stored under a path."""
-    place, system = _place(spark, path)
+    place, system = hadoop_place(spark, path)
     return system.getContentSummary(place).getLength()
 
 
 def found_at(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """What a path or wildcard names: (path, whether it is a folder)."""
-    place, system = _place(spark, path)
+    place, system = hadoop_place(spark, path)
     return [(entry.getPath().toString(), entry.isDirectory()) for entry in system.globStatus(place) or []]
 
 
-def _place(spark: SparkSession, path: str):
+def hadoop_place(spark: SparkSession, path: str):
+    """A path and the file system it lies in, as the cluster knows them."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
-from docsluice.operators.confidence import train_confidence
+from docsluice.operators.confidence import predict_confidence, train_confidence
 from docsluice.operators.feedback import FIRST_UPDATE, RETRAIN_FROM, UPDATE_STEP, threshold_path
 from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
+from docsluice.sources.registry import load_predictor, publish, published
 
 # What a stored update point says besides its place and the threshold; null where a batch passed none.
 EVIDENCE = ("rows", "judged", "correct", "ml_mistakes", "llm_mistakes")
@@ -158,7 +160,7 @@ def learning_sink(
     state_path: str,
     config: RoutingConfig,
     start: float,
-    model_path: str | None = None,
+    registry: str | None = None,
     iterations: int = 100,
     depth: int = 6,
 ) -> Callable[[DataFrame, int], None]:
@@ -168,8 +170,9 @@ def learning_sink(
     thresholds however they are cut. Each batch stores its points, the last of which
     (or the threshold it found) the next one starts from; the result is a function of
     the stored batches up to it, so a repeated batch gives the same rows again. With
-    `model_path` the confidence predictor is trained anew on the newest rows whenever
-    a point calls for it, once per batch, into a folder of the batch.
+    `registry` batch n publishes version n + 1 there if it moved the threshold or trained
+    the confidence predictor anew, which it does on the newest rows whenever a point
+    calls for it, once per batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -194,11 +197,16 @@ def learning_sink(
         path = threshold_path(rows, current, config, ["batch", "timestamp", "doc_id"], earlier, moved_from=before)
         points = path.drop("batch", "timestamp", "doc_id")
         batch_sink(state_path)(nothing.unionByName(points).coalesce(1), batch_id)
-        if model_path is not None and now >= RETRAIN_FROM:
+        if registry is None:
+            return
+        model = None
+        if now >= RETRAIN_FROM:
             recent = _recent(session, feedback_path, needed, config.feedback_buffer, "timestamp")
             model = train_confidence(recent, ["timestamp", "doc_id"], iterations, depth)
-            if model is not None:
-                model.pipeline.write().overwrite().save(f"{model_path}/batch={batch_id}")
+        state = session.read.parquet(f"{state_path}/batch={batch_id}")
+        moved = state.orderBy(F.col("arrived").desc()).limit(1).collect()[0].threshold
+        if model is not None or moved != current:
+            publish(session, registry, batch_id + 1, moved, model)
 
     return write
 
@@ -272,6 +280,35 @@ def routing_sink(
     return write
 
 
+def learning_router_sink(
+    root: str,
+    config: RoutingConfig,
+    judge: Callable[[DataFrame, DataFrame], DataFrame],
+    iterations: int = 100,
+    depth: int = 6,
+) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: routes each micro-batch by what the batches before it taught, and learns from it.
+
+    Rows are (doc_id, ts_s, load, forced, features). Batch n forecasts with the predictor
+    and routes with the threshold of the newest published version not above n, that is,
+    of the batches before it, also when it is repeated after they went on. `judge` makes
+    feedback (as `learning_sink` stores it) of the rows of the batch and their decisions.
+    Under `root`: `routes`, `counters`, `feedback`, `thresholds` and the `registry`.
+    """
+    registry = f"{root}/registry"
+    learn = learning_sink(f"{root}/feedback", f"{root}/thresholds", config, config.base_threshold, registry, iterations, depth)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        entry = published(session, registry, batch_id)
+        known = config if entry is None else replace(config, base_threshold=entry.threshold)
+        forecast = predict_confidence(batch, load_predictor(session, registry, entry))
+        routing_sink(f"{root}/routes", f"{root}/counters", known)(forecast, batch_id)
+        learn(judge(batch, session.read.parquet(f"{root}/routes/batch={batch_id}")), batch_id)
+
+    return write
+
+
 def run_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.foreachBatch(sink)

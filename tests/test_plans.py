@@ -5,6 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from docsluice.operators.features import with_features
+from pyspark.sql import functions as F
+
 from docsluice.config import RoutingConfig, TermConfig
 from docsluice.operators import feedback, metrics
 from docsluice.operators.prefilter import likely_among
@@ -71,6 +74,37 @@ def test_learned_threshold(spark, tmp_path):
     learning.save_state(spark, path, 1, 0.7)
     learning.save_state(spark, path, 2, 0.65)
     assert learning.learned_config(spark, path, config).base_threshold == 0.65
+    assert learning.learned_config(spark, path, config, 1).base_threshold == 0.7
+    assert learning.learned_config(spark, path, config, 0) == config
+
+
+def test_published_versions_stand(spark, tmp_path):
+    from docsluice.operators.confidence import train_confidence
+    from docsluice.sources.registry import load_predictor, publish, published
+
+    root = str(tmp_path / "registry")
+    assert published(spark, root) is None and load_predictor(spark, root, None) is None
+    content = F.expr("repeat(concat('word', CAST(id % 7 AS STRING), ' '), CAST(5 + id % 40 AS INT))")
+    docs = spark.range(120).select(
+        F.col("id").alias("doc_id"), content.alias("content"), F.lit(None).cast("string").alias("sender_email"),
+        F.lit("txt").alias("file_extension"), F.lit(9).cast("long").alias("file_size"),
+    )
+    rows = with_features(docs).select("doc_id", "features", (F.col("doc_id") % 40 / 40).alias("ml_confidence"), F.col("doc_id").cast("double").alias("timestamp"))
+    model = train_confidence(rows, ["timestamp", "doc_id"], 3, 3)
+    publish(spark, root, 3, 0.7)
+    publish(spark, root, 5, 0.65, model)
+    assert publish(spark, root, 8, 0.6) == published(spark, root)
+    assert [published(spark, root, n) and (published(spark, root, n).threshold, published(spark, root, n).predictor) for n in (2, 4, 7, 9)] == [
+        None, (0.7, None), (0.65, 5), (0.6, 5)
+    ]
+    # What is published already stays, whatever a repeated job brings.
+    assert publish(spark, root, 5, 0.1).threshold == 0.65
+    assert learning.learned_forecast(spark, root, 4)(rows).select("predicted").distinct().collect()[0][0] == 0.6
+    fresh, stored = (sorted(f(rows).select("doc_id", "predicted").collect()) for f in (learning.forecast_with(model), learning.learned_forecast(spark, root)))
+    assert fresh == stored and len({r.predicted for r in stored}) > 3
+    # A version that was not finished is not seen.
+    (tmp_path / "registry" / "manifest" / ".draft").write_text("{")
+    assert published(spark, root).version == 8
 
 
 def test_record_keeps_features_and_metadata(spark):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from docsluice.operators.confidence import predict_confidence
+from docsluice.operators.routing import route_under_budget
 from docsluice.config import RoutingConfig
 from docsluice.operators.metrics import recent_history_stats
 from docsluice.streaming import streams
@@ -120,6 +123,51 @@ def test_old_replays_meet_their_counters(spark, tmp_path):
     assert {r.doc_id: (r.decision, r.threshold) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
 
 
+def test_batches_route_by_what_came_before(spark, tmp_path):
+    """Thresholds and predictor of batch n come from the batches before it, also in a repeat."""
+    from docsluice.operators.features import with_features
+    from docsluice.sources.registry import load_predictor, published
+
+    content = F.expr("repeat(concat('word', CAST(id % 7 AS STRING), ' '), CAST(5 + id % 40 AS INT))")
+    docs = spark.range(320).select(
+        F.col("id").alias("doc_id"), (F.col("id") * 10).alias("ts_s"), F.lit(0.1).alias("load"), F.lit(None).cast("string").alias("forced"),
+        content.alias("content"), F.lit(None).cast("string").alias("sender_email"), F.lit("txt").alias("file_extension"), F.lit(9).cast("long").alias("file_size"),
+    )
+    rows = with_features(docs).select("doc_id", "ts_s", "load", "forced", "features")
+    source = str(tmp_path / "in")
+    for part in range(4):
+        rows.filter(f"doc_id DIV 80 = {part}").coalesce(1).write.mode("append").parquet(source)
+    arriving_rows = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def judge(batch, decided):
+        return batch.join(decided.select("doc_id", F.col("decision").alias("routing_decision")), "doc_id").select(
+            "doc_id", "routing_decision", "features", (0.2 + F.col("doc_id") % 40 / 80).alias("ml_confidence"),
+            (F.col("doc_id") % 4 == 0).alias("ml_correct"), F.lit(True).alias("llm_correct"), F.col("ts_s").cast("double").alias("timestamp"),
+        )
+
+    root, config = str(tmp_path / "loop"), RoutingConfig(budget_per_hour=0.05)
+    sink = streams.learning_router_sink(root, config, judge, iterations=3, depth=3)
+    finish(streams.run_batches(arriving_rows, sink, str(tmp_path / "log")))
+    found = spark.read.parquet(f"{root}/routes").orderBy("doc_id").collect()
+    assert [r.doc_id for r in found] == list(range(320))
+    # 80, 160, 240, 320 rows: no update point, one, one that trains, one that trains.
+    entries = [published(spark, f"{root}/registry", n) for n in range(5)]
+    assert [None if e is None else e.predictor for e in entries] == [None, None, None, 3, 4]
+    assert entries[3].threshold != 0.75
+    for part in range(4):
+        batch = rows.filter(f"doc_id DIV 80 = {part}")
+        model = load_predictor(spark, f"{root}/registry", entries[part])
+        base = 0.75 if entries[part] is None else entries[part].threshold
+        counters = spark.read.parquet(f"{root}/counters/batch={part - 1}") if part else None
+        again = route_under_budget(predict_confidence(batch, model), replace(config, base_threshold=base), counters)
+        expected = {r.doc_id: (r.decision, r.threshold) for r in again.collect()}
+        assert {r.doc_id: (r.decision, r.threshold) for r in found if r.batch == part} == expected
+    # The second batch again, after later ones have published.
+    sink(rows.filter("doc_id DIV 80 = 1"), 1)
+    assert spark.read.parquet(f"{root}/routes").orderBy("doc_id").collect() == found
+    assert [published(spark, f"{root}/registry", n) for n in range(5)] == entries
+
+
 def test_statistics_of_the_newest(spark, tmp_path):
     schema = "doc_id long, ts_s long, total_time_ms double, actual_confidence double"
     rows = [(n, n, float(n), 0.9 if n >= 90 else 0.1) for n in range(100)]
