@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +10,10 @@ from checks.registry import check, rounded
 from checks.views import spark_view, sql_views
 from docsluice.config import TermConfig
 from docsluice.operators import bayes, learners, terms
+from docsluice.operators.boosting import SoftmaxBoosting
 from docsluice.operators.confidence import load_confidence, predict_confidence, save_confidence, train_confidence
 from docsluice.operators.features import with_features
+from docsluice.operators.kernel_svm import KernelSVM
 from docsluice.plans import learning
 from docsluice.session import fresh_path, reliable
 
@@ -136,6 +139,61 @@ def train_models(spark, folder):
     )
 
 
+def _crossed(spark, folder):
+    """Documents at places that follow from their ids; the class is told by the quarter, which no straight line does."""
+    from pyspark.ml.feature import VectorAssembler
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id")
+    placed = docs.select("doc_id", (F.col("doc_id") * 37 % 101 / 50 - 1).alias("x"), (F.col("doc_id") * 53 % 103 / 51 - 1).alias("y"))
+    classed = placed.withColumn("label_encoded", (F.col("x") * F.col("y") > 0).cast("double"))
+    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(classed)
+
+
+@check(
+    "kernel_svm",
+    """SELECT (doc_id * 37 % 101 / 50.0 - 1) * (doc_id * 53 % 103 / 51.0 - 1) > 0 AS same_sign, count(*) AS n,
+      TRUE AS nine_in_ten_right, TRUE AS linear_is_not, TRUE AS chances_sum_to_1 FROM documents GROUP BY 1""",
+)
+def kernel_svm(spark, folder):
+    """A class by quarters of a square: the radial kernel tells it, a linear model does not."""
+    rows = _crossed(spark, folder)
+    train = rows.filter("doc_id % 2 = 0")
+    linear = learners.estimators(iterations=50)["Logistic Regression"].fit(train).transform(rows).select("doc_id", (F.col("prediction") == F.col("label_encoded")).alias("linear"))
+    scored = KernelSVM(iterations=50).fit(train).transform(rows).join(linear, "doc_id")
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, b: a + b)
+    return scored.groupBy((F.col("label_encoded") == 1).alias("same_sign")).agg(
+        F.count("*").alias("n"),
+        (F.avg((F.col("prediction") == F.col("label_encoded")).cast("int")) >= 0.9).alias("nine_in_ten_right"),
+        (F.avg(F.col("linear").cast("int")) < 0.9).alias("linear_is_not"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("chances_sum_to_1"),
+    )
+
+
+@check(
+    "softmax_boosting",
+    """SELECT round, TRUE AS loss_falls, TRUE AS starts_at_the_shares, TRUE AS scores_give_the_last_loss, classes
+    FROM range(1, 6) r(round), (SELECT count(DISTINCT label) AS classes FROM (SELECT CASE WHEN (doc_id * 37 % 101 / 50.0 - 1) * (doc_id * 53 % 103 / 51.0 - 1) <= 0 THEN 0
+      WHEN doc_id * 37 % 101 > 50 THEN 1 ELSE 2 END AS label FROM documents))""",
+)
+def softmax_boosting(spark, folder):
+    """Five rounds over three classes: the training loss after each, and the loss recomputed from the model's probabilities."""
+    rows = _crossed(spark, folder).withColumn("label_encoded", F.expr("CASE WHEN label_encoded = 0 THEN 0 WHEN x > 0 THEN 1 ELSE 2 END").cast("double"))
+    model = SoftmaxBoosting(rounds=5, depth=3).fit(rows)
+    losses = model.getOrDefault("losses")
+    shares = rows.groupBy("label_encoded").count().agg(F.collect_list("count").alias("n"), F.sum("count").alias("total"), F.count("*").alias("classes"))
+    entropy = F.aggregate("n", F.lit(0.0), lambda a, n: a - n / F.col("total") * F.log(n / F.col("total")))
+    chance = F.get(vector_to_array("probability"), F.col("label_encoded").cast("int"))
+    again = model.transform(rows).agg(F.avg(-F.log(chance)).alias("again"))
+    steps = spark.createDataFrame([(n, now < before) for n, (before, now) in enumerate(zip(losses, losses[1:]), 1)], "round long, loss_falls boolean")
+    return steps.crossJoin(shares).crossJoin(again).select(
+        "round",
+        "loss_falls",
+        (F.abs(entropy - losses[0]) < 1e-9).alias("starts_at_the_shares"),
+        (F.abs(F.col("again") - losses[-1]) < 1e-9).alias("scores_give_the_last_loss"),
+        "classes",
+    )
+
+
 def quick_forest(spark, folder):
     only = {name: learner for name, learner in quick_learners().items() if name == "Random Forest"}
     return learning.train(named(spark, folder), only, CONFIG)

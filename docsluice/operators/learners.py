@@ -6,22 +6,17 @@ import json
 from dataclasses import asdict
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.config import TermConfig
 from docsluice.functions.names import FLAGGED_SUFFIXES
+from docsluice.operators.boosting import SoftmaxBoosting
 from docsluice.operators.features import with_filename_columns
+from docsluice.operators.kernel_svm import KernelSVM
 from docsluice.operators.terms import fit_vocabulary, term_pipeline, with_terms
 from docsluice.schema import CATEGORIES
 
@@ -38,8 +33,6 @@ NAME_COLUMNS = [
 
 # In this order; of equally good models the first wins.
 MODEL_NAMES = ["Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "Naive Bayes"]
-# The linear SVM gives no class probabilities, hence no confidence.
-WITHOUT_CONFIDENCE = {"SVM"}
 
 
 def prepare(df: DataFrame, filename: str = "filename", config: TermConfig = TermConfig()) -> DataFrame:
@@ -59,15 +52,13 @@ def fit_assembly(prepared: DataFrame, config: TermConfig = TermConfig()) -> tupl
 def estimators(
     trees: int = 100, iterations: int = 1000, boosting: int = 100, seed: int = 42, parallel: int = 4
 ) -> dict:
-    """The learners by name; `parallel` of the one-against-rest models are fitted at a time."""
+    """The learners by name; `parallel` of the trees of a boosting round, or machines of classes, are fitted at a time."""
     columns = {"featuresCol": "features", "labelCol": "label_encoded"}
     return {
         "Random Forest": RandomForestClassifier(numTrees=trees, seed=seed, **columns),
-        "Gradient Boosting": OneVsRest(
-            classifier=GBTClassifier(maxIter=boosting, seed=seed, **columns), parallelism=parallel, **columns
-        ),
+        "Gradient Boosting": SoftmaxBoosting(rounds=boosting, seed=seed, parallel=parallel),
         "Logistic Regression": LogisticRegression(maxIter=iterations, **columns),
-        "SVM": OneVsRest(classifier=LinearSVC(maxIter=iterations, **columns), parallelism=parallel, **columns),
+        "SVM": KernelSVM(iterations=iterations, seed=seed, parallel=parallel),
         "Naive Bayes": NaiveBayes(modelType="multinomial", **columns),
     }
 
@@ -88,27 +79,17 @@ def train_models(train: DataFrame, learners: dict) -> tuple[dict[str, Transforme
 
 
 def predict(rows: DataFrame, name: str, model: Transformer, labels: list[str]) -> DataFrame:
-    """Adds `prediction` (a label), `confidence` (null if the model has none) and `model`."""
+    """Adds `prediction` (a label), `confidence` (the largest class probability) and `model`."""
     scored = model.transform(rows)
     named = F.get(F.lit(labels), F.col("prediction").cast("int"))
     return scored.select(
         *rows.columns,
         named.alias("prediction"),
-        _confidence(name, scored).alias("confidence"),
+        F.array_max(vector_to_array("probability")).alias("confidence"),
         F.lit(name).alias("model"),
     )
 
 
-def _confidence(name: str, scored: DataFrame) -> Column:
-    if name in WITHOUT_CONFIDENCE:
-        return F.lit(None).cast("double")
-    if "probability" in scored.columns:
-        return F.array_max(vector_to_array("probability"))
-    # One against the rest: each margin as a probability of its own, brought to the sum 1.
-    chances = F.transform(vector_to_array("rawPrediction"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
-    return F.array_max(chances) / F.aggregate(chances, F.lit(0.0), lambda total, chance: total + chance)
-
-
 def feature_importance(model: Transformer, names: list[str], spark: SparkSession, top: int = 20) -> DataFrame:
     """The most important features of a tree model; one row per feature at most."""
     if not hasattr(model, "featureImportances"):
