@@ -25,6 +25,7 @@ from docsluice.plans import learning
 from docsluice.session import fresh_path, reliable
 from docsluice.sources import files, tables
 from docsluice.sources.registry import published
+from docsluice.sources.upserts import files_of
 from docsluice.streaming import streams
 
 
@@ -281,6 +282,38 @@ def load_example_arrays(spark, folder):
     return tables.read_examples(spark, f"{path}/*", whole_file=True).select(*columns)
 
 
+@check(
+    "upsert_incremental",
+    sql_views("doc_meta")
+    + """, labelled AS (SELECT doc_id, sha256(content) AS content_hash, CASE WHEN doc_id % 3 = 0 THEN upper(label) ELSE label END AS true_category, 'manual' AS source, ts_s
+        FROM doc_meta JOIN labels USING (doc_id)),
+    second AS (SELECT * FROM labelled WHERE doc_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY ts_s DESC, doc_id DESC) = 1),
+    versions AS (SELECT * FROM second UNION ALL SELECT * FROM labelled WHERE doc_id % 3 = 2
+      UNION ALL SELECT doc_id, content_hash, lower(true_category), 'checked', ts_s + 1 FROM second WHERE doc_id % 5 = 0)
+    SELECT doc_id, content_hash, true_category, source, ts_s, TRUE AS others_kept_their_files FROM versions
+    QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY ts_s DESC, doc_id DESC) = 1""",
+)
+def upsert_incremental(spark, folder):
+    """Three upserts into hash buckets, the last of which reads the table itself, and one of nothing; untouched buckets keep their files."""
+    path = fresh_path(spark, "merged")
+    truth = reliable(relations.ground_truth(spark, folder))
+    for part in (0, 1):
+        tables.merge_ground_truth(spark, path, truth.filter(F.col("doc_id") % 3 == part), buckets=16)
+    stored = tables.read_merged_ground_truth(spark, path)
+    checked = stored.filter("doc_id % 5 = 0").withColumns(
+        {"true_category": F.lower("true_category"), "source": F.lit("checked"), "ts_s": F.col("ts_s") + 1}
+    )
+    tables.merge_ground_truth(spark, path, truth.filter("doc_id % 3 = 2").unionByName(checked))
+    # One more row touches one bucket, and is older than what stands there.
+    one = tables.read_merged_ground_truth(spark, path).orderBy("content_hash").limit(1).withColumn("ts_s", F.lit(0).cast("long"))
+    last = tables.merge_ground_truth(spark, path, one)
+    before, after = (files_of(spark, path, version) for version in (last - 1, last))
+    kept = sum(before[number] == after[number] for number in after) == len(after) - 1
+    return tables.read_merged_ground_truth(spark, path).select(
+        "doc_id", "content_hash", "true_category", "source", "ts_s", F.lit(kept).alias("others_kept_their_files")
+    )
+
+
 @check(
     "load_ground_truth",
     sql_views("doc_meta")

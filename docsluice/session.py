@@ -76,3 +76,30 @@ def hadoop_place(spark: SparkSession, path: str):
     """A path and the file system it lies in, as the cluster knows them."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file in one step, under another name first; false if the path is taken, which then stays as it is."""
+    place, system = hadoop_place(spark, path)
+    if system.exists(place):
+        return False
+    draft, _ = hadoop_place(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = system.create(draft)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if system.rename(draft, place):
+        return True
+    system.delete(draft, False)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    place, system = hadoop_place(spark, path)
+    stream = system.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import warnings
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.etree import ElementTree
@@ -32,8 +33,8 @@ def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows (path, length, content, ...) of the files that paths and wildcards name.
 
     Of a folder, not its subfolders, the files of supported types are taken; a file
-    named by itself or by a wildcard is taken whatever its type. Paths that name
-    nothing give a warning.
+    named by itself or by a wildcard is taken whatever its type, and as often as it is
+    named. Paths that name nothing give a warning.
     """
     folders, singles = [], []
     for path in paths:
@@ -44,15 +45,25 @@ def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             (folders if is_folder else singles).append(place)
     reader = spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "false")
     parts = []
-    if folders:
-        kinds = "*.{" + ",".join(SUPPORTED) + "}"
-        parts.append(reader.option("pathGlobFilter", kinds).load(folders))
-    if singles:
+    kinds = "*.{" + ",".join(SUPPORTED) + "}"
+    for places in _rounds(folders):
+        parts.append(reader.option("pathGlobFilter", kinds).load(places))
+    for places in _rounds(singles):
         whole = spark.read.format("binaryFile").schema(FILE_SCHEMA)
-        parts.append(whole.load([_literal(place) for place in dict.fromkeys(singles)]))
+        parts.append(whole.load([_literal(place) for place in places]))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FILE_SCHEMA)
 
 
+def _rounds(places: list[str]) -> list[list[str]]:
+    """The places, each once per list: a scan reads a path once, however often it is given."""
+    rounds: list[list[str]] = []
+    for place, times in Counter(places).items():
+        rounds += [[] for _ in range(times - len(rounds))]
+        for chosen in rounds[:times]:
+            chosen.append(place)
+    return rounds
+
+
 def _literal(path: str) -> str:
     """The path with the signs of wildcards taken as themselves."""
     return "".join(f"\\{sign}" if sign in "*?[]{}\\" else sign for sign in path)

@@ -10,13 +10,12 @@ names that of the version before.
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import SparkSession
 
 from docsluice.operators.confidence import ConfidenceModel, load_confidence, save_confidence
-from docsluice.session import hadoop_place
+from docsluice.session import exists, hadoop_place, read_text, write_once
 
 
 @dataclass(frozen=True)
@@ -32,8 +31,7 @@ def publish(
 ) -> Published:
     """Makes a version known; gives the one that stands under this number, which may be older."""
     name = f"{root}/manifest/{version:012d}.json"
-    place, system = hadoop_place(spark, name)
-    if system.exists(place):
+    if exists(spark, name):
         return _read(spark, name)
     trained = version
     if predictor is None:
@@ -41,16 +39,8 @@ def publish(
         trained = None if before is None else before.predictor
     else:
         save_confidence(predictor, _predictor(root, version), spark)
-    entry = Published(version, float(threshold), trained)
-    draft, _ = hadoop_place(spark, f"{root}/manifest/.{uuid.uuid4().hex}")
-    out = system.create(draft)
-    try:
-        out.write(bytearray(json.dumps(asdict(entry)).encode()))
-    finally:
-        out.close()
-    if not system.rename(draft, place):
-        # Another writer was first.
-        system.delete(draft, False)
+    # If another writer was first, that version stands.
+    write_once(spark, name, json.dumps(asdict(Published(version, float(threshold), trained))))
     return _read(spark, name)
 
 
@@ -75,9 +65,4 @@ def _predictor(root: str, version: int) -> str:
 
 
 def _read(spark: SparkSession, name: str) -> Published:
-    place, system = hadoop_place(spark, name)
-    stream = system.open(place)
-    try:
-        return Published(**json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-    finally:
-        stream.close()
+    return Published(**json.loads(read_text(spark, name)))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from docsluice.operators.feedback import upsert_ground_truth
 from docsluice.operators.ordering import newest
 from docsluice.schema import EXAMPLE_TYPE, FEEDBACK_TYPE, GROUND_TRUTH_TYPE, LABELLED_NAMES_TYPE
+from docsluice.sources.upserts import BUCKETS, read_upserted, upsert
 
 BAD_LINE = "_bad_line"
 
@@ -80,6 +81,15 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def merge_ground_truth(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS) -> int:
+    """Merges ground truth into a table of hash buckets, rewriting only those it falls into; `rows` may read from the table."""
+    return upsert(spark, path, rows, "content_hash", buckets=buckets)
+
+
+def read_merged_ground_truth(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return read_upserted(spark, path, version)
+
+
 def import_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Rows (content_hash, ...) from files that hold one JSON object keyed by content hash."""
     shape = T.MapType(T.StringType(), GROUND_TRUTH_TYPE)
