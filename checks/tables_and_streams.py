@@ -414,6 +414,23 @@ def stream_route(spark, folder):
     return spark.read.parquet(out)
 
 
+@check(
+    "stream_route_mixed",
+    EVENTS + fold_sql("event_rows") + """ SELECT r.doc_id, r.hour_s, earlier, earlier_llm, threshold, decision, threshold_after
+    FROM routed r JOIN event_rows e ON e.doc_id = r.doc_id WHERE e.ts_s < (SELECT max(ts_s) FROM event_rows) - 3600""",
+)
+def stream_route_mixed(spark, folder):
+    """Four micro-batches whose rows are mixed over half an hour of each other: the decisions of the batch router once the watermark has passed."""
+    rows = event_rows(spark, folder)
+    mixed = rows.withColumn("_arrival", F.col("ts_s") + F.pmod(F.xxhash64("doc_id"), F.lit(1800)))
+    out = fresh_path(spark, "routes")
+    arriving = in_order(spark, mixed, "_arrival", 4).drop("_arrival")
+    with streams.state_store(spark, idle_batches=True):
+        routed = streams.stream_routes_in_order(arriving, CONFIG, "1 hour")
+        finished(streams.to_table(routed, out, fresh_path(spark, "routes-log")))
+    return spark.read.parquet(out)
+
+
 @check("stream_route_batches", ROUTED)
 def stream_route_batches(spark, folder):
     """The same with the batch router inside each of four micro-batches, for hours too busy for one task."""

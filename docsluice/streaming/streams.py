@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from docsluice.config import RoutingConfig
 from docsluice.functions.results import cost_mills
@@ -53,17 +53,75 @@ class HourBudget(StatefulProcessor):
         self.counters = handle.getValueState("counters", counters, ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["ts_s", "doc_id"])
+        yield self.decide(pd.concat(list(rows)))
+
+    def decide(self, arrived: pd.DataFrame) -> pd.DataFrame:
+        """Decisions for rows of the hour, after all earlier ones."""
+        arrived = arrived.sort_values(["ts_s", "doc_id"])
         total, llm = self.counters.get() if self.counters.exists() else (0, 0)
         decided = next(decide_batches([arrived.assign(chunk=0, start_total=total, start_llm=llm)], self.config))
         costly = int((decided["decision"] == "LLM").sum())
         self.counters.update((int(total) + len(decided), int(llm) + costly))
-        yield decided
+        return decided
 
     def close(self) -> None:
         pass
 
 
+class WaitingHourBudget(HourBudget):
+    """Holds rows back until the watermark has passed them, and decides them in order of time and id."""
+
+    COLUMNS = ("doc_id", "ts_s", "predicted", "load", "forced", "hour_s")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        kinds = (LongType(), LongType(), DoubleType(), DoubleType(), StringType(), LongType())
+        self.waiting = handle.getListState("waiting", StructType([StructField(*column) for column in zip(self.COLUMNS, kinds)]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat([batch[list(self.COLUMNS)] for batch in rows])
+        yield from self.release(arrived, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.release(None, timerValues.getCurrentWatermarkInMs())
+
+    def release(self, arrived: pd.DataFrame | None, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=list(self.COLUMNS))
+        if arrived is not None:
+            held = pd.concat([held, arrived]) if len(held) else arrived
+        # Rows at the watermark itself may still have company on its way.
+        due = held["ts_s"].astype("int64") * 1000 < watermark_ms
+        rest = held[~due]
+        self.waiting.clear()
+        if len(rest):
+            plain = rest.astype(object).where(rest.notna(), None)
+            self.waiting.put([(int(i), int(t), float(p), float(l), f, int(h)) for i, t, p, l, f, h in plain.itertuples(index=False)])
+            self.handle.registerTimer(int(rest["ts_s"].min()) * 1000 + 1)
+        if due.any():
+            yield self.decide(held[due])
+
+
+def stream_routes_in_order(rows: DataFrame, config: RoutingConfig, delay: str = "10 minutes", keep_hours: int | None = None) -> DataFrame:
+    """Decisions for a stream of rows (doc_id, ts_s, predicted, load, forced) that come in any order within the delay.
+
+    Rows wait in the state of their hour until the watermark, the newest time seen less
+    the delay, has passed them, and are then decided in the order of time and id: the
+    decisions are those of the batch router over all rows, however batches mix them. The
+    rows of the newest `delay` stay held back until later rows come. Rows that come
+    later than the delay are dropped by the watermark (`numRowsDroppedByWatermark`);
+    where none may be lost, use `stream_routes` or `routing_sink`. Needs the RocksDB
+    state store; start inside `state_store(spark, idle_batches=True)`.
+    """
+    timed = _slim(rows).withColumn("ts", F.timestamp_seconds("ts_s")).withWatermark("ts", delay)
+    return timed.groupBy("hour_s").transformWithStateInPandas(
+        statefulProcessor=WaitingHourBudget(config, None if keep_hours is None else keep_hours * 3_600_000),
+        outputStructType=DECISION_SCHEMA,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int | None = None) -> DataFrame:
     """Decisions for a stream of rows (doc_id, ts_s, predicted, load, forced).
 
@@ -72,7 +130,16 @@ def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int | None
     later than that. What one hour brings in a micro-batch is handled by one task, so
     a source without a rate limit belongs to `routing_sink`.
     """
-    slim = rows.select(
+    return _slim(rows).groupBy("hour_s").transformWithStateInPandas(
+        statefulProcessor=HourBudget(config, None if keep_hours is None else keep_hours * 3_600_000),
+        outputStructType=DECISION_SCHEMA,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+
+
+def _slim(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "doc_id",
         "ts_s",
         "predicted",
@@ -80,18 +147,12 @@ def stream_routes(rows: DataFrame, config: RoutingConfig, keep_hours: int | None
         F.col("forced").cast("string").alias("forced"),
         hour_of(F.col("ts_s")).alias("hour_s"),
     )
-    return slim.groupBy("hour_s").transformWithStateInPandas(
-        statefulProcessor=HourBudget(config, None if keep_hours is None else keep_hours * 3_600_000),
-        outputStructType=DECISION_SCHEMA,
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Stateful queries started inside keep their state in RocksDB and run only when there is data."""
-    settings = {STATE_STORE: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+def state_store(spark: SparkSession, idle_batches: bool = False) -> Iterator[None]:
+    """Stateful queries started inside keep their state in RocksDB and run only when there is data, or also (`idle_batches`) when only the watermark has moved."""
+    settings = {STATE_STORE: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)

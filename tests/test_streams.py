@@ -123,6 +123,31 @@ def test_old_replays_meet_their_counters(spark, tmp_path):
     assert {r.doc_id: (r.decision, r.threshold) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
 
 
+def test_rows_in_any_order_within_the_delay(spark, tmp_path):
+    # The watermark starts at 0: rows of the first second of the epoch would be late.
+    rows = [(n, ts + 7_200, p, load, "LLM" if n % 17 == 0 else None) for n, ts, p, load, _ in requests(200)]
+    expected = by_loop(rows, CONFIG)
+    # Seven rows are ten and a half minutes; every row comes at most six places from its own.
+    draw = random.Random(6)
+    mixed = [row for _, row in sorted((n + draw.uniform(0, 6), row) for n, row in enumerate(rows))]
+    assert mixed != rows
+    source = arriving(spark, str(tmp_path / "in"), mixed, COLUMNS, 5)
+    with streams.state_store(spark, idle_batches=True):
+        routed = streams.stream_routes_in_order(source, CONFIG, "11 minutes")
+        query = finish(streams.to_table(routed, str(tmp_path / "out"), str(tmp_path / "log")))
+    found = {r.doc_id: (r.decision, r.threshold) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    passed = max(row[1] for row in rows) - 660
+    assert found == {row[0]: expected[row[0]] for row in rows if row[1] < passed}
+    assert sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"]) == 0
+    # The rows held back come out when later ones arrive.
+    later = [(1000, rows[-1][1] + 7200, 0.5, 0.1, None)]
+    spark.createDataFrame(later, COLUMNS).coalesce(1).write.parquet(str(tmp_path / "in" / "part=9"))
+    with streams.state_store(spark, idle_batches=True):
+        finish(streams.to_table(streams.stream_routes_in_order(source, CONFIG, "11 minutes"), str(tmp_path / "out"), str(tmp_path / "log")))
+    found = {r.doc_id: (r.decision, r.threshold) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == expected
+
+
 def test_batches_route_by_what_came_before(spark, tmp_path):
     """Thresholds and predictor of batch n come from the batches before it, also in a repeat."""
     from docsluice.operators.features import with_features
