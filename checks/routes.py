@@ -8,7 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from checks.expressions import DOC_FEATURES, PARSED, ROUTE_ANSWER, ROUTE_CONFIDENCE, prompt_sql, sample_sql
-from checks.registry import check, rounded
+from checks.registry import check, rounded, table
 from checks.views import EVENT_ROWS, event_rows, pick, spark_view, sql_views
 from docsluice.config import CallConfig, RoutingConfig
 from docsluice.operators.model_call import call_model
@@ -22,6 +22,7 @@ from docsluice.operators.routing import (
     with_routing_answers,
 )
 from docsluice.operators.ordering import running_totals
+from docsluice.operators.prefilter import BITMAP_BYTES, BROADCAST_BYTES, likely_among
 from docsluice.plans.classify import classify_with, hybrid_classify, llm_classify, register_classifier
 from docsluice.schema import CATEGORIES
 
@@ -334,3 +335,28 @@ def calls_in_flight(spark, folder):
     called = call_model(prompts, "prompt", slow_client, config)
     waited = F.when(F.col("call_error").startswith("TimeoutError"), F.col("call_ms") >= 1000).otherwise(F.col("call_ms") >= 0)
     return called.select("doc_id", "response", "call_error", "attempts", waited.alias("timed"))
+
+
+@check(
+    "likely_among_keys",
+    """SELECT share, blocks, o_orderkey % share = 0 AS chosen, CASE WHEN o_orderkey % share = 0 THEN count(*) END AS kept, TRUE AS less_than_one_in_fifty
+    FROM orders, (VALUES (2), (40)) s(share), (VALUES ('one'), ('several')) b(blocks) GROUP BY ALL""",
+)
+def likely_among_keys(spark, folder):
+    """Orders by filters of half and of a fortieth of their keys, broadcast whole or one bitmap at a time."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    found = None
+    for share in (2, 40):
+        chosen = (F.col("o_orderkey") % share == 0).alias("chosen")
+        total = orders.groupBy(chosen).agg(F.count("*").alias("total"))
+        for blocks, most in (("one", BROADCAST_BYTES), ("several", BITMAP_BYTES)):
+            passed = likely_among(orders, orders.select("o_orderkey").filter(f"o_orderkey % {share} = 0"), "o_orderkey", most)
+            counts = total.join(passed.groupBy(chosen).agg(F.count("*").alias("n")), "chosen", "left").select(
+                F.lit(share).alias("share"),
+                F.lit(blocks).alias("blocks"),
+                "chosen",
+                F.when(F.col("chosen"), F.col("n")).alias("kept"),
+                (F.col("chosen") | (F.coalesce("n", F.lit(0)) < 0.02 * F.col("total"))).alias("less_than_one_in_fifty"),
+            )
+            found = counts if found is None else found.unionByName(counts)
+    return found

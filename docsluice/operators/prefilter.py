@@ -1,33 +1,61 @@
-"""A filter by keys that needs no shuffle of the filtered rows."""
+"""A filter by keys that needs no shuffle of the filtered rows.
+
+A blocked Bloom filter as rows: a key chooses one bitmap and sets four bits in it. There
+are so many bitmaps that a key has 16 bits, whatever the number of keys, so about one
+key in four hundred is let through by accident.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.session import reliable
 
-# Slots of the filter: 512 bitmaps of 32,768 bits, 2 MiB whatever the number of keys.
-SLOTS = 1 << 24
+# Spark's bitmaps have 4,096 bytes.
+BITMAP_BITS, BITMAP_BYTES = 1 << 15, 1 << 12
+BITS_PER_KEY, PROBES = 16, 4
+# Bitmaps of so many bytes in all are broadcast at a time: the keys of 33 million rows.
+BROADCAST_BYTES = 64 << 20
 
 
-def likely_among(rows: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key is among the keys, and a few others that share a slot with one.
+def likely_among(rows: DataFrame, keys: DataFrame, key: str = "doc_id", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose key is among the keys, and less than one in a hundred of the others.
 
-    For rows with large columns, in front of the join that decides: what it leaves
-    out is never moved. With very many keys it leaves out little, and is still right.
+    For rows with large columns, in front of the join that decides: what it leaves out
+    is never moved. `keys` is read twice. Bitmaps of more than `most_bytes` are met in
+    blocks of that size, each by a scan of its own over the rows, which keeps those that
+    fall into it; no row falls into two blocks. Null keys are never among the keys.
     """
-    slot = _slot(key)
-    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("__filter_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__filter_bits")
-    )
-    # The number of bitmaps and their size are fixed.
-    marked = rows.withColumn("__filter_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(reliable(bitmaps)), "__filter_bucket")
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("__filter_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return marked.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
-
-
-def _slot(key: str) -> Column:
-    # The functions number their bits from 1.
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+    count = keys.count()
+    buckets = max(1, -(-count * BITS_PER_KEY // BITMAP_BITS))
+    set_bits = keys.select(_bucket(key, buckets).alias("__filter_bucket"), F.explode(F.array(*_places(key))).alias("place"))
+    bitmaps = reliable(set_bits.groupBy("__filter_bucket").agg(F.bitmap_construct_agg("place").alias("__filter_bits")))
+    step = max(1, most_bytes // BITMAP_BYTES)
+    marked = rows.filter(F.col(key).isNotNull()).withColumn("__filter_bucket", _bucket(key, buckets))
+    found = []
+    for first in range(0, buckets, step):
+        # Not more than `step` bitmaps, hence a bounded broadcast.
+        inside = F.col("__filter_bucket").between(first, first + step - 1)
+        one, part = (bitmaps, marked) if step >= buckets else (bitmaps.filter(inside), marked.filter(inside))
+        met = part.join(F.broadcast(one), "__filter_bucket")
+        hit = reduce(Column.__and__, [_bit("__filter_bits", place) for place in _places(key)])
+        found.append(met.filter(hit).select(*rows.columns))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+
+def _places(key: str) -> list[Column]:
+    """Four places in a bitmap, from 15 bits each of a hash that the choice of the bitmap does not use."""
+    other = F.xxhash64(key, F.lit("place"))
+    return [F.shiftrightunsigned(other, 15 * probe).bitwiseAND(F.lit(BITMAP_BITS - 1)) for probe in range(PROBES)]
+
+
+def _bit(bits: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
