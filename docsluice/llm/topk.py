@@ -26,7 +26,7 @@ BLOCK = 4096
 GROWTH = 4
 TILE = 512
 SLACK = 1e-9
-FOUND = "query_id long, id long, score long"
+FOUND = "ask long, query_id long, id long, score long"
 
 
 def usable(vector: Column) -> Column:
@@ -41,43 +41,50 @@ def top_k(
     """The k highest inner products of each query with all other rows: query_id, rank, <key>, score.
 
     `vector` holds arrays of integers. Rows whose key or vector is null or empty take
-    no part, nor do vectors of another dimension than the most common one (the
-    smaller, if two are equally common). Of rows that share a key the one with the
-    smallest vector counts. Ties go to the smaller key; a query is not its own
-    candidate. Fewer than k candidates give fewer rows; an empty table gives none.
+    no part. Only vectors of one dimension have products: each dimension is searched on
+    its own. Rows that share a key are rows of their own, as candidates and as queries,
+    but none of them is a candidate of another; a key that asks with several rows gets
+    the k best products of all of them. Ties go to the smaller key. Fewer than k
+    candidates give fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
-    rows = (
-        vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v"), is_query.alias("asks"))
-        .filter("id IS NOT NULL AND size(v) > 0")
-        .groupBy("id")
-        .agg(F.min("v").alias("v"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
-    )
+    rows = vectors.select(
+        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
+    ).filter("id IS NOT NULL AND size(v) > 0")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = kept(rows.withColumn("length", length), "topk-rows")
-    dimension = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    if dimension is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")
-    rows = rows.filter(F.size("v") == dimension["d"])
-    count, asking = rows.agg(F.count("*"), F.count_if("asks")).head()
-    turn = _basis(rows, dimension["d"])
-
-    ordered = rows.repartitionByRange(-(-count // block), F.desc("length"), F.col("id"))
+    rows = rows.withColumns({"length": length, "row": F.monotonically_increasing_id()})
+    rows = kept(rows, "topk-rows")
+    dimensions = rows.groupBy(F.size("v").alias("d")).agg(F.count("*"), F.count_if("asks")).orderBy("d").collect()
+    best = spark.createDataFrame([], FOUND)
+    for d, count, asking in dimensions:
+        if asking:
+            best = best.unionByName(_search(rows.filter(F.size("v") == d), d, count, asking, k, block))
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = best.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def _search(rows: DataFrame, d: int, count: int, asking: int, k: int, block: int) -> DataFrame:
+    """The k best of each asking row among rows of one dimension."""
+    spark = rows.sparkSession
+    turn = _basis(rows, d)
+    ordered = rows.repartitionByRange(-(-count // block), F.desc("length"), F.col("row"))
     blocks = kept(ordered.withColumn("block", F.spark_partition_id()), "topk-blocks")
     longest = blocks.groupBy("block").agg(F.max("length").alias("longest"))
-    parts = -(-asking // block) or 1
-    queries = blocks.filter("asks").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    queries = kept(queries.select("part", F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length")), "topk-queries")
+    parts = -(-asking // block)
+    queries = blocks.filter("asks").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    queries = queries.select("part", F.col("row").alias("ask"), F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
+    queries = kept(queries, "topk-queries")
     number = blocks.agg(F.max("block")).head()[0] + 1
 
     best = kept(spark.createDataFrame([], FOUND), "topk-best")
     first, size = 0, 1
     while first < number:
         last = min(number, first + size)
-        bars = best.groupBy("query_id").agg(
+        bars = best.groupBy("ask").agg(
             F.when(F.count("*") == k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("bar")
         )
-        asked = queries.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+        asked = queries.join(bars, "ask", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
         # The shortest candidate that may still matter to some query of a part.
         need = F.when(F.col("bar") <= 0, 0.0).otherwise(F.col("bar") / (F.col("q_length") * (1 + SLACK)))
         asked = kept(asked.withColumn("need", F.when(F.col("q_length") > 0, need).otherwise(0.0)), "topk-asked")
@@ -100,12 +107,11 @@ def top_k(
             .cogroup(other.join(blocks, F.col("at") == F.col("block")).groupBy("to", "at"))
             .applyInArrow(_meet(turn, k), FOUND)
         )
-        in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        in_order = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
         best = best.unionByName(met).withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
         best = kept(best.drop("rank"), "topk-best")
         first, size = last, size * GROWTH
-    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.select("query_id", F.row_number().over(in_order).alias("rank"), F.col("id").alias(key), "score")
+    return best
 
 
 def _basis(rows: DataFrame, d: int) -> np.ndarray:
@@ -138,12 +144,12 @@ def _meet(turn: np.ndarray, k: int):
     head = max(1, d // 4)
 
     def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
-        found = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+        found = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
         if not asked.num_rows or not block.num_rows:
             return found.empty_table()
         block = block.sort_by([("length", "descending"), ("id", "ascending")])
         q, x = _matrix(asked.column("q"), d), _matrix(block.column("v"), d)
-        q_ids, ids = asked.column("query_id").to_numpy(), block.column("id").to_numpy()
+        asks, q_ids, ids = asked.column("ask").to_numpy(), asked.column("query_id").to_numpy(), block.column("id").to_numpy()
         bars, q_length = asked.column("bar").to_numpy().copy(), asked.column("q_length").to_numpy()
         x_length = block.column("length").to_numpy()
         small = d * float(np.abs(q).max()) * float(np.abs(x).max()) < 2**53
@@ -180,6 +186,6 @@ def _meet(turn: np.ndarray, k: int):
             full = np.flatnonzero(counts >= k)
             last = np.cumsum(counts)[full] - 1
             bars[full] = np.maximum(bars[full], best[1][last])
-        return pa.table([q_ids[best[0]], best[2], best[1]], schema=found)
+        return pa.table([asks[best[0]], q_ids[best[0]], best[2], best[1]], schema=found)
 
     return meet

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,12 +124,11 @@ def test_url_trees_learn_what_rules_say(spark):
 
 
 def plain_top(rows, k):
-    best = {}
+    scored = defaultdict(list)
     for query, asks, q in rows:
         if asks:
-            scored = [(-sum(a * b for a, b in zip(q, v)), key) for key, _, v in rows if key != query]
-            best[query] = [(key, -score) for score, key in sorted(scored)[:k]]
-    return best
+            scored[query] += [(-sum(a * b for a, b in zip(q, v)), key) for key, _, v in rows if key != query and len(v) == len(q)]
+    return {query: [(key, -score) for score, key in sorted(found)[:k]] for query, found in scored.items() if found}
 
 
 @pytest.mark.parametrize("block", [4096, 16])
@@ -136,7 +136,10 @@ def test_top_k(spark, block):
     draw = np.random.default_rng(1)
     rows = [(n, n % 7 == 0, draw.integers(-50, 50, 12).tolist()) for n in range(150)]
     rows += [(200 + n, n == 3, [3] * 12) for n in range(40)] + [(300, True, [0] * 12), (301, False, [0] * 12)]
-    odd = [(400, True, None), (401, True, [1, 2]), (402, True, []), (None, True, [1] * 12), (0, True, rows[0][2])]
+    # Another dimension, alone in it, repeated rows, and a key with different vectors, one of them not asking.
+    rows += [(401, True, [1, 2]), (403, False, [5, 1]), (403, False, [5, 1]), (404, True, [7] * 3), (0, True, rows[0][2])]
+    rows += [(7, True, draw.integers(-50, 50, 12).tolist()), (8, True, [1, 1]), (8, False, [2] * 12)]
+    odd = [(400, True, None), (402, True, []), (None, True, [1] * 12)]
     frame = spark.createDataFrame(rows + odd, "vec_id long, asks boolean, vector array<long>").withColumns(
         {name: F.lit(1) for name in ("id", "v", "block", "length", "score", "rank")}
     )
@@ -145,10 +148,21 @@ def test_top_k(spark, block):
         found[row["query_id"]].append((row["vec_id"], row["score"]))
     assert dict(found) == plain_top(rows, 5)
     assert top_k(frame.filter("false"), F.col("asks")).count() == 0
-    few = top_k(frame.filter("vec_id < 3 AND asks IS NOT NULL AND size(vector) = 12"), F.lit(True), 5).count()
+    few = top_k(spark.createDataFrame(rows[:3], "vec_id long, asks boolean, vector array<long>"), F.lit(True), 5).count()
     assert few == 6
 
 
+def test_top_k_of_mixed_dimensions_equals_sql(spark, tmp_path):
+    draw = np.random.default_rng(2)
+    rows = [(n % 120, draw.normal(0, 1, 3 if n % 5 else 4).tolist()) for n in range(200)]
+    rows += rows[:60] + [(50, None), (100, [0.5, None, 1.0]), (100, [float("nan")] * 3), (150, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert differences(QUERIES["op2_top_k"](spark, str(tmp_path)), connection, ORACLES["op2_top_k"])[:2] == []
+
+
 def test_scores_beyond_53_bits_are_exact(spark):
     rows = [(1, True, [2**29, 1]), (2, False, [2**29, 3]), (3, False, [2**29, 2])]
     frame = spark.createDataFrame(rows, "vec_id long, asks boolean, vector array<long>")
