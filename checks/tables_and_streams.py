@@ -24,6 +24,7 @@ from docsluice.operators.routing import route_under_budget
 from docsluice.plans import learning
 from docsluice.session import fresh_path, reliable
 from docsluice.sources import files, tables
+from docsluice.sources.json_items import json_items
 from docsluice.sources.registry import published
 from docsluice.sources.upserts import files_of
 from docsluice.streaming import streams
@@ -282,6 +283,34 @@ def load_example_arrays(spark, folder):
     return tables.read_examples(spark, f"{path}/*", whole_file=True).select(*columns)
 
 
+@check(
+    "split_json_files",
+    """SELECT 'array' AS kind, doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, source FROM documents
+    UNION ALL SELECT 'object', doc_id, length(text), sha256(text), source FROM documents""",
+)
+def split_json_files(spark, folder):
+    """All documents in four files of one array each and four of one object each, read in the ranges that Spark cuts."""
+    documents = table(spark, folder, "documents").withColumn("text", F.concat("text", F.lit(' {"a\\": [}],\\')))
+    row = F.struct("doc_id", "text", "source")
+    parts = []
+    for kind, line, opened, closed in (
+        ("array", F.to_json(row, {"pretty": "true"}), "[", "]"),
+        ("object", F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), F.to_json(row)), "{", "}"),
+    ):
+        path = fresh_path(spark, kind)
+        # Text files have a line per row and none around them: the brackets are rows of their own.
+        rows = documents.select((F.col("doc_id") % 4).alias("part"), F.concat(line, F.lit(",")).alias("value"), F.lit(1).alias("place"))
+        ends = spark.range(4).select(F.col("id").alias("part"), F.explode(F.array(F.struct(F.lit(opened).alias("value"), F.lit(0).alias("place")), F.struct(F.lit(closed).alias("value"), F.lit(2).alias("place")))).alias("end")).select("part", "end.*")
+        in_files = rows.unionByName(ends).repartition("part").sortWithinPartitions("part", "place")
+        in_files.select("part", "value").write.partitionBy("part").text(path)
+        items = json_items(spark, f"{path}/*")
+        text = "item" if kind == "array" else F.regexp_replace("item", r'^\s*"\d+":', "")
+        read = items.select(F.from_json(text, "doc_id long, text string, source string").alias("row")).select("row.*")
+        plain = F.expr("left(text, length(text) - 13)")
+        parts.append(read.select(F.lit(kind).alias("kind"), "doc_id", F.length(plain).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"), "source"))
+    return parts[0].unionByName(parts[1])
+
+
 @check(
     "upsert_incremental",
     sql_views("doc_meta")

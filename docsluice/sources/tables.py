@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from docsluice.operators.feedback import upsert_ground_truth
 from docsluice.operators.ordering import newest
 from docsluice.schema import EXAMPLE_TYPE, FEEDBACK_TYPE, GROUND_TRUTH_TYPE, LABELLED_NAMES_TYPE
+from docsluice.sources.json_items import json_items
 from docsluice.sources.upserts import BUCKETS, read_upserted, upsert
 
 BAD_LINE = "_bad_line"
@@ -64,8 +65,14 @@ def write_examples(examples: DataFrame, path: str) -> None:
 
 
 def read_examples(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Training examples, one JSON object per line, or (`whole_file`) files that hold one JSON array each."""
-    return _with_defaults(spark.read.schema(EXAMPLE_TYPE).option("multiLine", whole_file).json(path))
+    """Training examples, one JSON object per line, or (`whole_file`) files that hold one JSON array each.
+
+    Such files are read by many tasks each; elements that are no objects are left out.
+    """
+    if not whole_file:
+        return _with_defaults(spark.read.schema(EXAMPLE_TYPE).json(path))
+    items = json_items(spark, path).filter(F.col("item").rlike(r"^\s*\{"))
+    return _with_defaults(items.select(F.from_json("item", EXAMPLE_TYPE).alias("row")).select("row.*"))
 
 
 def _with_defaults(examples: DataFrame) -> DataFrame:
@@ -91,10 +98,10 @@ def read_merged_ground_truth(spark: SparkSession, path: str, version: int | None
 
 
 def import_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (content_hash, ...) from files that hold one JSON object keyed by content hash."""
+    """Rows (content_hash, ...) from files that hold one JSON object keyed by content hash, read by many tasks each."""
     shape = T.MapType(T.StringType(), GROUND_TRUTH_TYPE)
-    files = spark.read.text(path, wholetext=True)
-    rows = files.select(F.explode(F.from_json("value", shape)).alias("content_hash", "row"))
+    entry = F.concat(F.lit("{"), "item", F.lit("}"))
+    rows = json_items(spark, path).select(F.explode(F.from_json(entry, shape)).alias("content_hash", "row"))
     filled = rows.select("content_hash", "row.*").fillna({"confidence_score": 1.0, "source": "unknown"})
     return filled.filter(F.col("true_category").isNotNull())
 
