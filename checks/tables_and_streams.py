@@ -421,6 +421,35 @@ def stream_usage(spark, folder):
     return spark.read.parquet(out)
 
 
+@check(
+    "stream_usage_corrected",
+    """WITH rows AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_id * 37 % 100 < 35 AS is_llm,
+        CASE WHEN event_id % 10 < 7 THEN 0 ELSE event_id % 3 + 1 END AS part FROM events),
+    marks AS (SELECT part, max(max(ts_s)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM (SELECT part, ts_s FROM rows) GROUP BY part),
+    timed AS (SELECT rows.*, ts_s - ts_s % 3600 AS hour_s, coalesce(ts_s - ts_s % 3600 + 3600 <= newest - 600, FALSE) AS is_late
+      FROM rows JOIN marks USING (part))
+    SELECT hour_s, count(*) AS total, count(*) FILTER (is_llm) AS llm_count, CAST(sum(CASE WHEN is_llm THEN 10 ELSE 1 END) AS BIGINT) AS cost_mills,
+      count(*) FILTER (is_late) AS late, count(DISTINCT part) FILTER (is_late) AS corrections, count(*) FILTER (is_late) AS kept_aside
+    FROM timed GROUP BY hour_s""",
+)
+def stream_usage_corrected(spark, folder):
+    """Usage per hour over four micro-batches, the last three of which bring late rows for hours all over."""
+    root, source = fresh_path(spark, "corrected"), fresh_path(spark, "parts")
+    rows = table(spark, folder, "events").select(
+        F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ts_s"),
+        F.when(F.col("event_id") * 37 % 100 < 35, "LLM").otherwise("ML").alias("decision"),
+        F.when(F.col("event_id") % 10 < 7, 0).otherwise(F.col("event_id") % 3 + 1).alias("part"),
+    )
+    for part in range(4):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    finished(streams.run_batches(stream, streams.usage_sink(root), fresh_path(spark, "corrected-log")))
+    aside = spark.read.parquet(f"{root}/late").groupBy("hour_s").agg(F.count("*").alias("kept_aside"))
+    usage = streams.read_usage(spark, root).join(aside, "hour_s", "left").fillna(0, ["kept_aside"])
+    return usage.select("hour_s", "total", "llm_count", "cost_mills", "late", "corrections", "kept_aside")
+
+
 def request_stream(spark, folder):
     return event_stream(spark, folder).selectExpr(
         "event_id AS doc_id",

@@ -66,6 +66,11 @@ def read_upserted(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
+def newest_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version; 0 if nothing has been upserted yet."""
+    return max(_versions(spark, root), default=0)
+
+
 def files_of(spark: SparkSession, root: str, version: int) -> dict[int, str]:
     """Where each bucket of a version lies."""
     return {int(number): folder for number, folder in json.loads(read_text(spark, _manifest(root, version)))["folders"].items()}

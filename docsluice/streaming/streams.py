@@ -19,6 +19,7 @@ from docsluice.operators.confidence import predict_confidence, train_confidence
 from docsluice.operators.feedback import FIRST_UPDATE, RETRAIN_FROM, UPDATE_STEP, threshold_path
 from docsluice.operators.routing import DECISION_SCHEMA, decide_batches, hour_of, route_under_budget
 from docsluice.sources.registry import load_predictor, publish, published
+from docsluice.sources.upserts import newest_version, read_upserted, upsert
 
 # What a stored update point says besides its place and the threshold; null where a batch passed none.
 EVIDENCE = ("rows", "judged", "correct", "ml_mistakes", "llm_mistakes")
@@ -294,6 +295,65 @@ def stats_sink(
     return write
 
 
+def usage_sink(root: str, delay_s: int = 600, buckets: int = 8) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over rows (ts_s, decision, ...): usage per hour that late rows correct.
+
+    An hour is closed once the newest time of the batches before is `delay_s` past its
+    end. Rows of closed hours are kept in `root`/late, by batch, and counted all the same:
+    batch n publishes version n + 1 of the hourly table at `root`/usage, in which the hours
+    it touched are replaced, so that earlier versions still say what was known then.
+    `late` is the number of an hour's rows that came after it had closed, `corrections`
+    the number of batches that brought them. The newest version equals `hourly_usage` over
+    all rows, however late and in whatever order; a batch is counted once, also when it
+    is repeated. Rows without a time are left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        if newest_version(session, f"{root}/usage") > batch_id:
+            return
+        newest = None
+        if batch_id > 0:
+            newest = session.read.parquet(f"{root}/marks/batch={batch_id - 1}").head()["newest"]
+        timed = batch.filter("ts_s IS NOT NULL").withColumn("hour_s", hour_of(F.col("ts_s")))
+        is_late = F.lit(False) if newest is None else F.col("hour_s") + 3600 <= F.lit(newest - delay_s)
+        hours = timed.groupBy("hour_s").agg(
+            F.count("*").alias("total"),
+            F.count_if(F.col("decision") == "LLM").alias("llm_count"),
+            F.sum(cost_mills(F.col("decision"))).cast("long").alias("cost_mills"),
+            F.max("ts_s").alias("newest"),
+        )
+        batch_sink(f"{root}/hours")(hours.withColumn("is_late", is_late), batch_id)
+        hours = session.read.schema("hour_s long, total long, llm_count long, cost_mills long, newest long, is_late boolean").parquet(
+            f"{root}/hours/batch={batch_id}"
+        )
+        found = hours.agg(F.max("newest").alias("newest"), F.coalesce(F.bool_or("is_late"), F.lit(False)).alias("any_late")).head()
+        if found["any_late"]:
+            batch_sink(f"{root}/late")(timed.filter(is_late), batch_id)
+        known = [time for time in (newest, found["newest"]) if time is not None]
+        mark = session.createDataFrame([(max(known, default=None),)], "newest long").coalesce(1)
+        batch_sink(f"{root}/marks")(mark, batch_id)
+        changed = hours.select(
+            "hour_s", "total", "llm_count", "cost_mills",
+            F.when(F.col("is_late"), F.col("total")).otherwise(0).cast("long").alias("late"),
+            F.col("is_late").cast("long").alias("corrections"),
+        )
+        if batch_id > 0:
+            before = read_upserted(session, f"{root}/usage", batch_id).drop("revision")
+            touched = before.join(hours.select("hour_s"), "hour_s", "left_semi")
+            sums = [F.sum(name).alias(name) for name in changed.columns[1:]]
+            changed = changed.unionByName(touched).groupBy("hour_s").agg(*sums)
+        upsert(session, f"{root}/usage", changed.withColumn("revision", F.lit(batch_id).cast("long")), "hour_s", "revision", "hour_s", buckets)
+
+    return write
+
+
+def read_usage(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The hourly table of `usage_sink`, as its newest version or the given one says."""
+    usage = read_upserted(spark, f"{root}/usage", version)
+    return usage.withColumn("llm_ratio", F.try_divide("llm_count", "total"))
+
+
 def passes_update_point(earlier: int, now: int, buffer: int = RoutingConfig.feedback_buffer) -> bool:
     """Does the feedback counter meet an update point on its way from `earlier` to `now`?
 

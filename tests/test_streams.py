@@ -201,3 +201,46 @@ def test_statistics_of_the_newest(spark, tmp_path):
     finish(streams.run_batches(source, sink, str(tmp_path / "log")))
     last = spark.read.parquet(str(tmp_path / "stats")).orderBy(F.col("batch").desc()).first()
     assert (last.avg_processing_time_ms, last.routing_accuracy_estimate, last.total) == (89.5, 0.5, 100)
+
+
+def test_late_rows_correct_closed_hours(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(n, draw.randrange(8 * 3600), draw.choice(["LLM", "ML", None])) for n in range(400)] + [(900, None, "LLM")]
+    source = arriving(spark, str(tmp_path / "in"), rows, "doc_id long, ts_s long, decision string", 5)
+    root = str(tmp_path / "usage")
+    sink = streams.usage_sink(root, delay_s=600, buckets=3)
+    finish(streams.run_batches(source, sink, str(tmp_path / "log")))
+
+    parts = [rows[start : start + 81] for start in range(0, len(rows), 81)]
+    newest, expected = None, {}
+    for number, part in enumerate(parts):
+        touched = set()
+        for _, ts, decision in part:
+            if ts is None:
+                continue
+            hour = ts - ts % 3600
+            late = newest is not None and hour + 3600 <= newest - 600
+            total, costly, late_rows, corrections = expected.get(hour, (0, 0, 0, 0))
+            expected[hour] = (total + 1, costly + (decision == "LLM"), late_rows + late, corrections + (late and hour not in touched))
+            touched.add(hour)
+        newest = max([newest or 0] + [ts for _, ts, _ in part if ts is not None])
+        found = streams.read_usage(spark, root, number + 1).collect()
+        assert {r.hour_s: (r.total, r.llm_count, r.late, r.corrections) for r in found} == expected
+    assert sum(late for _, _, late, _ in expected.values()) == spark.read.parquet(f"{root}/late").count() > 0
+
+    # A batch that comes again, and one without rows, change nothing.
+    last = spark.createDataFrame(parts[-1], "doc_id long, ts_s long, decision string")
+    sink(last, 4)
+    sink(last.filter("false"), 5)
+    found = streams.read_usage(spark, root).collect()
+    assert {r.hour_s: (r.total, r.llm_count, r.late, r.corrections) for r in found} == expected
+    sink(spark.createDataFrame([(1, 5, "LLM")], "doc_id long, ts_s long, decision string"), 6)
+    assert streams.read_usage(spark, root).filter("hour_s = 0").head().total == expected[0][0] + 1
+
+
+def test_usage_that_starts_without_rows(spark, tmp_path):
+    sink = streams.usage_sink(str(tmp_path / "usage"))
+    frame = spark.createDataFrame([(7, "LLM")], "ts_s long, decision string")
+    sink(frame.filter("false"), 0)
+    sink(frame, 1)
+    assert [(r.hour_s, r.total, r.late) for r in streams.read_usage(spark, str(tmp_path / "usage")).collect()] == [(0, 1, 0)]
