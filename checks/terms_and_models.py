@@ -6,10 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.registry import check, rounded
+from checks.registry import ORACLES, check, rounded
 from checks.views import spark_view, sql_views
 from docsluice.config import TermConfig
-from docsluice.operators import bayes, learners, terms
+from docsluice.operators import bayes, bayes_blocks, learners, terms
 from docsluice.operators.boosting import SoftmaxBoosting
 from docsluice.operators.confidence import load_confidence, predict_confidence, save_confidence, train_confidence
 from docsluice.operators.features import with_features
@@ -101,6 +101,18 @@ def naive_bayes(spark, folder):
     return rounded(bayes.score_bayes(vectors, *bayes.fit_bayes(vectors, vocabulary)), "confidence")
 
 
+@check("naive_bayes_blocks", ORACLES["naive_bayes"])
+def naive_bayes_blocks(spark, folder):
+    """The same with the model as a table: blocks of few classes and of many documents meet."""
+    rows = with_terms(spark, folder)
+    vocabulary = terms.fit_vocabulary(rows, CONFIG)
+    vectors = reliable(
+        terms.term_pipeline(vocabulary, "count").transform(rows).select("doc_id", "label", "term_vector")
+    )
+    model = bayes_blocks.fit_bayes_blocks(vectors, vocabulary)
+    return rounded(bayes_blocks.score_bayes_blocks(vectors, model, classes=2), "confidence")
+
+
 # Few trees and iterations: these queries show the jobs, not the best model.
 def quick_learners():
     return learners.estimators(trees=10, iterations=10, boosting=2)
