@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsluice.session import bounded, reliable
+from docsluice.session import bounded, fresh_path, reliable
 
 SLAB = 4 << 20
 MEASURES = "path string, block long, flips int, deeper long, deeper_inside long"
@@ -57,7 +57,9 @@ def json_items(spark: SparkSession, path: str) -> DataFrame:
     measures = fragments.select("path", "block", "data").mapInArrow(_measure, MEASURES)
     states = measures.withColumn("inside", inside).withColumn("depth", depth).select("path", "block", "inside", "depth")
     entered = fragments.join(bounded(states), ["path", "block"])
-    pieces = reliable(entered.groupBy("path", "block").applyInArrow(_cut, PIECES))
+    stored = fresh_path(spark, "pieces")
+    entered.groupBy("path", "block").applyInArrow(_cut, PIECES).write.parquet(stored)
+    pieces = spark.read.schema(PIECES).parquet(stored)
     whole = pieces.filter(F.col("part") == WHOLE).select("path", F.col("text").alias("item"))
     # At most two pieces of a range belong to items that cross its ends.
     in_order = Window.partitionBy("path").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0)
