@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsluice.session import bounded, fresh_path, reliable
+from docsluice.session import fresh_path, reliable, stored_bytes
 
 SLAB = 4 << 20
 MEASURES = "path string, block long, flips int, deeper long, deeper_inside long"
@@ -33,14 +33,16 @@ _SIGN = _STEP != 0
 _SIGN[ord(",")] = True
 
 
-def json_items(spark: SparkSession, path: str) -> DataFrame:
+def json_items(spark: SparkSession, path: str, most_bytes: int = 8 << 20) -> DataFrame:
     """Rows (path, item) of the files that `path` names, one JSON array or object each.
 
     An item is the JSON text of one element of the array, or `"key": value` of one entry
     of the object, without regard to what it holds. Tasks read ranges of at most
     `spark.sql.files.maxPartitionBytes`. Empty files, arrays and objects have no items. Of a
     file that breaks off, the items before the break come out; an object or array that the
-    break cuts is left out.
+    break cuts is left out. The states of the ranges are broadcast, and ranges cut where
+    they lie, if the states have proved to take at most `most_bytes`; beyond that, with
+    millions of ranges, the text is shuffled by range.
     """
     fragments = spark.read.option("lineSep", "}").text(path)
     fragments = fragments.select(
@@ -56,9 +58,15 @@ def json_items(spark: SparkSession, path: str) -> DataFrame:
     depth = F.coalesce(F.sum(F.when(F.col("inside"), F.col("deeper_inside")).otherwise(F.col("deeper"))).over(before), F.lit(0))
     measures = fragments.select("path", "block", "data").mapInArrow(_measure, MEASURES)
     states = measures.withColumn("inside", inside).withColumn("depth", depth).select("path", "block", "inside", "depth")
-    entered = fragments.join(bounded(states), ["path", "block"])
+    entry = fresh_path(spark, "states")
+    states.write.parquet(entry)
+    states = spark.read.schema(states.schema).parquet(entry)
+    if stored_bytes(spark, entry) <= most_bytes:
+        cut = fragments.join(F.broadcast(states), ["path", "block"]).mapInArrow(_cut_in_order, PIECES)
+    else:
+        cut = fragments.join(states, ["path", "block"]).groupBy("path", "block").applyInArrow(_cut, PIECES)
     stored = fresh_path(spark, "pieces")
-    entered.groupBy("path", "block").applyInArrow(_cut, PIECES).write.parquet(stored)
+    cut.write.parquet(stored)
     pieces = spark.read.schema(PIECES).parquet(stored)
     whole = pieces.filter(F.col("part") == WHOLE).select("path", F.col("text").alias("item"))
     # At most two pieces of a range belong to items that cross its ends.
@@ -103,18 +111,15 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each range does to the state; the fragments come in order, range after range."""
     found: list[tuple] = []
     key, state, depth = None, [False, True], [0, 0]
-    for batch in batches:
-        keys = list(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()))
-        starts = [n for n in range(len(keys)) if n == 0 or keys[n] != keys[n - 1]]
-        for start, end in zip(starts, [*starts[1:], len(keys)]):
-            if keys[start] != key:
-                if key is not None:
-                    found.append((*key, int(state[0]), *depth))
-                key, state, depth = keys[start], [False, True], [0, 0]
-            for slab in _slabs(batch.column("data").slice(start, end - start).to_pylist()):
-                for case in (0, 1):
-                    _, codes, state[case] = _signs(slab, state[case])
-                    depth[case] += int(_STEP[codes].sum(dtype=np.int64))
+    for here, run in _runs(batches):
+        if here != key:
+            if key is not None:
+                found.append((*key, int(state[0]), *depth))
+            key, state, depth = here, [False, True], [0, 0]
+        for slab in _slabs(run.column("data").to_pylist()):
+            for case in (0, 1):
+                _, codes, state[case] = _signs(slab, state[case])
+                depth[case] += int(_STEP[codes].sum(dtype=np.int64))
     if key is not None:
         found.append((*key, int(state[0]), *depth))
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -123,6 +128,28 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, kinds)], names=names)
 
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The batches, cut where a range ends."""
+    for batch in batches:
+        keys = list(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()))
+        starts = [n for n in range(len(keys)) if n == 0 or keys[n] != keys[n - 1]]
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            yield keys[start], batch.slice(start, end - start)
+
+
+def _cut_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of fragments that come in order, range after range; one range is held at a time."""
+    key, held = None, []
+    for here, run in _runs(batches):
+        if here != key and held:
+            yield from _cut(pa.Table.from_batches(held)).to_batches()
+            held = []
+        key = here
+        held.append(run)
+    if held:
+        yield from _cut(pa.Table.from_batches(held)).to_batches()
+
+
 def _cut(fragments: pa.Table) -> pa.Table:
     """The pieces of one range: items that lie in it whole, the end of one begun before it, the start of its last one."""
     fragments = fragments.sort_by("place")

@@ -35,9 +35,8 @@ def values(count, seed=3):
     return made
 
 
-@pytest.mark.parametrize("size", [300, 5000, 1 << 20])
-@pytest.mark.parametrize("indent", [None, 2])
-def test_items_of_arrays_and_objects(spark, tmp_path, size, indent):
+@pytest.mark.parametrize("size, indent, most_bytes", [(300, None, 8 << 20), (300, 2, 0), (5000, 2, 8 << 20), (1 << 20, None, 8 << 20), (1 << 20, 2, 0)])
+def test_items_of_arrays_and_objects(spark, tmp_path, size, indent, most_bytes):
     expected = values(120) + [[], {}, "a}b", 5, None, [[{}], "]"]]
     keyed = {f'k{n}"}}{{,\\': value for n, value in enumerate(expected)}
     (tmp_path / "array.json").write_text(json.dumps(expected, indent=indent, ensure_ascii=False) + "\n")
@@ -45,7 +44,7 @@ def test_items_of_arrays_and_objects(spark, tmp_path, size, indent):
     for name, text in (("empty", ""), ("blank", " \n"), ("none", "[ ]"), ("nothing", "{\n}")):
         (tmp_path / f"{name}.json").write_text(text)
     with ranges_of(spark, size):
-        rows = json_items(spark, f"{tmp_path}/*.json").collect()
+        rows = json_items(spark, f"{tmp_path}/*.json", most_bytes).collect()
     found = [json.loads(row["item"]) for row in rows if row["path"].endswith("array.json")]
     pairs = [json.loads("{" + row["item"] + "}") for row in rows if row["path"].endswith("object.json")]
     assert len(found) + len(pairs) == len(rows)
