@@ -104,7 +104,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share four fifths of their five-word shingles, the one with the smallest doc_id."""
-    found = near_duplicates(docs, scheme=SIMILAR, tag=row_tag(docs))
+    found = near_duplicates(docs, scheme=SIMILAR, tag=row_tag(docs), complete=True)
     # Of rows that are alike one stays: the first copy counts, the others do not.
     first = F.col("tag") == F.col("first_tag")
     counted = kept(found.select("tag", first.alias("first")), "pipeline-near")

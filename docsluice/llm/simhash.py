@@ -14,6 +14,11 @@ segment value that very many different fingerprints share are not filled; their
 members enter finer entries instead, by balls around pieces of the other segments.
 That is exact only where balls around all pieces are; longer fingerprints keep such an
 entry, cut into pairs of blocks.
+
+Segments that agree only very probably miss pairs. With `complete` these are found too:
+of sets that share enough, ordered alike, the heads must have elements in common, so
+texts whose heads share nothing are left out, and the others meet by their rarest
+shingles (see `missed_links`).
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, binary_rows, give_back, kept
 from docsluice.llm.components import components
+from docsluice.operators.prefilter import likely_among
 from docsluice.session import bounded
 
 SEED = 42
@@ -73,13 +79,21 @@ SIMILAR = Scheme(width=5, words=8, reach=96, segment=16, radius=0, finer=16, sim
 
 # Entries of at most so many fingerprints give all their links; beyond the second number no matrix of distances is made.
 SMALL, MATRIX = 8, 1024
+# Heads are so long that those of similar texts share this number of shingles: more to tell chance by, for a few entries more.
+SHARED = 8
 
 
 def fingerprint(text: bytes, scheme: Scheme = CLOSE) -> bytes:
     """SimHash of the word shingles of a text, highest bit first. The last word is that of plain 64-bit hashes."""
+    return _print(_counted(text, scheme), scheme)
+
+
+def _counted(text: bytes, scheme: Scheme) -> np.ndarray:
     hashes = _shingle_hashes(text, scheme.width)
-    if not scheme.repeats:
-        hashes = np.unique(hashes)
+    return hashes if scheme.repeats else np.unique(hashes)
+
+
+def _print(hashes: np.ndarray, scheme: Scheme) -> bytes:
     if not len(hashes):
         return bytes(8 * scheme.words)
     counts = [_bit_counts(hashes)]
@@ -102,21 +116,45 @@ def _rows(docs: DataFrame, key: str, text: str, tag: Column | None) -> DataFrame
     )
 
 
-def fingerprints(rows: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
-    """Per row of id, tag and text (bytes): id, tag, fp. A text without words has fingerprint 0."""
+def fingerprints(rows: DataFrame, scheme: Scheme = CLOSE, heads: bool = False) -> DataFrame:
+    """Per row of id, tag and text (bytes): id, tag, fp. A text without words has fingerprint 0.
+
+    With `heads`, for schemes without repeats, also the `head` of its shingles and how many of
+    them, `common` at least, the head of any similar text has too.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x, scheme) for x in batch.column("text").to_pylist()]
+            found, first, common = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = _counted(text, scheme)
+                found.append(_print(hashes, scheme))
+                if heads:
+                    first.append(hashes[: _head(len(hashes), scheme)].view(np.int64))
+                    # A similar text may be smaller by the same share.
+                    common.append(min(SHARED, _least(scheme.similarity**2 * len(hashes))))
             columns = {"id": batch.column("id"), "tag": batch.column("tag"), "fp": pa.array(found, pa.binary())}
+            if heads:
+                columns |= {"head": pa.array(first, pa.list_(pa.int64())), "common": pa.array(common, pa.int32())}
             yield pa.RecordBatch.from_pydict(columns)
             give_back()
 
-    return rows.mapInArrow(scan, "id long, tag long, fp binary")
+    return rows.mapInArrow(scan, "id long, tag long, fp binary" + (", head array<long>, common int" if heads else ""))
+
+
+def _least(share: float) -> int:
+    """The least whole number not below a share, up to what its computation is wrong by."""
+    return int(np.ceil(share - 1e-6))
+
+
+def _head(size: int, scheme: Scheme) -> int:
+    """So many of the first of a set, however all are ordered, hold SHARED of those (or all, if fewer) that it shares with a similar set."""
+    shared = _least(scheme.similarity * size)
+    return size - shared + min(SHARED, shared)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE, tag: Column | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = CLOSE, tag: Column | None = None, complete: bool = False
 ) -> DataFrame:
     """One row per input row: key, fingerprint, component_id (smallest key reachable over links).
 
@@ -126,15 +164,23 @@ def near_duplicates(
     columns are not read; an empty table gives no rows. The fingerprint is in hex,
     the highest bit first. `tag`, a number the caller tells rows by, is handed
     through if given, with `first_tag`, that of the row that names the component.
+    `complete`, for schemes with `similarity`, links all similar texts, also those whose
+    fingerprints do not meet.
     """
+    if complete and (scheme.similarity is None or scheme.repeats):
+        raise ValueError("complete needs a scheme with similarity and without repeats")
     source = _rows(docs, key, text, tag)
-    rows = kept(fingerprints(source, scheme), "simhash-rows")
+    rows = kept(fingerprints(source, scheme, complete), "simhash-rows")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     nodes = kept(rows.groupBy("fp").agg(F.min(name).alias("first")), "simhash-nodes")
     if scheme.similarity is None:
         roots = components(links(nodes.select("fp"), scheme))
     else:
-        roots = components(similar_links(source, nodes, scheme))
+        held = similar_links(source, nodes, scheme)
+        roots = components(held)
+        if complete:
+            missed = kept(missed_links(source, rows, nodes, roots, scheme), "simhash-missed")
+            roots = roots if missed.isEmpty() else components(held.unionByName(missed))
     members = kept(
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
         "simhash-members",
@@ -192,6 +238,42 @@ def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFr
     return held.unionByName(_verified(others, sets, scheme))
 
 
+def missed_links(source: DataFrame, rows: DataFrame, nodes: DataFrame, roots: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) of all similar texts that `roots` (node, root) does not connect.
+
+    Texts whose heads share too few shingles with any others are left out first. Of the
+    rest the shingles are ordered by the number of texts that have them: similar texts
+    share one that is so rare that too few come before it. What either has left after it
+    tells most chance pairs, the others are verified.
+    """
+    node = F.xxhash64("fp")
+    heads = rows.select(node.alias("node"), "common", F.explode("head").alias("shingle"))
+    again = kept(heads.groupBy("shingle").count().filter("count > 1").select("shingle"), "simhash-again")
+    met = likely_among(heads, again, "shingle").groupBy("node").agg(F.count("*").alias("n"), F.min("common").alias("common"))
+    close = bounded(met.filter("n >= common").select("node"))
+    ends = nodes.withColumn("node", node).join(close, "node", "left_semi")
+    ends = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fp")))
+    ends = kept(ends.select("fp", "node", "label", "first"), "simhash-close")
+    if ends.isEmpty():
+        return ends.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    sets = _shingles(source, ends, scheme)
+    size = F.size("shingles")
+    each = sets.select(node.alias("node"), size.alias("size"), F.explode("shingles").alias("shingle"))
+    often = kept(each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), "simhash-often")
+    # Shingles that no other text has come first and are no place to meet at.
+    own = Window.partitionBy("node")
+    placed = each.join(often, "shingle").withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "shingle")))
+    left = F.col("size") - F.col("place") + 1
+    rarest = placed.filter(left >= scheme.similarity * F.col("size") - 1e-6).select("shingle", "node", "size", left.alias("left"))
+    rarest = kept(rarest.join(bounded(ends.select("node", "label")), "node"), "simhash-rarest")
+    one, other = (rarest.select("shingle", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "size", "left", "label")]) for side in "ab")
+    shared = F.least("left_a", "left_b") >= scheme.similarity / (1 + scheme.similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    pairs = one.join(other, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & shared)
+    pairs = kept(pairs.select("node_a", "node_b").distinct(), "simhash-rare")
+    named = [ends.select(F.col("node").alias(f"node_{side}"), F.col("fp").alias(side)) for side in "ab"]
+    return _verified(pairs.join(named[0], "node_a").join(named[1], "node_b").select("a", "b"), sets, scheme)
+
+
 def _blocks(fps: DataFrame, scheme: Scheme) -> DataFrame:
     """Entries of all fingerprints: entry, finer, side, fp.
 
