@@ -176,15 +176,16 @@ def near_duplicates(
     if scheme.similarity is None:
         roots = components(links(nodes.select("fp"), scheme))
     else:
-        held = similar_links(source, nodes, scheme)
-        roots = components(held)
-        if complete:
-            missed = kept(missed_links(source, rows, nodes, roots, scheme), "simhash-missed")
-            roots = roots if missed.isEmpty() else components(held.unionByName(missed))
-    members = kept(
-        nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
-        "simhash-members",
-    )
+        roots = components(similar_links(source, nodes, scheme))
+    members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = kept(members, "simhash-members")
+    if complete:
+        missed = kept(missed_links(source, rows, members, scheme), "simhash-missed")
+        if not missed.isEmpty():
+            # The links are between roots, so no link is gone through again.
+            moved = components(missed).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            members = members.join(moved, "root", "left").select("fp", "first", F.coalesce("to", "root").alias("root"))
+            members = kept(members, "simhash-members")
     named = kept(members.groupBy("root").agg(F.min("first").alias("names")), "simhash-names")
     found = kept(members.select("fp", "root").join(named, "root").select("fp", "names"), "simhash-found")
     tags = [] if tag is None else ["tag", F.col("names.tag").alias("first_tag")]
@@ -238,8 +239,8 @@ def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFr
     return held.unionByName(_verified(others, sets, scheme))
 
 
-def missed_links(source: DataFrame, rows: DataFrame, nodes: DataFrame, roots: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) of all similar texts that `roots` (node, root) does not connect.
+def missed_links(source: DataFrame, rows: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between the roots of all similar texts that have different ones; members are (fp, first, root).
 
     Texts whose heads share too few shingles with any others are left out first. Of the
     rest the shingles are ordered by the number of texts that have them: similar texts
@@ -251,11 +252,8 @@ def missed_links(source: DataFrame, rows: DataFrame, nodes: DataFrame, roots: Da
     again = kept(heads.groupBy("shingle").count().filter("count > 1").select("shingle"), "simhash-again")
     met = likely_among(heads, again, "shingle").groupBy("node").agg(F.count("*").alias("n"), F.min("common").alias("common"))
     close = bounded(met.filter("n >= common").select("node"))
-    ends = nodes.withColumn("node", node).join(close, "node", "left_semi")
-    ends = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fp")))
-    ends = kept(ends.select("fp", "node", "label", "first"), "simhash-close")
-    if ends.isEmpty():
-        return ends.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    ends = members.withColumn("node", node).join(close, "node", "left_semi")
+    ends = kept(ends.select("fp", "node", "root", F.xxhash64("root").alias("label"), "first"), "simhash-close")
     sets = _shingles(source, ends, scheme)
     size = F.size("shingles")
     each = sets.select(node.alias("node"), size.alias("size"), F.explode("shingles").alias("shingle"))
@@ -271,7 +269,10 @@ def missed_links(source: DataFrame, rows: DataFrame, nodes: DataFrame, roots: Da
     pairs = one.join(other, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & shared)
     pairs = kept(pairs.select("node_a", "node_b").distinct(), "simhash-rare")
     named = [ends.select(F.col("node").alias(f"node_{side}"), F.col("fp").alias(side)) for side in "ab"]
-    return _verified(pairs.join(named[0], "node_a").join(named[1], "node_b").select("a", "b"), sets, scheme)
+    found = _verified(pairs.join(named[0], "node_a").join(named[1], "node_b").select("a", "b"), sets, scheme)
+    for side in "ab":
+        found = found.join(ends.select(F.col("fp").alias(side), F.col("root").alias(f"root_{side}")), side)
+    return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def _blocks(fps: DataFrame, scheme: Scheme) -> DataFrame:
