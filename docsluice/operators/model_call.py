@@ -26,8 +26,9 @@ BREAKER_OPEN = "circuit breaker is open"
 # Response, error, attempts and milliseconds from the first attempt to the last.
 Answer = tuple[str | None, str | None, int, float]
 
-# Rows handed out beyond those under way, for each call at a time: a slow row at the front holds up its batch only.
-AHEAD = 8
+# Rows handed out for each call at a time, and characters of their prompts in all. A row at the front that takes as long
+# as hundreds of others holds up its batch, but not the calls: they go on with the rows behind it.
+AHEAD, HELD = 1024, 32 << 20
 
 
 class Breaker:
@@ -133,14 +134,18 @@ def _answered(
             yield batch, [ask(text) for text in batch[prompt]]
         return
     pool = ThreadPoolExecutor(in_flight)
-    waiting: deque[Future] = deque()
+    waiting: deque[tuple[Future, int]] = deque()
+    held = 0
     open_batches: deque[tuple[pd.DataFrame, list[Answer]]] = deque()
 
     def settle(most: int) -> Iterator[tuple[pd.DataFrame, list[Answer]]]:
-        """Takes the oldest answers until at most so many rows are out, and gives away the batches that are complete."""
-        while len(waiting) > most:
+        """Takes the oldest answers until at most so many rows are out, of no more text than is held, and gives away the batches that are complete."""
+        nonlocal held
+        while waiting and (len(waiting) > most or held > HELD):
             first = next(found for found in open_batches if len(found[1]) < len(found[0]))
-            first[1].append(waiting.popleft().result())
+            answer, size = waiting.popleft()
+            first[1].append(answer.result())
+            held -= size
         while open_batches and len(open_batches[0][1]) == len(open_batches[0][0]):
             yield open_batches.popleft()
 
@@ -148,8 +153,9 @@ def _answered(
         for batch in batches:
             open_batches.append((batch, []))
             for text in batch[prompt]:
-                waiting.append(pool.submit(ask, text))
-                if len(waiting) >= AHEAD * in_flight:
+                waiting.append((pool.submit(ask, text), len(text or "")))
+                held += waiting[-1][1]
+                if len(waiting) >= AHEAD * in_flight or held > HELD:
                     yield from settle(AHEAD * in_flight - 1)
             # Of a batch that is read only its last rows are still out.
             yield from settle(AHEAD * in_flight - 1)
