@@ -47,28 +47,37 @@ def with_terms(df: DataFrame, text: str, config: TermConfig = TermConfig()) -> D
     return kept.withColumn("terms", F.concat("_tokens", neighbours)).drop("_tokens")
 
 
+def _counted(df: DataFrame, *columns: str) -> DataFrame:
+    """A row per row and different term: the columns, term, tf. Terms are counted where they lie."""
+    in_order = df.select(*columns, F.sort_array("terms").alias("_terms"))
+    # In a sorted array the first of equal terms says where the others begin.
+    first = F.transform("_terms", lambda term, place: F.when((place == 0) | ~term.eqNullSafe(F.get("_terms", place - 1)), place))
+    starts = in_order.withColumn("_starts", F.filter(first, lambda place: place.isNotNull()))
+    counts = F.transform(
+        "_starts",
+        lambda start, number: F.struct(
+            F.get("_terms", start).alias("term"),
+            (F.coalesce(F.get("_starts", number + 1), F.size("_terms")) - start).cast("long").alias("tf"),
+        ),
+    )
+    return starts.select(*columns, F.inline(counts))
+
+
 def term_frequency(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows (key, term, tf) from the array `terms`."""
-    return df.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Rows (key, term, tf) from the array `terms`; only rows whose key occurs again are shuffled."""
+    again = df.groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again")
+    again = bounded(again)
+    if again.isEmpty():
+        return _counted(df, key)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    several = _counted(df.join(again, same, "left_semi"), key).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return _counted(df.join(again, same, "left_anti"), key).unionByName(several)
 
 
 def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
     """Rows (term, tf, df, documents) for terms in enough and not too many documents."""
-    # In a sorted array the first of equal terms marks the document, so no shuffle by document is needed.
-    in_order = df.select(F.sort_array("terms").alias("_terms"))
-    marked = in_order.select(
-        F.explode(
-            F.transform(
-                "_terms",
-                lambda term, place: F.struct(
-                    term.alias("term"), (~term.eqNullSafe(F.get("_terms", place - 1))).alias("first")
-                ),
-            )
-        ).alias("_entry")
-    )
-    counts = marked.groupBy("_entry.term").agg(
-        F.count("*").alias("tf"), F.count_if("_entry.first").alias("df")
-    )
+    # Each row gives its different terms once, so no shuffle by document is needed.
+    counts = _counted(df).filter("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     # Counting rows reads no text.
     documents = df.count()
     return counts.filter(
