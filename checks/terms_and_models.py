@@ -293,7 +293,7 @@ def examples(spark, folder):
     "SELECT count(*) AS examples, TRUE AS better_than_the_mean, TRUE AS ordered FROM documents",
 )
 def confidence_quality(spark, folder):
-    rows = examples(spark, folder)
+    rows = reliable(examples(spark, folder))
     model = train_confidence(rows, ["ts_s", "doc_id"], iterations=5, depth=3)
     variance = rows.agg(F.var_pop("ml_confidence")).first()[0]
     return spark.createDataFrame(
@@ -305,7 +305,7 @@ def confidence_quality(spark, folder):
 @check("predict_confidence", "SELECT doc_id, TRUE AS in_range, TRUE AS same FROM documents")
 def confidence(spark, folder):
     """A forecast for every document within the bounds, and the same from the predictor read back."""
-    rows = examples(spark, folder)
+    rows = reliable(examples(spark, folder))
     model = train_confidence(rows, ["ts_s", "doc_id"], iterations=5, depth=3)
     path = fresh_path(spark, "predictor")
     save_confidence(model, path, spark)

@@ -15,6 +15,7 @@ from docsluice.operators.evaluation import regression_metrics
 from docsluice.operators.features import VECTOR_NAMES, feature_vector
 from docsluice.operators.routing import UNTRAINED_CONFIDENCE
 from docsluice.operators.splits import ordered_split
+from docsluice.session import reliable
 
 MIN_EXAMPLES = 50
 
@@ -31,11 +32,13 @@ def train_confidence(
     examples: DataFrame, order: list[str], iterations: int = 100, depth: int = 6, seed: int = 42
 ) -> ConfidenceModel | None:
     """Fits on rows (features, ml_confidence, order...); None with fewer than 50 examples."""
+    numbers = [value.alias(name) for name, value in _numbers(F.col("features")).items()]
+    # The split goes through the rows several times, what the features are made from once.
+    examples = reliable(examples.select(*order, "ml_confidence", *numbers))
     count = examples.count()
     if count < MIN_EXAMPLES:
         return None
-    numbers = [value.alias(name) for name, value in _numbers(F.col("features")).items()]
-    rows = ordered_split(examples.select(*order, "ml_confidence", *numbers), order).cache()
+    rows = ordered_split(examples, order).cache()
     assembler = VectorAssembler(inputCols=[f"_{name}" for name in VECTOR_NAMES], outputCol="_vector")
     regressor = GBTRegressor(
         featuresCol="_vector",
