@@ -22,7 +22,7 @@ from docsluice.operators import feedback, metrics, results
 from docsluice.operators.features import with_features
 from docsluice.operators.routing import route_under_budget
 from docsluice.plans import learning
-from docsluice.session import fresh_path, reliable
+from docsluice.session import fresh_path, reliable, stored_bytes
 from docsluice.sources import files, tables
 from docsluice.sources.json_items import json_items
 from docsluice.sources.registry import published
@@ -174,7 +174,8 @@ def write_results(spark, folder):
 def feedback_file(spark, folder):
     """The log with all kinds of feedback, appended kind by kind, and with broken lines among them."""
     path = fresh_path(spark, "feedback")
-    docs = with_features(spark_view(spark, folder, "doc_meta")).select("doc_id", "features")
+    # Narrow next to the texts, and needed for every kind.
+    docs = reliable(with_features(spark_view(spark, folder, "doc_meta")).select("doc_id", "features"))
     for rows in (
         relations.performance_rows(spark, folder).join(docs, "doc_id"),
         relations.correction_rows(spark, folder).join(docs, "doc_id"),
@@ -283,13 +284,18 @@ def load_example_arrays(spark, folder):
     return tables.read_examples(spark, f"{path}/*", whole_file=True).select(*columns)
 
 
+FILE_BYTES = 128 << 20
+
+
 @check(
     "split_json_files",
     """SELECT CASE doc_id % 2 WHEN 0 THEN 'array' ELSE 'object' END AS kind, doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, source
     FROM documents""",
 )
 def split_json_files(spark, folder):
-    """Half of the documents in two files of one array each, half in two of one object each, read in the ranges that Spark cuts."""
+    """Half of the documents in two or more files of one array each, half in as many of one object each, read in the ranges that Spark cuts."""
+    # Two of each per so many bytes: a task writes a file.
+    files = 4 * max(1, -(-stored_bytes(spark, f"{folder}/documents.parquet") // FILE_BYTES))
     documents = table(spark, folder, "documents").withColumn("text", F.concat("text", F.lit(' {"a\\": [}],\\')))
     row = F.struct("doc_id", "text", "source")
     parts = []
@@ -300,8 +306,8 @@ def split_json_files(spark, folder):
         path = fresh_path(spark, kind)
         # Text files have a line per row and none around them: the brackets are rows of their own.
         chosen = documents.filter(F.col("doc_id") % 2 == half)
-        rows = chosen.select((F.col("doc_id") % 4).alias("part"), F.concat(line, F.lit(",")).alias("value"), F.lit(1).alias("place"))
-        ends = spark.createDataFrame([(part, *end) for part in (half, half + 2) for end in ((opened, 0), (closed, 2))], "part long, value string, place int")
+        rows = chosen.select((F.col("doc_id") % files).alias("part"), F.concat(line, F.lit(",")).alias("value"), F.lit(1).alias("place"))
+        ends = spark.createDataFrame([(part, *end) for part in range(half, files, 2) for end in ((opened, 0), (closed, 2))], "part long, value string, place int")
         in_files = rows.unionByName(ends).repartition("part").sortWithinPartitions("part", "place")
         in_files.select("part", "value").write.partitionBy("part").text(path)
         items = json_items(spark, f"{path}/*")
@@ -383,14 +389,20 @@ def learn_from_feedback(spark, folder):
     )
 
 
+FILE_ROWS = 1_000_000
+
+
 def in_order(spark, frame, order, parts):
     """A stream that meets the rows in that many micro-batches, in their order."""
     source = fresh_path(spark, "arriving")
     bounds = frame.approxQuantile(order, [part / parts for part in range(1, parts)], 0.0)
     place = sum((F.col(order) >= bound).cast("int") for bound in bounds)
+    # As many files for every micro-batch, one if it is small.
+    files = max(1, -(-frame.count() // (parts * FILE_ROWS)))
     for part in range(parts):
-        frame.filter(place == part).coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows = frame.filter(place == part)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(source)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(source)
 
 
 def event_stream(spark, folder):
