@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRestModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -141,19 +141,22 @@ class KernelSVM(Estimator):
         gamma = self.width or self._scale(dataset, size)
         raw = dataset.select("features", F.col("label_encoded").cast("double").alias("label_encoded"))
         waves = Waves(gamma=gamma, count=self.waves, size=size, seed=self.seed)
-        rows = waves.transform(raw).select("waves", "label_encoded", (F.pmod(F.xxhash64(vector_to_array("features")), F.lit(HELD_BACK)) == 0).alias("held"))
+        rows = raw.withColumn("held", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(HELD_BACK)) == 0)
+        # Only what the waves are made from is kept: they are made anew for each machine, which keeps them in its blocks.
         rows = rows.persist()
         try:
             sides = rows.groupBy("label_encoded").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("used")).collect()
             split = all(row["held"] and row["used"] for row in sides)
-            machine = LinearSVC(maxIter=self.iterations, regParam=self.penalty, featuresCol="waves", labelCol="label_encoded")
-            against = OneVsRest(
-                classifier=machine, featuresCol="waves", labelCol="label_encoded", predictionCol="margin_prediction",
-                parallelism=self.parallel,
-            )
-            model = against.fit(rows.filter("NOT held") if split else rows)
-            scored = model.transform(rows.filter("held") if split else rows)
-            counts = self._counts(scored).collect()
+            used = waves.transform(rows.filter("NOT held") if split else rows).select("waves", "label_encoded")
+            columns = {"featuresCol": "waves", "labelCol": "label_encoded", "predictionCol": "margin_prediction"}
+            machine = LinearSVC(maxIter=self.iterations, regParam=self.penalty, **columns)
+            # One machine after the other: the blocks of one are kept at a time, and each fit is spread over all cores.
+            classes = int(max(row["label_encoded"] for row in sides if row["label_encoded"] is not None)) + 1
+            hit = F.col("label_encoded")
+            machines = [machine.fit(used.withColumn("label_encoded", F.when(hit == number, 1.0).otherwise(0.0))) for number in range(classes)]
+            model = OneVsRestModel(machines)
+            model._set(classifier=machine, **columns)
+            counts = self._counts(model.transform(waves.transform(rows.filter("held") if split else rows))).collect()
         finally:
             rows.unpersist()
         lines = []
