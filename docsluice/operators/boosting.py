@@ -10,7 +10,7 @@ arrays, which score rows where they are.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -91,8 +91,14 @@ def _scores(rounds: list[list[Tree]], start: list[float], rate: float):
 
 def softmax(scores: str) -> Column:
     """Chances from scores, none of which overflows."""
-    shifted = F.transform(scores, lambda score: F.exp(score - F.array_max(scores)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda total, y: total + y))
+    shifted = _once(F.array_max(scores), lambda most: F.transform(scores, lambda score: F.exp(score - most)))
+    total = lambda found: F.aggregate(found, F.lit(0.0), lambda total, y: total + y)
+    return _once(shifted, lambda found: _once(total(found), lambda all_of: F.transform(found, lambda x: x / all_of)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 class SoftmaxBoostingModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -135,7 +141,7 @@ class SoftmaxBoosting(Estimator):
             raise ValueError("no rows to train on")
         total, classes = sum(counts.values()), max(counts) + 1
         start = [float(np.log(max(counts.get(k, 0), 0.5) / total)) for k in range(classes)]
-        rows = reliable(labelled.withColumn("scores", F.array(*[F.lit(x) for x in start])))
+        rows = self._scored(labelled.withColumn("scores", F.array(*[F.lit(x) for x in start])))
         # Friedman's factor for scores that are only told up to a common shift.
         rate = self.rate * (classes - 1) / classes if classes > 1 else self.rate
         rounds, losses = [], [self._loss(rows)]
@@ -145,12 +151,17 @@ class SoftmaxBoosting(Estimator):
                 rounds.append(trees)
                 step = _scores([trees], [0.0] * classes, rate)
                 added = F.zip_with("scores", step(parts("features")), lambda a, b: a + b)
-                rows = reliable(rows.select("features", "label", added.alias("scores")))
+                rows = self._scored(rows.select("features", "label", added.alias("scores")))
                 losses.append(self._loss(rows))
         return SoftmaxBoostingModel(trees=json.dumps(rounds), start=start, rate=rate, losses=losses)
 
+    @staticmethod
+    def _scored(rows: DataFrame) -> DataFrame:
+        """The rows with their chances, written once: every pass of every tree of a round reads these."""
+        return reliable(rows.withColumn("chances", softmax("scores")))
+
     def _tree(self, rows: DataFrame, number: int) -> Tree:
-        chance = softmax("scores")[number]
+        chance = F.col("chances")[number]
         weight = F.greatest(chance * (1 - chance), F.lit(LEAST_WEIGHT))
         step = ((F.col("label") == number).cast("double") - chance) / weight
         cut = F.greatest(F.lit(-LARGEST_STEP), F.least(F.lit(LARGEST_STEP), step))
@@ -159,4 +170,4 @@ class SoftmaxBoosting(Estimator):
 
     @staticmethod
     def _loss(rows: DataFrame) -> float:
-        return rows.agg(F.avg(-F.log(F.greatest(F.get(softmax("scores"), F.col("label")), F.lit(1e-300))))).head()[0]
+        return rows.agg(F.avg(-F.log(F.greatest(F.get("chances", F.col("label")), F.lit(1e-300))))).head()[0]
