@@ -7,6 +7,11 @@ computed inside each row against the vocabulary, which never exceeds
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -23,6 +28,12 @@ from docsluice.session import bounded, reliable
 
 # Fixed value: a token is a run of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+BETWEEN = r"[^\p{L}\p{N}_]+"
+
+# Texts, terms and sums that a task looks at together.
+TEXT_BYTES = 1 << 22
+TERMS = 1 << 20
+HELD_BYTES = 1 << 26
 
 
 def stop_words(config: TermConfig) -> list[str]:
@@ -33,18 +44,40 @@ def stop_words(config: TermConfig) -> list[str]:
 
 def with_terms(df: DataFrame, text: str, config: TermConfig = TermConfig()) -> DataFrame:
     """Adds the array `terms`: the tokens without stop words and their neighbouring pairs."""
-    unwanted = stop_words(config)
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    if unwanted:
-        tokens = F.filter(tokens, lambda token: ~token.isin(unwanted))
-    kept = df.withColumn("_tokens", tokens)
-    pairs = F.greatest(F.size("_tokens") - 1, F.lit(0))
-    neighbours = F.zip_with(
-        F.slice("_tokens", F.lit(1), pairs),
-        F.slice("_tokens", F.lit(2), pairs),
-        lambda left, right: F.concat_ws(" ", left, right),
-    )
-    return kept.withColumn("terms", F.concat("_tokens", neighbours)).drop("_tokens")
+    unwanted = pa.array(stop_words(config), pa.string())
+
+    @F.arrow_udf("array<string>")
+    def terms_of(texts: pa.Array) -> pa.Array:
+        parts = [_terms(texts.slice(first, last - first), unwanted) for first, last in _runs(pc.binary_length(texts), TEXT_BYTES)]
+        return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.string()))])
+
+    return df.withColumn("terms", terms_of(F.lower(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _runs(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about `most`, of one row at least."""
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield first, last
+        first = last
+
+
+def _terms(texts: pa.Array, unwanted: pa.Array) -> pa.Array:
+    """Tokens and pairs of every text."""
+    found = pc.split_pattern_regex(texts, BETWEEN)
+    row, tokens = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found)
+    wanted = pc.and_not(pc.greater_equal(pc.utf8_length(tokens), 2), pc.is_in(tokens, unwanted))
+    row, tokens = row[wanted.to_numpy(zero_copy_only=False)], tokens.filter(wanted)
+    beside = row[1:] == row[:-1]
+    pairs = pc.binary_join_element_wise(tokens[:-1].filter(beside), tokens[1:].filter(beside), " ")
+    rows = np.concatenate([row, row[1:][beside]])
+    # A stable order by text keeps its tokens before its pairs.
+    terms = pa.concat_arrays([tokens, pairs]).take(pa.array(np.argsort(rows, kind="stable")))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, terms)
 
 
 def _counted(df: DataFrame, *columns: str) -> DataFrame:
@@ -76,8 +109,8 @@ def term_frequency(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
     """Rows (term, tf, df, documents) for terms in enough and not too many documents."""
-    # Each row gives its different terms once, so no shuffle by document is needed.
-    counts = _counted(df).filter("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    sums = df.select("terms").mapInArrow(_sum_terms, "term string, tf long, df long")
+    counts = sums.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     # Counting rows reads no text.
     documents = df.count()
     return counts.filter(
@@ -85,6 +118,50 @@ def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> Data
     ).select("term", "tf", "df", F.lit(documents).cast("long").alias("documents"))
 
 
+def _sum_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and rows of the terms of a task, added up as far as `HELD_BYTES` go; no term occurs twice in what they hold."""
+    held, size = [], 0
+    for batch in batches:
+        lists = batch.column("terms")
+        for first, last in _runs(pc.fill_null(pc.list_value_length(lists), 0), TERMS):
+            held.append(_sums(lists.slice(first, last - first)))
+            size += held[-1].nbytes
+            if size > HELD_BYTES:
+                held = [_added(held)]
+                size = held[0].nbytes
+                if size > HELD_BYTES // 2:
+                    yield from held.pop().to_batches()
+                    size = 0
+    if held:
+        yield from _added(held).to_batches()
+
+
+def _sums(lists: pa.Array) -> pa.Table:
+    """A row per different term, null left out: how often it occurs and in how many rows."""
+    terms = pc.list_flatten(lists)
+    known = terms.is_valid()
+    row = pc.list_parent_indices(lists).to_numpy()[known.to_numpy(zero_copy_only=False)]
+    coded = terms.filter(known).dictionary_encode()
+    codes, different = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    # Sorting and comparing is much faster than np.unique on numbers that hardly repeat.
+    places = np.sort(row * different + codes)
+    rows = places[np.diff(places, prepend=-1) != 0] % max(different, 1)
+    return pa.table(
+        {
+            "term": coded.dictionary,
+            "tf": pa.array(np.bincount(codes, minlength=different), pa.int64()),
+            "df": pa.array(np.bincount(rows, minlength=different), pa.int64()),
+        }
+    )
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
+    sums = pa.concat_tables(tables).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
+    return pa.table({"term": sums["term"], "tf": sums["tf_sum"], "df": sums["df_sum"]})
+
+
 def fit_vocabulary(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
     """Rows (index, term, tf, df, idf): the most frequent terms, numbered in alphabetical order.
 
