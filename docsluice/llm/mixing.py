@@ -17,10 +17,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.llm.common import kept
+from docsluice.session import small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -157,17 +159,19 @@ def mix_sources(
     quotas = targets(sizes, mix, sum(words for _, words in network))
     taken = min_cost_flow(network, [math.floor(quota) for quota in quotas], mix.repeats)
 
-    source_type = "struct<none:boolean,name:string>"
-    plan = spark.createDataFrame(
-        [
-            (pattern, used // words if words else 0, used % words if words else 0)
+    source_type = pa.struct([("none", pa.bool_()), ("name", pa.string())])
+    plan = small_table(
+        spark,
+        (
+            ([{"none": none, "name": name} for none, name in pattern], used // words if words else 0, used % words if words else 0)
             for (pattern, words), used in zip(found, taken)
-        ],
-        f"pattern array<{source_type}>, passes long, rest long",
+        ),
+        pa.schema([("pattern", pa.list_(source_type)), ("passes", pa.int64()), ("rest", pa.int64())]),
     )
-    table = spark.createDataFrame(
-        [(None if none else name, size, quota) for (none, name), size, quota in zip(names, sizes, quotas)],
-        "source string, source_size long, target double",
+    table = small_table(
+        spark,
+        ((None if none else name, size, quota) for (none, name), size, quota in zip(names, sizes, quotas)),
+        pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())]),
     )
     return _select(rows, plan).select(F.col("id").alias(key), "tag", "pattern", "size", "taken"), table
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docsluice.llm.common import as_bytes, give_back, kept, slices
 from docsluice.llm.tokens import word_encoder
-from docsluice.session import bounded
+from docsluice.session import bounded, small_table
 
 TOKENS = "id long, source string, part int, ahead long, n long, ids binary"
 # Between the two passes ids are kept in 16 bits; larger vocabularies are refused.
@@ -35,6 +35,8 @@ PIECES = "id long, source string, start long, ids binary, doc_tokens long, seque
 
 # Grants that are looked at together.
 CELLS = 1 << 20
+# Bytes of texts or stored ids that are looked at together. The JVM and a worker hold what comes of them, a multiple, at once.
+AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,7 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, config: PackCon
             raise ValueError("the vocabulary has more than 65,536 ids")
         end = np.array([config.end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", AT_ONCE):
                 found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
                 sources, sizes = batch.column("source").to_pylist(), [len(ids) // 4 for ids in found]
                 stored = np.frombuffer(b"".join(found), "<u4").astype(STORED)
@@ -248,7 +250,8 @@ def pack(
         totals, weights = totals[:own] + [sum(totals[own:])], weights[:own] + [sum(weights[own:])]
     schedule = Schedule(totals, weights, config.window, config.length)
 
-    known = bounded(spark.createDataFrame([(row["source"], number) for number, row in enumerate(ranked)], "name string, queue int"))
+    names = pa.schema([("name", pa.string()), ("queue", pa.int32())])
+    known = bounded(small_table(spark, ((row["source"], number) for number, row in enumerate(ranked)), names))
     queued = counts.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = queued.select(
@@ -265,7 +268,7 @@ def pack(
 def _cut(schedule: Schedule, shared: Shared | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ids", 1 << 22):
+            for batch in slices(whole, "ids", AT_ONCE):
                 table = pa.Table.from_batches([batch]).sort_by([("queue", "ascending"), ("at", "ascending")])
                 batch = table.combine_chunks().to_batches()[0]
                 queue, at, n = (batch.column(name).to_numpy() for name in ("queue", "at", "n"))

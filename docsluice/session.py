@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ def bounded(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     return F.broadcast(kept) if stored_bytes(df.sparkSession, path) <= most_bytes else kept
 
 
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows of the driver as a frame. As Arrow data they need no Python workers, which executors would keep besides those of queries."""
+    rows = list(rows)
+    columns = [pa.array([row[place] for row in rows], kind.type) for place, kind in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is stored at a path; any other trouble with it is an error."""
     place, system = hadoop_place(spark, path)

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import glob
 import time
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from checks import tables_and_streams
 from checks.registry import ORACLES, QUERIES
+from docsluice.config import TermConfig
+from docsluice.llm import packing
+from docsluice.llm.common import kept
+from docsluice.llm.mixing import mix_sources
+from docsluice.llm.packing import pack
 from docsluice.operators import boosting, confidence, features, kernel_svm, model_call, terms
 from tests.compare import connect, differences
 
@@ -47,6 +56,63 @@ def test_terms_are_counted_without_a_shuffle_of_terms(spark):
     assert sorted(map(tuple, terms.term_frequency(twice).collect()), key=str) == sorted(expected, key=str)
 
 
+def test_no_string_is_sorted_or_shuffled_by_document_for_the_vocabulary(spark):
+    """Terms are summed as Arrow columns before the one shuffle by term; repeated and null terms and rows count as they did."""
+    rows = [(1, ["b", "a", "b", "a b"]), (1, ["b", None]), (2, []), (3, None), (None, ["a", None, None]), (None, ["\u00e9", "a b", "a b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").coalesce(1)
+    found = terms.document_frequency(docs, TermConfig(min_df=1, max_df=1.0))
+    assert sorted(map(tuple, found.collect())) == [("a", 2, 2, 6), ("a b", 3, 2, 6), ("b", 3, 2, 6), ("\u00e9", 1, 1, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "MapInArrow" in plan
+
+
+def test_sums_of_terms_stay_small(monkeypatch):
+    """What a task holds is bounded, and what it hands on adds up to all terms."""
+    monkeypatch.setattr(terms, "HELD_BYTES", 2000)
+    monkeypatch.setattr(terms, "TERMS", 50)
+    lists = [[f"w{(row * 7 + place) % 90}" for place in range(10)] for row in range(200)]
+    batch = pa.RecordBatch.from_pydict({"terms": pa.array([*lists, None, []], pa.list_(pa.string()))})
+    found = pa.Table.from_batches(terms._sum_terms(iter([batch]))).to_pylist()
+    times = Counter(term for row in lists for term in row)
+    assert len(found) > len(times) and {len(row) for row in lists} == {10}
+    for term, n in times.items():
+        assert sum(row["tf"] for row in found if row["term"] == term) == sum(row["df"] for row in found if row["term"] == term) == n
+
+
+def test_terms_of_odd_texts(spark):
+    """Runs of two letters, digits or underscores at least, the stop words left out before pairs are made."""
+    texts = [None, "", "a", "The cat, a CAT\u00c9 __ 42!", "x\ty", "\u4e2d\u6587 \u00dcber\u00fc_1 \U0001d400\U0001d401", " ab  ab\nab "]
+    docs = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "doc_id long, content string")
+    found = terms.with_terms(docs, "content", TermConfig(stop_words=("the",))).orderBy("doc_id").collect()
+    tokens = [[], [], [], ["cat", "cat\u00e9", "__", "42"], [], ["\u4e2d\u6587", "\u00fcber\u00fc_1", "\U0001d400\U0001d401"], ["ab", "ab", "ab"]]
+    assert [row.terms for row in found] == [[*words, *map(" ".join, zip(words, words[1:]))] for words in tokens]
+
+
+def test_small_tables_need_no_python_workers(spark, monkeypatch):
+    """Sources and plans that the driver knows go to Spark as Arrow data: lists would start workers of a second kind in every executor."""
+    rows = [(n, f"some words of the text {n}", f"src{n % 3}" if n % 5 else None) for n in range(40)]
+    docs = kept(spark.createDataFrame(rows, "doc_id long, text string, source string"), "small-docs")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: pytest.fail("a list went through Python workers"))
+    chosen, table = mix_sources(docs, F.array("source"))
+    assert chosen.count() == 40 and sorted(str(row.source) for row in table.collect()) == ["None", "src0", "src1", "src2"]
+    assert pack(docs).select("doc_id").distinct().count() == 40
+
+
+def test_pieces_are_made_a_little_at_a_time(monkeypatch):
+    """Ids are cut and handed on in batches of bounded size, however much comes at once."""
+    ids = [bytes(2 * (400 + row % 7)) for row in range(600)]
+    sizes = [len(row) // 2 for row in ids]
+    ends = np.cumsum(sizes)
+    columns = {"id": list(range(600)), "source": ["a"] * 600, "queue": pa.array([0] * 600, pa.int32()), "at": ends - sizes, "n": sizes, "ids": ids}
+    batch = pa.RecordBatch.from_pydict(columns)
+    monkeypatch.setattr(packing, "AT_ONCE", 20_000)
+    pieces = list(packing._cut(packing.Schedule([int(ends[-1])], [1.0], 2048, 2048), None)(iter([batch])))
+    assert max(sum(map(len, part.column("ids").to_pylist())) for part in pieces) <= 2 * 20_000
+    whole = pa.Table.from_batches(pieces)
+    monkeypatch.setattr(packing, "AT_ONCE", 1 << 22)
+    assert whole.equals(pa.Table.from_batches(packing._cut(packing.Schedule([int(ends[-1])], [1.0], 2048, 2048), None)(iter([batch]))))
+
+
 def test_examples_are_read_once(spark):
     """Training a forecast makes the features of a text once, however often the split goes through the rows."""
     seen = spark.sparkContext.accumulator(0)
