@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import as_bytes, binary_rows, give_back, kept
+from docsluice.llm.common import as_bytes, binary_rows, forget, give_back, kept, noted
 from docsluice.llm.components import components
 from docsluice.operators.prefilter import likely_among
 from docsluice.session import bounded
@@ -79,8 +79,9 @@ SIMILAR = Scheme(width=5, words=8, reach=96, segment=16, radius=0, finer=16, sim
 
 # Entries of at most so many fingerprints give all their links; beyond the second number no matrix of distances is made.
 SMALL, MATRIX = 8, 1024
-# Heads are so long that those of similar texts share this number of shingles: more to tell chance by, for a few entries more.
-SHARED = 8
+# Heads are so long that those of similar texts share this number of shingles, and this part of those of long texts: more to
+# tell chance and common passages by, for a few entries more.
+SHARED, PART = 8, 0.1
 
 
 def fingerprint(text: bytes, scheme: Scheme = CLOSE) -> bytes:
@@ -131,8 +132,8 @@ def fingerprints(rows: DataFrame, scheme: Scheme = CLOSE, heads: bool = False) -
                 found.append(_print(hashes, scheme))
                 if heads:
                     first.append(hashes[: _head(len(hashes), scheme)].view(np.int64))
-                    # A similar text may be smaller by the same share.
-                    common.append(min(SHARED, _least(scheme.similarity**2 * len(hashes))))
+                    # A similar text may be smaller by the same share, and its head shorter.
+                    common.append(_told(_least(scheme.similarity * len(hashes)), scheme))
             columns = {"id": batch.column("id"), "tag": batch.column("tag"), "fp": pa.array(found, pa.binary())}
             if heads:
                 columns |= {"head": pa.array(first, pa.list_(pa.int64())), "common": pa.array(common, pa.int32())}
@@ -148,9 +149,13 @@ def _least(share: float) -> int:
 
 
 def _head(size: int, scheme: Scheme) -> int:
-    """So many of the first of a set, however all are ordered, hold SHARED of those (or all, if fewer) that it shares with a similar set."""
-    shared = _least(scheme.similarity * size)
-    return size - shared + min(SHARED, shared)
+    """So many of the first of a set, however all are ordered, hold `_told` of those that it shares with a similar set."""
+    return size - _least(scheme.similarity * size) + _told(size, scheme)
+
+
+def _told(size: int, scheme: Scheme) -> int:
+    """So many of what a set shares with a similar one its head holds; never fewer for a larger set."""
+    return min(max(SHARED, int(PART * size)), _least(scheme.similarity * size))
 
 
 def near_duplicates(
@@ -170,7 +175,11 @@ def near_duplicates(
     if complete and (scheme.similarity is None or scheme.repeats):
         raise ValueError("complete needs a scheme with similarity and without repeats")
     source = _rows(docs, key, text, tag)
-    rows = kept(fingerprints(source, scheme, complete), "simhash-rows")
+    whole: list[str] = []
+    with noted(whole):
+        rows = heads = kept(fingerprints(source, scheme, complete), "simhash-rows")
+    if complete:
+        rows = kept(heads.select("id", "tag", "fp"), "simhash-rows")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     nodes = kept(rows.groupBy("fp").agg(F.min(name).alias("first")), "simhash-nodes")
     if scheme.similarity is None:
@@ -180,7 +189,9 @@ def near_duplicates(
     members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = kept(members, "simhash-members")
     if complete:
-        missed = kept(missed_links(source, rows, members, scheme), "simhash-missed")
+        close = kept(close_ends(heads, members), "simhash-close")
+        forget(docs.sparkSession, whole)
+        missed = kept(missed_links(source, close, scheme), "simhash-missed")
         if not missed.isEmpty():
             # The links are between roots, so no link is gone through again.
             moved = components(missed).select(F.col("node").alias("root"), F.col("root").alias("to"))
@@ -225,9 +236,12 @@ def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFr
     """
     tried = kept(links(nodes.select("fp"), scheme).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     ends = kept(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp"), "simhash-ends")
-    sets = _shingles(source, ends, scheme)
+    texts: list[str] = []
+    with noted(texts):
+        sets = _shingles(source, ends, scheme)
     held = kept(_verified(tried, sets, scheme), "simhash-held")
     if held.count() == tried.count():
+        forget(nodes.sparkSession, texts)
         return held
     rooted = ends.select("fp").join(components(held).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = kept(rooted.select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
@@ -236,27 +250,32 @@ def similar_links(source: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFr
     met = _sorted(_blocks(ends.select("fp"), scheme).join(labelled, "fp"))
     apart = met.select("entry", "finer", "side", "label", "fp").mapInArrow(_apart(scheme), PAIR)
     others = kept(apart.distinct().join(tried, ["a", "b"], "left_anti"), "simhash-others")
-    return held.unionByName(_verified(others, sets, scheme))
-
+    found = kept(held.unionByName(_verified(others, sets, scheme)), "simhash-held")
+    forget(nodes.sparkSession, texts)
+    return found
 
-def missed_links(source: DataFrame, rows: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) between the roots of all similar texts that have different ones; members are (fp, first, root).
 
-    Texts whose heads share too few shingles with any others are left out first. Of the
-    rest the shingles are ordered by the number of texts that have them: similar texts
-    share one that is so rare that too few come before it. What either has left after it
-    tells most chance pairs, the others are verified.
-    """
+def close_ends(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The members (fp, first, root) whose heads share enough shingles with any others to be similar; rows hold the heads."""
     node = F.xxhash64("fp")
     heads = rows.select(node.alias("node"), "common", F.explode("head").alias("shingle"))
     again = kept(heads.groupBy("shingle").count().filter("count > 1").select("shingle"), "simhash-again")
     met = likely_among(heads, again, "shingle").groupBy("node").agg(F.count("*").alias("n"), F.min("common").alias("common"))
     close = bounded(met.filter("n >= common").select("node"))
     ends = members.withColumn("node", node).join(close, "node", "left_semi")
-    ends = kept(ends.select("fp", "node", "root", F.xxhash64("root").alias("label"), "first"), "simhash-close")
+    return ends.select("fp", "node", "root", F.xxhash64("root").alias("label"), "first")
+
+
+def missed_links(source: DataFrame, ends: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between the roots of all similar texts that have different ones; ends are the `close_ends`.
+
+    Shingles are ordered by the number of texts that have them: similar texts share one
+    that is so rare that too few come before it. What either has left after it tells most
+    chance pairs, the others are verified.
+    """
     sets = _shingles(source, ends, scheme)
     size = F.size("shingles")
-    each = sets.select(node.alias("node"), size.alias("size"), F.explode("shingles").alias("shingle"))
+    each = sets.select(F.xxhash64("fp").alias("node"), size.alias("size"), F.explode("shingles").alias("shingle"))
     often = kept(each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), "simhash-often")
     # Shingles that no other text has come first and are no place to meet at.
     own = Window.partitionBy("node")
@@ -525,14 +544,24 @@ def _shingles(source: DataFrame, ends: DataFrame, scheme: Scheme) -> DataFrame:
             fps, sets = [], []
             for fp, text in zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist()):
                 # Rows may share key and tag; the fingerprint says which is meant.
-                if fingerprint(text, scheme) == fp:
+                hashes = _counted(text, scheme)
+                if _print(hashes, scheme) == fp:
                     fps.append(fp)
-                    sets.append(np.unique(_shingle_hashes(text, scheme.width)).view(np.int64))
+                    sets.append(np.unique(hashes).view(np.int64))
             yield pa.RecordBatch.from_pydict({"fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
             give_back()
 
-    sets = met.select("fp", "text").mapInArrow(scan, "fp binary, shingles array<long>").dropDuplicates(["fp"])
-    return kept(sets, "simhash-shingles")
+    repeated: list[str] = []
+    with noted(repeated):
+        sets = kept(met.select("fp", "text").mapInArrow(scan, "fp binary, shingles array<long>"), "simhash-shingles")
+    # Only sets that came more than once are moved.
+    again = bounded(sets.groupBy("fp").count().filter("count > 1").select("fp"))
+    if again.isEmpty():
+        return sets
+    single = sets.join(again, "fp", "left_anti").unionByName(sets.join(again, "fp").dropDuplicates(["fp"]))
+    single = kept(single, "simhash-shingles")
+    forget(source.sparkSession, repeated)
+    return single
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
@@ -53,3 +55,50 @@ def test_no_similar_pair_is_left_out(spark, texts):
     assert [row["component_id"] for row in sorted(found, key=lambda row: row["doc_id"])] == smallest_of_components(rows)
     left = corpus_pipeline.near(spark, docs, "").collect()
     assert sorted(row["doc_id"] for row in left) == sorted(set(smallest_of_components(rows)))
+
+
+def test_heads_of_similar_sets_share_what_is_asked_for():
+    draw, scheme = np.random.default_rng(13), simhash.SIMILAR
+    for size in [*range(1, 40), *draw.integers(40, 2000, 200).tolist()]:
+        both = draw.integers(0, 2**62, size)
+        one = np.unique(np.concatenate([both, draw.integers(0, 2**62, draw.integers(0, size // 4 + 1))]))
+        other = np.unique(np.concatenate([both, draw.integers(0, 2**62, size + size // 4 - len(one))])) if draw.random() < 0.7 else np.unique(both)
+        assert len(np.intersect1d(one, other)) >= scheme.similarity * len(np.union1d(one, other)) - 1e-6
+        met = np.intersect1d(*(x[: simhash._head(len(x), scheme)] for x in (one, other)))
+        assert len(met) >= max(simhash._told(simhash._least(scheme.similarity * len(x)), scheme) for x in (one, other))
+
+
+def with_passage():
+    """Long texts that share one passage, a ninth of each, and nothing else."""
+    draw = np.random.default_rng(14)
+    passage = [f"p{n}" for n in range(70)]
+    for text in range(20):
+        yield " ".join([f"x{text}w{n}" for n in draw.integers(0, 10**6, 530)] + passage)
+
+
+def test_only_shingles_that_are_needed_are_stored(spark, monkeypatch):
+    stored, at_rarest = [], []
+
+    def noting(df, name):
+        table = kept(df, name)
+        stored.append((name, table.columns, table.inputFiles(), table.count()))
+        if name == "simhash-rarest":
+            at_rarest.extend((n, columns, rows) for n, columns, files, rows in stored if all(os.path.exists(x.removeprefix("file:")) for x in files))
+        return table
+
+    kept = simhash.kept
+    monkeypatch.setattr(simhash, "kept", noting)
+    rows = [*changed_texts(), *with_passage()]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    twice = docs.unionByName(docs)
+    found = simhash.near_duplicates(twice, scheme=simhash.SIMILAR, complete=True).collect()
+    assert [row["component_id"] for row in sorted(found, key=lambda row: row["doc_id"])] == [x for x in smallest_of_components(rows) for _ in range(2)]
+    # What the heads were for and the sets of the first links are gone by then, and each set is there once.
+    assert not [name for name, columns, _ in at_rarest if "head" in columns]
+    assert [n for name, _, n in at_rarest if name == "simhash-shingles"] == [72 + 20]
+
+    stored.clear(), at_rarest.clear()
+    found = simhash.near_duplicates(docs, scheme=simhash.SIMILAR, complete=True).collect()
+    assert [row["component_id"] for row in sorted(found, key=lambda row: row["doc_id"])] == smallest_of_components(rows)
+    # A passage does not make texts similar; without copies no head of them is met often enough.
+    assert [n for name, _, n in at_rarest if name == "simhash-shingles"] == [72]
