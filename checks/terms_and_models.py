@@ -40,7 +40,7 @@ VOCABULARY = (
 
 def with_terms(spark, folder):
     docs = spark_view(spark, folder, "doc_meta").select("doc_id", "content", F.col("lang").alias("label"))
-    return terms.with_terms(docs, "content", CONFIG).select("doc_id", "label", "terms")
+    return terms.with_terms(docs, "content", CONFIG).select("doc_id", "label", "content", "terms")
 
 
 @check("term_frequency", TERMS + " SELECT doc_id, term, tf FROM tf")
@@ -50,7 +50,7 @@ def term_frequency(spark, folder):
 
 @check("document_frequency", VOCABULARY + " SELECT term, tf, df, documents FROM frequent")
 def document_frequency(spark, folder):
-    return terms.document_frequency(with_terms(spark, folder), CONFIG)
+    return terms.document_frequency(with_terms(spark, folder), CONFIG, "content")
 
 
 @check("tfidf_vocabulary", VOCABULARY + " SELECT index, term, tf FROM vocabulary")

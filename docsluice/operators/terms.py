@@ -1,13 +1,14 @@
 """Terms of texts: 1- and 2-grams, vocabulary, TF-IDF.
 
-The vocabulary takes one shuffle of partial counts per term. Weights are
-computed inside each row against the vocabulary, which never exceeds
-`max_features` terms and is therefore safe to hand to every task.
+The vocabulary takes one shuffle of partial counts per term. From the texts, terms
+are made and counted as numbers of their words in one Python call, and become strings
+once they are summed. Weights are computed inside each row against the vocabulary,
+which never exceeds `max_features` terms and is therefore safe to hand to every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.config import TermConfig
-from docsluice.session import bounded, reliable
+from docsluice.session import bounded, reliable, small_batches
 
 # Fixed value: a token is a run of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 BETWEEN = r"[^\p{L}\p{N}_]+"
 
 # Texts, terms and sums that a task looks at together.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 20
+COUNTED_BYTES = 1 << 22
 TERMS = 1 << 20
 HELD_BYTES = 1 << 26
+HELD_WORD_BYTES = 1 << 25
+HANDED_ROWS = 1 << 14
 
 
 def stop_words(config: TermConfig) -> list[str]:
@@ -44,6 +48,8 @@ def stop_words(config: TermConfig) -> list[str]:
 
 def with_terms(df: DataFrame, text: str, config: TermConfig = TermConfig()) -> DataFrame:
     """Adds the array `terms`: the tokens without stop words and their neighbouring pairs."""
+    # Terms are several times as large as their texts, and the JVM and the worker hold a batch each.
+    small_batches(df.sparkSession)
     unwanted = pa.array(stop_words(config), pa.string())
 
     @F.arrow_udf("array<string>")
@@ -51,7 +57,11 @@ def with_terms(df: DataFrame, text: str, config: TermConfig = TermConfig()) -> D
         parts = [_terms(texts.slice(first, last - first), unwanted) for first, last in _runs(pc.binary_length(texts), TEXT_BYTES)]
         return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.string()))])
 
-    return df.withColumn("terms", terms_of(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    return df.withColumn("terms", terms_of(_lowered(text)))
+
+
+def _lowered(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
 
 
 def _runs(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -67,10 +77,7 @@ def _runs(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def _terms(texts: pa.Array, unwanted: pa.Array) -> pa.Array:
     """Tokens and pairs of every text."""
-    found = pc.split_pattern_regex(texts, BETWEEN)
-    row, tokens = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found)
-    wanted = pc.and_not(pc.greater_equal(pc.utf8_length(tokens), 2), pc.is_in(tokens, unwanted))
-    row, tokens = row[wanted.to_numpy(zero_copy_only=False)], tokens.filter(wanted)
+    row, tokens = _tokens(texts, unwanted)
     beside = row[1:] == row[:-1]
     pairs = pc.binary_join_element_wise(tokens[:-1].filter(beside), tokens[1:].filter(beside), " ")
     rows = np.concatenate([row, row[1:][beside]])
@@ -80,6 +87,14 @@ def _terms(texts: pa.Array, unwanted: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, terms)
 
 
+def _tokens(texts: pa.Array, unwanted: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The tokens of all texts one after the other, and the row of each."""
+    found = pc.split_pattern_regex(texts, BETWEEN)
+    row, tokens = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found)
+    wanted = pc.and_not(pc.greater_equal(pc.utf8_length(tokens), 2), pc.is_in(tokens, unwanted))
+    return row[wanted.to_numpy(zero_copy_only=False)], tokens.filter(wanted)
+
+
 def _counted(df: DataFrame, *columns: str) -> DataFrame:
     """A row per row and different term: the columns, term, tf. Terms are counted where they lie."""
     in_order = df.select(*columns, F.sort_array("terms").alias("_terms"))
@@ -107,9 +122,19 @@ def term_frequency(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return _counted(df.join(again, same, "left_anti"), key).unionByName(several)
 
 
-def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
-    """Rows (term, tf, df, documents) for terms in enough and not too many documents."""
-    sums = df.select("terms").mapInArrow(_sum_terms, "term string, tf long, df long")
+def document_frequency(df: DataFrame, config: TermConfig = TermConfig(), text: str | None = None) -> DataFrame:
+    """Rows (term, tf, df, documents) for terms in enough and not too many documents.
+
+    `text` names the column that `with_terms` makes the terms from with the same config, if
+    it is at hand: they are then made where they are summed, and no list of them is moved.
+    """
+    kind = "term string, tf long, df long"
+    if text is None:
+        sums = df.select("terms").mapInArrow(_sum_terms, kind)
+    else:
+        small_batches(df.sparkSession)
+        # A task has summed its terms: adding up again before the shuffle would only take memory.
+        sums = df.select(_lowered(text)).mapInArrow(_sum_texts(pa.array(stop_words(config), pa.string())), kind).repartition("term")
     counts = sums.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     # Counting rows reads no text.
     documents = df.count()
@@ -118,6 +143,90 @@ def document_frequency(df: DataFrame, config: TermConfig = TermConfig()) -> Data
     ).select("term", "tf", "df", F.lit(documents).cast("long").alias("documents"))
 
 
+def _sum_texts(unwanted: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes the terms of texts, and their sums as far as `HELD_BYTES` go."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Sums()
+        for batch in batches:
+            texts = batch.column(0)
+            for first, last in _runs(pc.binary_length(texts), COUNTED_BYTES):
+                held.add(*_tokens(texts.slice(first, last - first), unwanted))
+                if held.is_full():
+                    yield from held.rows()
+                    held = _Sums()
+        yield from held.rows()
+
+    return sums
+
+
+class _Sums:
+    """Sums of terms by ascending key: the number of the word, and of a pair's second word plus 1 in the lower half."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.keys = np.zeros(0, np.int64)
+        self.tf, self.df = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.seen = 0
+
+    def is_full(self) -> bool:
+        # So many occurrences fit the sums; numbers of words fit half a key.
+        return 16 * len(self.keys) > HELD_BYTES or self.words.nbytes > HELD_WORD_BYTES or self.seen > 1 << 30
+
+    def add(self, row: np.ndarray, tokens: pa.Array) -> None:
+        """The tokens of some texts, in their order, and the row of each."""
+        if not len(row):
+            return
+        coded = tokens.dictionary_encode()
+        code, bits, low = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary).bit_length(), int(row[-1]).bit_length()
+        beside = row[1:] == row[:-1]
+        pairs = (code[:-1][beside] << bits) + code[1:][beside] + 1
+        # A place per occurrence: the term, then the row. In order, equal terms and rows stand together.
+        places = np.concatenate([code << bits << low | row, pairs << low | row[1:][beside]])
+        places.sort()
+        rows = (np.diff(places, prepend=-1) != 0).astype(np.int32)
+        terms = places >> low
+        starts = np.flatnonzero(np.diff(terms, prepend=-1))
+        tf, df = np.diff(starts, append=len(terms)).astype(np.int32), np.add.reduceat(rows, starts)
+        self.seen += len(terms)
+        number, terms = self._numbered(coded.dictionary), terms[starts]
+        keys = number[terms >> bits] << 32 | np.append(0, number + 1)[terms & (1 << bits) - 1]
+        order = np.argsort(keys)
+        self._merge(keys[order], tf[order], df[order])
+
+    def _numbered(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words; new ones get the next."""
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        number = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        number[number < 0] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        return number
+
+    def _merge(self, keys: np.ndarray, tf: np.ndarray, df: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        old = np.append(self.keys, -1)[at] == keys
+        self.tf[at[old]] += tf[old]
+        self.df[at[old]] += df[old]
+        at, new = at[~old], ~old
+        self.keys = np.insert(self.keys, at, keys[new])
+        self.tf, self.df = np.insert(self.tf, at, tf[new]), np.insert(self.df, at, df[new])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(self.keys), HANDED_ROWS):
+            some = slice(first, first + HANDED_ROWS)
+            left, right = self.keys[some] >> 32, self.keys[some] & (1 << 32) - 1
+            word = self.words.take(pa.array(left))
+            pair = pc.binary_join_element_wise(word, self.words.take(pa.array(np.maximum(right - 1, 0))), " ")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "term": pc.if_else(pa.array(right > 0), pair, word),
+                    "tf": pa.array(self.tf[some], pa.int64()),
+                    "df": pa.array(self.df[some], pa.int64()),
+                }
+            )
+
+
 def _sum_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and rows of the terms of a task, added up as far as `HELD_BYTES` go; no term occurs twice in what they hold."""
     held, size = [], 0
@@ -162,13 +271,13 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return pa.table({"term": sums["term"], "tf": sums["tf_sum"], "df": sums["df_sum"]})
 
 
-def fit_vocabulary(df: DataFrame, config: TermConfig = TermConfig()) -> DataFrame:
+def fit_vocabulary(df: DataFrame, config: TermConfig = TermConfig(), text: str | None = None) -> DataFrame:
     """Rows (index, term, tf, df, idf): the most frequent terms, numbered in alphabetical order.
 
-    Computed once and kept, at most `max_features` rows, because every later step needs it.
+    `text` is as for `document_frequency`. Computed once and kept, at most `max_features` rows, because every later step needs it.
     """
     idf = F.log((1 + F.col("documents")) / (1 + F.col("df"))) + 1
-    top = document_frequency(df, config).orderBy(F.col("tf").desc(), "term").limit(config.max_features)
+    top = document_frequency(df, config, text).orderBy(F.col("tf").desc(), "term").limit(config.max_features)
     numbered = top.select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("index"), "term", "tf", "df", idf.alias("idf")
     )

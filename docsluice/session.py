@@ -56,6 +56,14 @@ def bounded(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     return F.broadcast(kept) if stored_bytes(df.sparkSession, path) <= most_bytes else kept
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Sets the size of the session's Arrow batches, unless it is smaller already."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if sizes.byteStringAsBytes(spark.conf.get(setting, "64m")) > most_bytes:
+        spark.conf.set(setting, f"{most_bytes}b")
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
     """Rows of the driver as a frame. As Arrow data they need no Python workers, which executors would keep besides those of queries."""
     rows = list(rows)
