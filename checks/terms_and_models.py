@@ -93,10 +93,10 @@ def tfidf(spark, folder):
 )
 def naive_bayes(spark, folder):
     rows = with_terms(spark, folder)
-    vocabulary = terms.fit_vocabulary(rows, CONFIG)
+    vocabulary = terms.fit_vocabulary(rows, CONFIG, "content")
     # Narrow next to the texts, and needed for training and for scoring.
     vectors = reliable(
-        terms.term_pipeline(vocabulary, "count").transform(rows).select("doc_id", "label", "term_vector")
+        terms.term_pipeline(vocabulary, "count").transform(terms.known_terms(rows, vocabulary)).select("doc_id", "label", "term_vector")
     )
     return rounded(bayes.score_bayes(vectors, *bayes.fit_bayes(vectors, vocabulary)), "confidence")
 

@@ -60,6 +60,22 @@ def with_terms(df: DataFrame, text: str, config: TermConfig = TermConfig()) -> D
     return df.withColumn("terms", terms_of(_lowered(text)))
 
 
+def known_terms(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Leaves in `terms` those of the vocabulary; made by Python before, the others do not reach the JVM."""
+    # At most max_features rows.
+    known = pa.array([row.term for row in vocabulary.select("term").collect()], pa.string())
+
+    @F.arrow_udf("array<string>")
+    def known_of(lists: pa.Array) -> pa.Array:
+        terms = pc.list_flatten(lists)
+        wanted = pc.is_in(terms, known)
+        row = pc.list_parent_indices(lists).to_numpy()[wanted.to_numpy(zero_copy_only=False)]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), terms.filter(wanted), mask=lists.is_null())
+
+    return df.withColumn("terms", known_of("terms"))
+
+
 def _lowered(text: str) -> Column:
     return F.lower(F.coalesce(F.col(text), F.lit("")))
 

@@ -76,7 +76,21 @@ def test_batches_of_texts_are_small(spark, text):
         spark.conf.set(setting, before)
 
 
-@pytest.mark.parametrize("name", ["document_frequency"])
+def test_only_known_terms_reach_the_jvm(spark):
+    """Made and chosen in one call; the weights stay as they are, null lists and terms too."""
+    rows = terms.with_terms(_docs(spark), "content", CONFIG)
+    vocabulary = terms.fit_vocabulary(rows, TermConfig(max_features=5, min_df=2, stop_words=("the",)), "content")
+    known = terms.known_terms(rows, vocabulary)
+    assert "known_of(terms_of(" in _plan(known)
+    assert {term for row in known.collect() for term in row.terms} == {"cat", "cat cat", "ab"}
+    pipeline = terms.term_pipeline(vocabulary)
+    before, after = (sorted((str(row.doc_id), str(row.content), str(row.term_vector)) for row in pipeline.transform(frame).collect()) for frame in (rows, known))
+    assert before == after
+    odd = spark.createDataFrame([(None,), ([],), (["cat", None, "dog", "cat"],)], "terms array<string>")
+    assert sorted(map(str, (row.terms for row in terms.known_terms(odd, vocabulary).collect()))) == ["None", "['cat', 'cat']", "[]"]
+
+
+@pytest.mark.parametrize("name", ["document_frequency", "naive_bayes"])
 def test_queries_move_no_lists_of_all_terms(spark, monkeypatch, name):
     """Every query that needs the vocabulary sums the terms of the texts, and vectors are made from the terms of the vocabulary."""
     plans, frequency, pipeline = [], terms.document_frequency, terms.term_pipeline
