@@ -71,8 +71,8 @@ def tfidf_idf(spark, folder):
 )
 def tfidf(spark, folder):
     rows = with_terms(spark, folder)
-    vocabulary = terms.fit_vocabulary(rows, CONFIG)
-    vectors = terms.term_pipeline(vocabulary).transform(rows)
+    vocabulary = terms.fit_vocabulary(rows, CONFIG, "content")
+    vectors = terms.term_pipeline(vocabulary).transform(terms.known_terms(rows, vocabulary))
     return rounded(terms.term_weights(vectors, vocabulary), "weight")
 
 
