@@ -60,7 +60,7 @@ def tfidf_vocabulary(spark, folder):
 
 @check("tfidf_idf", VOCABULARY + " SELECT term, df, round(idf, 6) AS idf FROM vocabulary")
 def tfidf_idf(spark, folder):
-    return rounded(terms.fit_vocabulary(with_terms(spark, folder), CONFIG).select("term", "df", "idf"), "idf")
+    return rounded(terms.fit_vocabulary(with_terms(spark, folder), CONFIG, "content").select("term", "df", "idf"), "idf")
 
 
 @check(
