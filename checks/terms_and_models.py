@@ -55,7 +55,7 @@ def document_frequency(spark, folder):
 
 @check("tfidf_vocabulary", VOCABULARY + " SELECT index, term, tf FROM vocabulary")
 def tfidf_vocabulary(spark, folder):
-    return terms.fit_vocabulary(with_terms(spark, folder), CONFIG).select("index", "term", "tf")
+    return terms.fit_vocabulary(with_terms(spark, folder), CONFIG, "content").select("index", "term", "tf")
 
 
 @check("tfidf_idf", VOCABULARY + " SELECT term, df, round(idf, 6) AS idf FROM vocabulary")

@@ -90,7 +90,7 @@ def test_only_known_terms_reach_the_jvm(spark):
     assert sorted(map(str, (row.terms for row in terms.known_terms(odd, vocabulary).collect()))) == ["None", "['cat', 'cat']", "[]"]
 
 
-@pytest.mark.parametrize("name", ["document_frequency", "tfidf_idf", "tfidf", "naive_bayes", "naive_bayes_blocks"])
+@pytest.mark.parametrize("name", ["document_frequency", "tfidf_vocabulary", "tfidf_idf", "tfidf", "naive_bayes", "naive_bayes_blocks"])
 def test_queries_move_no_lists_of_all_terms(spark, monkeypatch, name):
     """Every query that needs the vocabulary sums the terms of the texts, and vectors are made from the terms of the vocabulary."""
     plans, frequency, pipeline = [], terms.document_frequency, terms.term_pipeline
