@@ -294,7 +294,7 @@ def examples(spark, folder):
 )
 def confidence_quality(spark, folder):
     rows = reliable(examples(spark, folder))
-    model = train_confidence(rows, ["ts_s", "doc_id"], iterations=5, depth=3)
+    model = train_confidence(rows, ["ts_s", "doc_id"])
     variance = rows.agg(F.var_pop("ml_confidence")).first()[0]
     return spark.createDataFrame(
         [(model.examples, model.mse <= variance, model.mae**2 <= model.mse)],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import inspect
 import time
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from checks import tables_and_streams
+from checks import tables_and_streams, terms_and_models
 from checks.registry import ORACLES, QUERIES
 from docsluice.config import TermConfig
 from docsluice.llm import packing
@@ -129,6 +130,21 @@ def test_examples_are_read_once(spark):
     assert seen.value <= 2 * 80
 
 
+def test_the_forecast_is_trained_in_full(spark, monkeypatch):
+    """train_confidence takes as many trees, and as deep ones, as the operator does by itself; here it is only noted."""
+    asked, train = [], terms_and_models.train_confidence
+
+    def noted(*given, **named):
+        call = inspect.signature(train).bind(*given, **named)
+        call.apply_defaults()
+        asked.append(call.arguments)
+        return train(*given, iterations=1, depth=1)
+
+    monkeypatch.setattr(terms_and_models, "train_confidence", noted)
+    assert QUERIES["train_confidence"](spark, FOLDER).first().examples == 200
+    assert [(call["iterations"], call["depth"]) for call in asked] == [(100, 6)]
+
+
 def _placed(spark, classes):
     rows = spark.range(200).select(F.array(F.col("id") % 7 / 7, F.col("id") % 11 / 11).alias("_v"), (F.col("id") % classes).cast("double").alias("label_encoded"))
     return rows.select(array_to_vector("_v").alias("features"), "label_encoded")
